@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomcast.llm import _text
+from loomcast.llm._tables import written
 
 WINDOW, SHARD_BYTES, SAMPLE_STEP, MAX_BENCHMARK_BYTES = 13, 32 << 20, 8, 32 << 20
 
@@ -276,7 +277,7 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_b
     """(doc_id, text, n_words, spans, items) of every document; spans and items as in ``Shard.result``.
 
     The benchmark goes to every executor, ``max_bytes`` of it at most at a time: a larger one is taken in parts by a hash
-    of its ids, and the state between two passes is checkpointed.
+    of its ids, and the state between two passes is written to the shared folder.
     """
     _text.bounded_batches(documents.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null")
@@ -285,7 +286,7 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_b
     out = documents.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for k in range(parts):
         some = items if parts == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k)
-        out = _pass(out if k == 0 else out.checkpoint(), [(r[0], r[1]) for r in some.collect()], window)
+        out = _pass(out if k == 0 else written(out), [(r[0], r[1]) for r in some.collect()], window)
     return out
 
 
