@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomcast.llm import decontam, langid, licenses, media, pieces, pii, quality, toxicity
+from loomcast.llm import decontam, langid, licenses, line_dedup, media, pieces, pii, quality, toxicity
 from loomcast.llm._sampling import remainder
 
 #: A parameter: where the piece vocabulary is. The file is read by the driver alone.
@@ -35,6 +35,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_read(spark, sf_dir, "documents"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_read(spark, sf_dir, "documents"), keep_media=False, keep_fingerprint=False)
 
@@ -60,8 +64,8 @@ def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_personal_data, op4_license_scan, op6_media_columns, op7_benchmark_decontamination, op8_toxicity, op9_language_id, op10_sentencepiece_codec)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_personal_data, op4_license_scan, op5_line_dedup, op6_media_columns, op7_benchmark_decontamination, op8_toxicity, op9_language_id, op10_sentencepiece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": line_dedup.ORACLE_SQL}
