@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomcast.llm import decontam, langid, licenses, line_dedup, media, pieces, pii, quality, toxicity
+from loomcast.llm import decontam, langid, licenses, line_dedup, media, near_dup, pieces, pii, quality, toxicity
 from loomcast.llm._sampling import remainder
 
 #: A parameter: where the piece vocabulary is. The file is read by the driver alone.
@@ -27,6 +27,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs, model), remainder(3) == 1)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(_read(spark, sf_dir, "documents")))
 
@@ -64,7 +68,7 @@ def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_personal_data, op4_license_scan, op5_line_dedup, op6_media_columns, op7_benchmark_decontamination, op8_toxicity, op9_language_id, op10_sentencepiece_codec)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_minhash_near_dedup, op3_personal_data, op4_license_scan, op5_line_dedup, op6_media_columns, op7_benchmark_decontamination, op8_toxicity, op9_language_id, op10_sentencepiece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
