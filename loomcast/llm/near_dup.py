@@ -7,10 +7,11 @@ share a child with their similarity as probability. Nodes of at most ``SMALL`` c
 down to ``DEPTH``, below which they are compared in random blocks of ``BLOCK``. Two classes of similarity 0.8 meet in a leaf with a
 probability of over 1 - 1e-6 if their nodes get small at the first level, and over 0.999 if they go on to the last.
 
-Comparison estimates the similarity from the tokens; what it lets through (``ESTIMATE``, four standard errors below the threshold) is
-confirmed on full sets. First each class is confirmed against one likely partner in each leaf. The links that hold give components, and
-then all remaining pairs whose components differ are confirmed: a pair that stays unconfirmed is in one component already. Components
-come from repeated least labels with shortcuts; no link or component leaves the executors.
+Comparison estimates the similarity from the tokens; what it lets through (``ESTIMATE``, four standard errors below the threshold) makes
+a forest of candidate links for each leaf, and the forests' components are candidate groups. A group's texts meet once: all pairs that
+the estimate lets through and that no link connects yet are compared on full sets, in memory, and only links that span the group's
+components come out. A group over ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles is split into blocks, and every pair of blocks is a task.
+Components come from repeated least labels with shortcuts; no link or component leaves the executors.
 
 Defined cases: null, empty and wordless texts have empty sets and link with nothing; rows of equal id are separate rows with
 the same id; repeated rows are exact copies; extra columns are ignored; an empty table gives an empty result. Class ids are 64-bit
@@ -27,7 +28,7 @@ from loomcast.llm import _text
 from loomcast.llm._tables import row_key, written
 
 WORDS, PERCENT = 4, 80
-TOKENS, TREES, BRANCHES, DEPTH, SMALL, BLOCK, ESTIMATE, SURE = 64, 6, 2, 3, 64, 4096, 0.6, 0.9
+TOKENS, TREES, BRANCHES, DEPTH, SMALL, BLOCK, BLOCK_SHINGLES, ESTIMATE = 64, 6, 2, 3, 64, 4096, 4_000_000, 0.6
 MAX_BROADCAST_ROWS = 500_000
 _SALTS = _text.mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _MULTIPLY = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -147,87 +148,104 @@ def leaves(classes: DataFrame) -> DataFrame:
     return out
 
 
-def _likely(n: np.ndarray, tokens: np.ndarray, at: int, others: slice) -> tuple[np.ndarray, np.ndarray]:
-    same = (tokens[others] == tokens[at]).sum(axis=1)
-    size = n[others]
-    fits = (same >= ESTIMATE * TOKENS) & (np.minimum(size, n[at]) * 100 >= np.maximum(size, n[at]) * PERCENT)
-    return np.flatnonzero(fits) + others.start, same
+def _similar(n: np.ndarray, tokens: np.ndarray, at: int) -> np.ndarray:
+    """The places after ``at`` whose estimated similarity and size fit."""
+    same = (tokens[at + 1 :] == tokens[at]).sum(axis=1)
+    size = n[at + 1 :]
+    return np.flatnonzero((same >= ESTIMATE * TOKENS) & (np.minimum(size, n[at]) * 100 >= np.maximum(size, n[at]) * PERCENT)) + at + 1
 
 
-def _node_pairs(c: np.ndarray, n: np.ndarray, tokens: np.ndarray, label: np.ndarray | None) -> list[tuple[int, int]]:
-    """A leaf's pairs to confirm: one likely partner for each class, or all that fit between different labels."""
-    order = np.argsort(c, kind="stable")
-    c, n, tokens = c[order], n[order], tokens[order]
-    if label is not None:
-        label = label[order]
-        if (label == label[0]).all():
-            return []
+def _merge(label: np.ndarray, at: int, near: np.ndarray) -> list[int]:
+    """Joins the labels of ``near`` to that of ``at``; one place of each label that was another."""
+    other, first = np.unique(label[near], return_index=True)
     out = []
-    for j in range(1, len(c)) if label is None else range(len(c) - 1):
-        if label is None:
-            near, same = _likely(n, tokens, j, slice(0, j))
-            if len(near):
-                sure = near[same[near] >= SURE * TOKENS]
-                i = sure[0] if len(sure) else near[same[near].argmax()]
-                out.append((int(c[i]), int(c[j])))
-        else:
-            near, _ = _likely(n, tokens, j, slice(j + 1, len(c)))
-            out += [(int(c[j]), int(c[i])) for i in near[label[near] != label[j]]]
+    for x, i in zip(other.tolist(), first.tolist(), strict=True):
+        if x != label[at]:
+            out.append(int(near[i]))
+            label[label == x] = label[at]
     return out
 
 
-def candidates(members: DataFrame, labelled: bool) -> DataFrame:
-    """(a, b), a < b, of (class, node, n, tokens[, label]) rows; all of a node's rows come to one task, node after node."""
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def flush(last: bool):
-            nonlocal held
-            t = pa.Table.from_batches(held).combine_chunks()
-            node = t["node"].to_numpy()
-            edge = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-            end = np.append(edge[1:], len(node))
-            if not last:  # the last node may go on in the next batch
-                held = t.slice(int(edge[-1])).to_batches()
-                edge, end = edge[:-1], end[:-1]
-            c, n, tokens = t["class"].to_numpy(), t["n"].to_numpy(), _rows(t["tokens"])
-            label = t["label"].to_numpy() if labelled else None
-            found = {p for a, z in zip(edge.tolist(), end.tolist(), strict=True) for p in _node_pairs(c[a:z], n[a:z], tokens[a:z], None if label is None else label[a:z])}
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
-
-        for b in batches:
-            if b.num_rows:
-                held.append(b)
-            if sum(x.num_rows for x in held) >= 2 * BLOCK:
-                yield flush(False)
-        if held:
-            yield flush(True)
-
-    return members.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long").distinct()
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """(a, b, linked): the pairs of classes compared on their full sets; texts: (class, text)."""
-    both = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-
-    def one(x: str) -> np.ndarray:
-        raw = np.frombuffer(x.encode(), np.uint8)
-        return shingles(raw, np.array([0, len(raw)]), words)[0]
-
-    def run(batches):
-        last, own = None, None
-        for b in batches:
-            linked = []
-            for a, ta, tb in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if a != last:
-                    last, own = a, one(ta)
-                other = one(tb)
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                linked.append(100 * common >= PERCENT * (len(own) + len(other) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+def _runs(batches, key: str, compare):
+    """Calls ``compare`` with the rows of each key, of batches sorted by it; a key may go over several batches."""
+    held: list[pa.RecordBatch] = []
+
+    def flush(last: bool):
+        nonlocal held
+        t = pa.Table.from_batches(held).combine_chunks()
+        keys = t[key].to_numpy()
+        edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        end = np.append(edge[1:], len(keys))
+        if not last:  # the last key may go on
+            held = t.slice(int(edge[-1])).to_batches()
+            edge, end = edge[:-1], end[:-1]
+        found = {p for a, z in zip(edge.tolist(), end.tolist(), strict=True) if z - a > 1 for p in compare(t.slice(a, z - a))}
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.num_rows for x in held) >= BLOCK:
+            yield flush(False)
+    if held:
+        yield flush(True)
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """(a, b) of (class, node, n, tokens) rows: in each leaf, a forest that spans what the estimates connect."""
+
+    def compare(t: pa.Table) -> list[tuple[int, int]]:
+        c, n, tokens = t["class"].to_numpy(), t["n"].to_numpy(), _rows(t["tokens"])
+        order = np.argsort(c, kind="stable")
+        c, n, tokens, label, out = c[order], n[order], tokens[order], np.arange(len(c)), []
+        for j in range(len(c) - 1):
+            near = _similar(n, tokens, j)
+            out += [(int(c[j]), int(c[i])) for i in _merge(label, j, near)]
+        return out
+
+    return members.repartition("node").sortWithinPartitions("node").mapInArrow(lambda batches: _runs(batches, "node", compare), "a long, b long").distinct()
+
+
+class _Sets:
+    """The sets of one task; ``common`` counts what one of them shares with others."""
+
+    def __init__(self, sets: np.ndarray, bounds: np.ndarray):
+        self.sets, self.bounds, self.posting = sets, bounds, None
+
+    def common(self, at: int, others: np.ndarray) -> np.ndarray:
+        own = self.sets[self.bounds[at] : self.bounds[at + 1]]
+        if len(others) < 16:
+            return np.array([len(np.intersect1d(own, self.sets[self.bounds[i] : self.bounds[i + 1]], assume_unique=True)) for i in others], np.int64)
+        if self.posting is None:  # rows by element, in one order
+            order = np.argsort(self.sets, kind="stable")
+            self.element = self.sets[order]
+            self.posting = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))[order]
+        low, high = np.searchsorted(self.element, own, "left"), np.searchsorted(self.element, own, "right")
+        many = high - low
+        rows = self.posting[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)]
+        return np.bincount(rows, minlength=len(self.bounds) - 1)[others]
+
+
+def confirmed(groups: DataFrame, words: int = WORDS) -> DataFrame:
+    """(a, b) of (class, task, text) rows: the links, on full sets, that span each task's components."""
+
+    def compare(t: pa.Table) -> list[tuple[int, int]]:
+        order = np.argsort(t["class"].to_numpy(), kind="stable")
+        c = t["class"].to_numpy()[order]
+        parts = [shingles(raw, off, words) for _, _, raw, off in _text.chunks(t["text"].combine_chunks().take(pa.array(order)))]
+        n = np.concatenate([np.diff(b) for _, b in parts])
+        sets, bounds = np.concatenate([s for s, _ in parts]), np.concatenate(([0], np.cumsum(n)))
+        full, tokens, label, out = _Sets(sets, bounds), _tokens(sets, bounds), np.arange(len(c)), []
+        for j in range(len(c) - 1):
+            near = _similar(n, tokens, j)
+            near = near[label[near] != label[j]]
+            if len(near):
+                common = full.common(j, near)
+                near = near[100 * common >= PERCENT * (n[j] + n[near] - common)]
+                out += [(int(c[j]), int(c[i])) for i in _merge(label, j, near)]
+        return out
 
-    return both.mapInArrow(run, "a long, b long, linked boolean")
+    return groups.repartition("task").sortWithinPartitions("task").mapInArrow(lambda batches: _runs(batches, "task", compare), "a long, b long")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -251,15 +269,17 @@ def linked_classes(documents: DataFrame, rows: DataFrame, words: int = WORDS) ->
     picked = rows.join(first, ["class", "doc_id"]).groupBy("class", "doc_id").agg(F.min("key").alias("key"))
     classes = written(rows.join(picked, ["class", "doc_id", "key"]).groupBy("class").agg(F.first("doc_id").alias("doc_id"), F.first("key").alias("key"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")))
     members = written(leaves(classes.select("class", "n", "tokens")).join(classes.select("class", "n", "tokens"), "class"))
-    met = written(members.select("class").distinct().join(classes.select("class", "doc_id", "key"), "class"))
-    wanted = F.broadcast(met) if met.count() <= MAX_BROADCAST_ROWS else met  # a few numbers a row, counted
-    texts = written(documents.select("doc_id", row_key(F.col("text")).alias("key"), "text").join(wanted, ["doc_id", "key"]).dropDuplicates(["class"]).select("class", "text"))
-    tested = written(confirmed(candidates(members, False), texts, words))
-    labels = components(tested.where("linked"))
-    named = members.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    rest = candidates(named, True).join(tested, ["a", "b"], "left_anti")
-    more = written(confirmed(written(rest), texts, words))
-    return components(tested.unionByName(more).where("linked"))
+    groups = components(candidates(members)).withColumnRenamed("label", "group").join(classes.select("class", "doc_id", "key", "n"), "class")
+    groups = written(groups)
+    sizes = groups.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = groups.join(sizes, "group").select("class", "doc_id", "key", "group", "blocks", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"))
+    placed = written(placed)
+    wanted = F.broadcast(placed) if placed.count() <= MAX_BROADCAST_ROWS else placed  # a few numbers a row, counted
+    texts = documents.select("doc_id", row_key(F.col("text")).alias("key"), "text").join(wanted, ["doc_id", "key"]).dropDuplicates(["class"])
+    # a group over the bounds is compared block against block, each pair of blocks in a task of its own
+    with_block = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.xxhash64("group", F.least(x, F.col("block")), F.greatest(x, F.col("block"))))
+    tasks = texts.select("class", "text", F.explode(F.when(F.col("blocks") == 1, F.array("group")).otherwise(with_block)).alias("task"))
+    return components(confirmed(tasks, words))
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS) -> DataFrame:

@@ -103,3 +103,18 @@ def score(documents: DataFrame, model: QualityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["doc_id", "score"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+
+
+def keep_good(documents: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
+    """The documents, all columns, whose score is at least ``least``."""
+    _text.bounded_batches(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast((model.logit, model.bias))
+    at = documents.columns.index("text")
+
+    def run(batches):
+        m = QualityModel(*shared.value)
+        for b in batches:
+            out = [m.score(raw, off) for _, _, raw, off in _text.chunks(b.column(at))]
+            yield b.filter(pa.array(np.concatenate(out) >= least if out else np.zeros(0, bool)))
+
+    return documents.mapInArrow(run, documents.schema)
