@@ -6,6 +6,10 @@ n-grams come out of whole-buffer numpy passes; no Python object is made per word
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy pass works on (a single longer text is still taken whole).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = {"n": 0}
@@ -24,6 +28,22 @@ def bounded_batches(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 
+def released(run):
+    """Wraps an Arrow map so that its Python worker, which later tasks reuse, gives its memory back at a task's end."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the n+1 row offsets of a string column; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):

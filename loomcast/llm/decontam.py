@@ -270,7 +270,7 @@ def _pass(documents: DataFrame, items: list, window: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return documents.mapInArrow(run, _STATE)
+    return documents.mapInArrow(_text.released(run), _STATE)
 
 
 def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:

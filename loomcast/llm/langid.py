@@ -101,7 +101,7 @@ def document_frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
                 n += len(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(BUCKETS), -1)), pa.array(np.append(df, n))], names=["bucket", "n"])
 
-    rows = documents.select("text").where("text is not null").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = documents.select("text").where("text is not null").mapInArrow(_text.released(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(BUCKETS + 1, np.int64)
     for r in rows:  # one row a bucket
         out[r[0]] = r[1]
@@ -159,4 +159,4 @@ def predict(documents: DataFrame, model: LanguageModel) -> DataFrame:
                 scores.append(s)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return documents.select("doc_id", "text").mapInArrow(_text.released(run), "doc_id long, lang_pred string, score double")

@@ -107,4 +107,4 @@ def media_columns(documents: DataFrame, keep_media: bool = True, keep_fingerprin
                 names.append("media")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, _DIGEST + (", fingerprint array<long>" if keep_fingerprint else "") + (", media binary" if keep_media else ""))
+    return documents.select("doc_id", "text").mapInArrow(_text.released(run), _DIGEST + (", fingerprint array<long>" if keep_fingerprint else "") + (", media binary" if keep_media else ""))

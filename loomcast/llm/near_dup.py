@@ -100,7 +100,7 @@ def signatures(documents: DataFrame, words: int = WORDS) -> DataFrame:
             c = np.concatenate(c) if c else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(n) if n else c, pa.int64()), pa.array(c, pa.int64(), mask=c == 0), pa.array(t, pa.binary())], names=["doc_id", "key", "n_shingles", "class", "tokens"])
 
-    return documents.select("doc_id", row_key(F.col("text")).alias("key"), "text").mapInArrow(run, "doc_id long, key long, n_shingles long, class long, tokens binary")
+    return documents.select("doc_id", row_key(F.col("text")).alias("key"), "text").mapInArrow(_text.released(run), "doc_id long, key long, n_shingles long, class long, tokens binary")
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -127,7 +127,7 @@ def _branch(rows: DataFrame, root: bool) -> DataFrame:
                 for k in range(BRANCHES):
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_children(nodes, tokens, np.uint64(k + 1)), pa.int64())], names=["class", "node"])
 
-    return rows.select("class", "tokens", *([] if root else ["node"])).mapInArrow(run, "class long, node long")
+    return rows.select("class", "tokens", *([] if root else ["node"])).mapInArrow(_text.released(run), "class long, node long")
 
 
 def leaves(classes: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def candidates(members: DataFrame) -> DataFrame:
             out += [(int(c[j]), int(c[i])) for i in _merge(label, j, near)]
         return out
 
-    return members.repartition("node").sortWithinPartitions("node").mapInArrow(lambda batches: _runs(batches, "node", compare), "a long, b long").distinct()
+    return members.repartition("node").sortWithinPartitions("node").mapInArrow(_text.released(lambda batches: _runs(batches, "node", compare)), "a long, b long").distinct()
 
 
 class _Sets:
@@ -245,7 +245,7 @@ def confirmed(groups: DataFrame, words: int = WORDS) -> DataFrame:
                 out += [(int(c[j]), int(c[i])) for i in _merge(label, j, near)]
         return out
 
-    return groups.repartition("task").sortWithinPartitions("task").mapInArrow(lambda batches: _runs(batches, "task", compare), "a long, b long")
+    return groups.repartition("task").sortWithinPartitions("task").mapInArrow(_text.released(lambda batches: _runs(batches, "task", compare)), "a long, b long")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:

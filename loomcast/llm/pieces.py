@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from loomcast.llm import _text
 
-MARK, REMEMBERED, _INFINITE = "▁", 400_000, float("inf")
+MARK, REMEMBERED, _INFINITE = "▁", 150_000, float("inf")
 _PARTS = re.compile(f"[\n{MARK}]")
 
 
@@ -166,7 +166,7 @@ def encode(documents: DataFrame, vocabulary_path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)), mask=pa.array(missing, pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(np.where(missing, 0, np.diff(ends)), pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_pieces", "round_trip"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
+    return documents.select("doc_id", "text").mapInArrow(_text.released(run), "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -180,4 +180,4 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else codec.decode(x) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(_text.released(run), "doc_id long, text string")

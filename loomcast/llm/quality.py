@@ -102,7 +102,7 @@ def score(documents: DataFrame, model: QualityModel) -> DataFrame:
             out = [m.score(raw, off) for _, _, raw, off in _text.chunks(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["doc_id", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return documents.select("doc_id", "text").mapInArrow(_text.released(run), "doc_id long, score double")
 
 
 def keep_good(documents: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
@@ -117,4 +117,4 @@ def keep_good(documents: DataFrame, model: QualityModel, least: float = 0.5) ->
             out = [m.score(raw, off) for _, _, raw, off in _text.chunks(b.column(at))]
             yield b.filter(pa.array(np.concatenate(out) >= least if out else np.zeros(0, bool)))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(_text.released(run), documents.schema)

@@ -228,4 +228,4 @@ def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
             out = [m.score(raw, off) for _, _, raw, off in _text.chunks(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["doc_id", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return documents.select("doc_id", "text").mapInArrow(_text.released(run), "doc_id long, score double")
