@@ -1,0 +1 @@
+"""Nothing here: the engine has batch operators alone; its stateful recursions (boosting, iterated forecasts) are bounded loops."""
