@@ -25,7 +25,7 @@ _powers = {"n": 0}
 
 def bounded_batches(spark) -> None:
     """Keeps Arrow batches between the JVM and Python small, so that very long texts cannot pile up in one."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 
 
 def released(run):

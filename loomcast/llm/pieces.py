@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from loomcast.llm import _text
 
-MARK, REMEMBERED, _INFINITE = "▁", 150_000, float("inf")
+MARK, REMEMBERED, _INFINITE = "▁", 60_000, float("inf")
 _PARTS = re.compile(f"[\n{MARK}]")
 
 
