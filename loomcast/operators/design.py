@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
-OWN = W.partitionBy("series").orderBy("index")
-BACK = W.partitionBy("series").orderBy(F.col("index").desc())
+
+def own() -> WindowSpec:
+    """A series' rows in order; made when asked for, as a window needs a session."""
+    return W.partitionBy("series").orderBy("index")
+
+
+def back() -> WindowSpec:
+    return W.partitionBy("series").orderBy(F.col("index").desc())
 
 
 def lag_lead(panel: DataFrame, lags: int, horizon: int, complete: bool = True, diffs: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(series, index, keep.., lag_1.., [diff_lag_2..], ahead_0..); ahead_0 is y itself. ``complete``: rows with all of them only."""
-    past = [F.lag("y", k).over(OWN).alias(f"lag_{k}") for k in range(1, lags + 1)]
-    future = [F.lead("y", k).over(OWN).alias(f"ahead_{k}") if k else F.col("y").alias("ahead_0") for k in range(horizon)]
+    past = [F.lag("y", k).over(own()).alias(f"lag_{k}") for k in range(1, lags + 1)]
+    future = [F.lead("y", k).over(own()).alias(f"ahead_{k}") if k else F.col("y").alias("ahead_0") for k in range(horizon)]
     out = panel.select("series", "index", *keep, *past, *future)
     if complete:
         out = out.dropna(subset=[*[f"lag_{k}" for k in range(1, lags + 1)], *[f"ahead_{k}" for k in range(horizon)]])
@@ -40,22 +46,22 @@ def season(panel: DataFrame, length: int) -> DataFrame:
 
 def tail_split(rows: DataFrame, k: int) -> DataFrame:
     """Adds is_test: the last k rows of each series."""
-    return rows.withColumn("is_test", F.row_number().over(BACK) <= k)
+    return rows.withColumn("is_test", F.row_number().over(back()) <= k)
 
 
 def holdout(rows: DataFrame, k: int) -> DataFrame:
     """Adds is_eval: the last k rows of series that have more than k."""
-    return rows.withColumn("is_eval", (F.row_number().over(BACK) <= k) & (F.count("*").over(W.partitionBy("series")) > k))
+    return rows.withColumn("is_eval", (F.row_number().over(back()) <= k) & (F.count("*").over(W.partitionBy("series")) > k))
 
 
 def cv_folds(rows: DataFrame, folds: int, block: int, min_train: int | None = None) -> DataFrame:
     """(series, index, fold, part) for rolling-origin folds; fold 0 is the oldest; series too short for a fold are left out of it."""
     least = max(1, block // 2) if min_train is None else min_train
-    r, n = F.row_number().over(BACK) - 1, F.count("*").over(W.partitionBy("series"))
+    r, n = F.row_number().over(back()) - 1, F.count("*").over(W.partitionBy("series"))
     out = rows.select("series", "index", r.alias("r"), n.alias("n")).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    back = F.lit(folds) - F.col("fold")
-    out = out.where(F.col("n") - back * block >= least)
-    part = F.when(F.floor(F.col("r") / block) == back - 1, "test").when(F.col("r") >= back * block, "train")
+    left = F.lit(folds) - F.col("fold")
+    out = out.where(F.col("n") - left * block >= least)
+    part = F.when(F.floor(F.col("r") / block) == left - 1, "test").when(F.col("r") >= left * block, "train")
     return out.select("series", "index", "fold", part.alias("part")).where("part is not null")
 
 
@@ -73,17 +79,17 @@ def scale(rows: DataFrame, scales: DataFrame, columns: list[str], by: str = "mea
 
 def unscale(rows: DataFrame, columns: list[str], integer: bool = False, by: str = "mean_series") -> DataFrame:
     """Multiplies back; ``integer`` rounds half to even and clips at 0."""
-    def back(c: str) -> Column:
+    def unscaled(c: str) -> Column:
         x = F.col(c) * F.col(by)
         return F.greatest(F.rint(x), F.lit(0.0)) if integer else x
 
-    return rows.withColumns({c: back(c) for c in columns})
+    return rows.withColumns({c: unscaled(c) for c in columns})
 
 
 def seasonal_scale(panel: DataFrame, drop_last: int, season_length: int, fallback: bool = True) -> DataFrame:
     """(series, scale): mean absolute seasonal difference without the last rows; the lag-1 one where it is 0 or missing."""
-    kept = panel.withColumn("_r", F.row_number().over(BACK)).where(F.col("_r") > drop_last)
-    d = kept.select("series", F.abs(F.col("y") - F.lag("y", season_length).over(OWN)).alias("s"), F.abs(F.col("y") - F.lag("y", 1).over(OWN)).alias("o"))
+    kept = panel.withColumn("_r", F.row_number().over(back())).where(F.col("_r") > drop_last)
+    d = kept.select("series", F.abs(F.col("y") - F.lag("y", season_length).over(own())).alias("s"), F.abs(F.col("y") - F.lag("y", 1).over(own())).alias("o"))
     out = d.groupBy("series").agg(F.avg("s").alias("s"), F.avg("o").alias("o"))
     return out.select("series", (F.when(F.col("s") > 0, F.col("s")).otherwise(F.col("o")) if fallback else F.col("s")).alias("scale"))
 
@@ -98,7 +104,7 @@ def decay_weights(n: int, ratio: float | None) -> list[float]:
 
 def naive(panel: DataFrame, horizon: int, season_length: int = 1) -> DataFrame:
     """(series, h, actual, pred): the last ``horizon`` rows against the last value, or the last season's, before them."""
-    r = panel.withColumn("r", F.row_number().over(BACK) - 1)
+    r = panel.withColumn("r", F.row_number().over(back()) - 1)
     test = r.where(F.col("r") < horizon).select("series", (F.lit(horizon) - F.col("r")).alias("h"), F.col("y").alias("actual"))
     past = r.where((F.col("r") >= horizon) & (F.col("r") < horizon + season_length)).select("series", (F.lit(horizon + season_length - 1) - F.col("r")).alias("place"), F.col("y").alias("pred"))
     return test.withColumn("place", F.pmod(F.col("h") - 1, F.lit(season_length))).join(past, ["series", "place"]).select("series", F.col("h").cast("int").alias("h"), "actual", "pred")

@@ -661,7 +661,7 @@ def union_panels(spark, sf_dir):
 
 @query(f"WITH {PH}, k AS (SELECT series, stddev_samp(y) AS sd, arg_max(y, index) AS last, arg_max(y, index) FILTER (index < (SELECT max(index) FROM ph)) AS prev FROM ph GROUP BY series) SELECT series, round(abs(prev - last) / sd, 6) AS gap FROM k ORDER BY gap, series LIMIT 3")
 def top_gap_per_dataset(spark, sf_dir):
-    p = panel(spark, sf_dir, "ph").withColumn("prev", F.lag("y").over(design.OWN))
+    p = panel(spark, sf_dir, "ph").withColumn("prev", F.lag("y").over(design.own()))
     out = p.groupBy("series").agg((F.abs(F.max_by("prev", "index") - F.max_by("y", "index")) / F.stddev_samp("y")).alias("gap"))
     return _rounded(out).orderBy("gap", "series").limit(3)
 

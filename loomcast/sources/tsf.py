@@ -46,10 +46,11 @@ def read_tsf(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     if not data:
         raise ValueError("no @data section")
     cells = F.split(F.trim("value"), ":")
-    rows = text.where(~F.trim("value").startswith("@")).withColumn("cells", F.when(F.size(cells) == len(attributes) + 1, cells).otherwise(F.raise_error(F.concat(F.lit("wrong number of fields: "), F.substring("value", 1, 80)))))
+    header = F.trim("value").startswith("@")  # asked again below: the order in which filters run is not given
+    rows = text.where(~header).withColumn("cells", F.when(header, F.lit(None)).when(F.size(cells) == len(attributes) + 1, cells).otherwise(F.raise_error(F.concat(F.lit("wrong number of fields: "), F.substring("value", 1, 80)))))
     kinds = {"numeric": lambda c: c.try_cast("bigint"), "string": lambda c: c, "date": lambda c: F.to_timestamp_ntz(c, F.lit("yyyy-MM-dd HH-mm-ss"))}
     values = F.transform(F.split(F.element_at("cells", -1), ","), lambda x: F.nullif(F.trim(x), F.lit("?")).try_cast("double"))
-    known = F.when(F.exists(values, lambda x: x.isNotNull()), values).otherwise(F.raise_error(F.lit("all values of a series are missing")))
+    known = F.when(F.col("cells").isNull(), F.lit(None)).when(F.exists(values, lambda x: x.isNotNull()), values).otherwise(F.raise_error(F.lit("all values of a series are missing")))
     return rows.select(*[kinds[k](F.col("cells")[i]).alias(n) for i, (n, k) in enumerate(attributes)], known.alias("series_value")), meta
 
 
