@@ -4,31 +4,90 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from loomcast.sources.tables import cut
+
 TIE = 1e-7
 
 
-def greedy_bins(values: DataFrame, bins: int, by: str = "p", value: str = "v") -> DataFrame:
+#: Distinct values that one task may fold over; more of them are binned by range partitions.
+FOLD_LIMIT = 200_000
+
+
+def _tie_ends(counts: DataFrame) -> DataFrame:
+    """(p, v, next_v, cum): values that a larger one follows by more than a tie, or none at all; ``cum`` rows are not above them. A window for each p."""
+    w = W.partitionBy("p").orderBy("v")
+    out = counts.select("p", "v", F.lead("v").over(w).alias("next_v"), F.sum("n").over(w).alias("cum"))
+    return out.where(F.col("next_v").isNull() | (F.col("next_v") - F.col("v") > TIE))
+
+
+def _ranged_tie_ends(counts: DataFrame) -> DataFrame:
+    """The same without a task that sees all values of a p: windows stay in range partitions, and what comes before and after a
+    partition (a few numbers for each) is worked out on the driver."""
+    spark = counts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(counts.repartitionByRange(parts, "p", "v").withColumn("part", F.spark_partition_id()))
+    edges = ranged.groupBy("p", "part").agg(F.sum("n").alias("n"), F.min("v").alias("first")).orderBy("p", "part").collect()  # partitions + features rows
+    known, before = [], 0
+    for i, r in enumerate(edges):
+        before = before if i and edges[i - 1]["p"] == r["p"] else 0
+        follows = i + 1 < len(edges) and edges[i + 1]["p"] == r["p"]
+        known.append((r["p"], r["part"], before, edges[i + 1]["first"] if follows else None))
+        before += r["n"]
+    kinds = dict(counts.dtypes)
+    around = spark.createDataFrame(known, f"p {kinds['p']}, part int, before long, follows {kinds['v']}")
+    w = W.partitionBy("p", "part").orderBy("v")
+    own = ranged.join(F.broadcast(around), ["p", "part"])
+    out = own.select("p", "v", F.coalesce(F.lead("v").over(w), F.col("follows")).alias("next_v"), (F.sum("n").over(w) + F.col("before")).alias("cum"))
+    return cut(out.where(F.col("next_v").isNull() | (F.col("next_v") - F.col("v") > TIE)))
+
+
+def _folded(ends: DataFrame, sizes: DataFrame, bins: int) -> DataFrame:
+    """One pass over a p's tie ends in order; only closed bins are kept."""
+    lists = ends.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("cum", "v", "next_v"))).alias("ends")).join(F.broadcast(sizes), "p")
+    kind = "array<struct<bin:int,bin_min:double,bin_max:double,n:bigint>>"
+
+    def step(s, e):
+        closes = e["next_v"].isNull() | ((s["bin"] < bins - 1) & (e["cum"] - s["start"] >= F.floor(F.col("total") / bins)))
+        entry = F.struct(s["bin"].alias("bin"), s["lo"].alias("bin_min"), e["v"].cast("double").alias("bin_max"), (e["cum"] - s["start"]).alias("n"))
+        return F.when(closes, F.struct((s["bin"] + 1).alias("bin"), e["cum"].alias("start"), e["next_v"].cast("double").alias("lo"), F.concat(s["out"], F.array(entry)).alias("out"))).otherwise(s)
+
+    start = F.struct(F.lit(0).alias("bin"), F.lit(0).cast("bigint").alias("start"), F.col("least").cast("double").alias("lo"), F.array().cast(kind).alias("out"))
+    return lists.select("p", F.explode(F.aggregate("ends", start, step)["out"]).alias("r")).select("p", "r.*")
+
+
+def _stepped(ends: DataFrame, sizes: DataFrame, bins: int) -> DataFrame:
+    """One small job for each bin, over all p at once: the first tie end with enough rows since the last one."""
+    spark = ends.sparkSession
+    at = {r["p"]: [r["total"] // bins, 0, r["least"]] for r in sizes.collect()}  # one row a feature
+    kinds, out = dict(ends.dtypes), []
+    for b in range(bins):
+        state = spark.createDataFrame([(p, since, need) for p, (need, since, _) in at.items()], f"p {kinds['p']}, since long, need long")
+        reached = F.col("next_v").isNull() | ((F.col("cum") - F.col("since") >= F.col("need")) & F.lit(b < bins - 1))
+        near = ends.join(F.broadcast(state), "p").where((F.col("cum") > F.col("since")) & reached)
+        for r in near.groupBy("p").agg(F.min(F.struct("cum", "v", "next_v")).alias("e")).collect():
+            need, since, lo = at.pop(r["p"])
+            out.append((r["p"], b, float(lo), float(r["e"]["v"]), r["e"]["cum"] - since))
+            if r["e"]["next_v"] is not None:
+                at[r["p"]] = [need, r["e"]["cum"], r["e"]["next_v"]]
+        if not at:
+            break
+    return spark.createDataFrame(out, f"p {kinds['p']}, bin int, bin_min double, bin_max double, n long")
+
+
+def greedy_bins(values: DataFrame, bins: int, by: str = "p", value: str = "v", fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """(by, bin, bin_min, bin_max, n): equal-frequency bins that never part equal values.
 
     A bin closes once it holds total/bins rows and the next value is larger by more than 1e-7; the last number takes the rest. Rows are
-    counted by value first (partial aggregation), so the fold sees distinct values, not rows.
+    counted by value first (partial aggregation) and the counts kept, so all that follows sees distinct values, not rows. Up to
+    ``fold_limit`` of them are folded in a task a group; more stay in range partitions.
     """
-    counts = values.groupBy(F.col(by).alias("p"), F.col(value).alias("v")).agg(F.count("*").alias("n")).where("v is not null")
-    w = W.partitionBy("p").orderBy("v")
-    fresh = F.when(F.col("v") - F.lag("v").over(w) > TIE, 1).otherwise(0)
-    runs = counts.withColumn("new", fresh).withColumn("run", F.sum("new").over(w)).groupBy("p", "run").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("n"))
-    lists = runs.groupBy("p").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("lo", "hi", "n"))).alias("runs"))
-    kind = "array<struct<bin:int,lo:double,hi:double,n:bigint>>"
-
-    def step(s, r):
-        opens = (s["count"] >= F.floor(F.col("total") / bins)) & (s["bin"] < bins - 1)
-        bin_ = F.when(opens, s["bin"] + 1).otherwise(s["bin"])
-        entry = F.struct(bin_.alias("bin"), r["lo"].cast("double").alias("lo"), r["hi"].cast("double").alias("hi"), r["n"].alias("n"))
-        return F.struct(bin_.alias("bin"), (F.when(opens, F.lit(0)).otherwise(s["count"]) + r["n"]).cast("bigint").alias("count"), F.concat(s["out"], F.array(entry)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("bin"), F.lit(0).cast("bigint").alias("count"), F.array().cast(kind).alias("out"))
-    folded = lists.select("p", F.explode(F.aggregate("runs", start, step)["out"]).alias("r"))
-    return folded.groupBy("p", "r.bin").agg(F.min("r.lo").alias("bin_min"), F.max("r.hi").alias("bin_max"), F.sum("r.n").alias("n")).withColumnRenamed("p", by)
+    counts = cut(values.select(F.col(by).alias("p"), F.col(value).alias("v")).where("v is not null").groupBy("p", "v").agg(F.count("*").alias("n")))
+    sizes = counts.groupBy("p").agg(F.sum("n").alias("total"), F.min("v").alias("least"))
+    if counts.count() <= fold_limit:
+        out = _folded(_tie_ends(counts), sizes, bins)
+    else:
+        out = _stepped(_ranged_tie_ends(counts), sizes, bins)
+    return out.withColumnRenamed("p", by)
 
 
 def equal_width(values: DataFrame, bins: int, by: str = "p", value: str = "v") -> DataFrame:

@@ -65,6 +65,20 @@ def cv_folds(rows: DataFrame, folds: int, block: int, min_train: int | None = No
     return out.select("series", "index", "fold", part.alias("part")).where("part is not null")
 
 
+def _digest(seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.col("series").cast("string"), F.col("index").cast("string"), F.lit(str(seed))))
+
+
+def kfold(rows: DataFrame, folds: int, seed: int = 10, by_series: bool = True) -> DataFrame:
+    """(series, index, fold): shuffled folds by a seeded digest. ``by_series``: each series is dealt out evenly; else rows go by
+    their digest alone, which needs no shuffle and makes folds of about equal size."""
+    if by_series:
+        fold = F.ntile(folds).over(W.partitionBy("series").orderBy(_digest(seed), "index")) - 1
+    else:
+        fold = F.conv(F.substring(_digest(seed), 1, 8), 16, 10).cast("bigint") % folds
+    return rows.select("series", "index", fold.cast("int").alias("fold"))
+
+
 def series_means(train: DataFrame, column: str = "lag_1", zero: str = "mean") -> DataFrame:
     """(series, mean_series); a zero mean becomes the mean of all series' means, or 1."""
     means = train.groupBy("series").agg(F.avg(column).alias("m"))

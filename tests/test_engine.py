@@ -122,3 +122,17 @@ def test_empty_panel(spark):
     assert dense_panel(empty, "s", "t", "v", "day").count() == 0
     assert design.cv_folds(spark.createDataFrame([("a", 0, 1.0)], "series string, index long, y double"), 3, 2).count() == 0
     assert F is not None
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_ranged_bins_equal_folded_ones(spark, name):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(0, x) for x in CASES[name]] + [(1, float(x)) for x in np.round(rng.normal(size=300), 2)] + [(2, 5.0), (2, 5.0 + 5e-8), (2, 6.0), (1, None)], "p int, v double")
+    folded, ranged = (sorted(map(tuple, binning.greedy_bins(rows, 8, fold_limit=k).collect())) for k in (10_000, 0))
+    assert folded == ranged
+
+
+def test_bins_of_nothing(spark):
+    empty = spark.createDataFrame([(0, None)], "p int, v double")
+    assert binning.greedy_bins(empty, 8).count() == 0
+    assert binning.greedy_bins(empty, 8, fold_limit=-1).count() == 0
