@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from loomcast.plans import experiments  # noqa: F401  registers its queries
 from loomcast.plans import queries as P
 
 SF = "/root/testdata/sf0.001"
