@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loomcast.operators.binning import greedy_bins
+from loomcast.sources.tables import cut
 
 
 @dataclass
@@ -99,24 +100,50 @@ def grow(rows: DataFrame, features: list[str], objective: Objective, depth: int
         data.unpersist()
 
 
+#: Splits that one nested CASE may hold; deeper levels are placed by a join with their few splits, and checkpointed.
+CASE_SPLITS = 63
+
+
+def _places(nodes: dict[int, Node], cuts: dict[int, int], at: int = 0) -> Column:
+    """The node of a row by its bins: one nested CASE, as long as the tree has nodes."""
+    if at not in cuts:
+        return F.lit(at)
+    x = nodes[at]
+    return F.when(F.col("bins")[x.feature] <= cuts[at], _places(nodes, cuts, x.left)).otherwise(_places(nodes, cuts, x.right))
+
+
+def _moved(data: DataFrame, splits: list[tuple]) -> DataFrame:
+    """Rows of split nodes go to the children; the splits are one small row a node of one level."""
+    table = data.sparkSession.createDataFrame(splits, "node int, _p int, _bin int, _left int, _right int")
+    node = F.when(F.col("_p").isNull(), F.col("node")).when(F.get("bins", F.col("_p")) <= F.col("_bin"), F.col("_left")).otherwise(F.col("_right"))
+    return cut(data.join(F.broadcast(table), "node", "left").withColumn("node", node).drop("_p", "_bin", "_left", "_right"))
+
+
 def _levels(data: DataFrame, edges: list, objective: Objective, depth: int, min_leaf: int, how: str) -> list[Node]:
     nodes: dict[int, Node] = {}
-    open_, place, level = [0], F.lit(0), 0
+    cuts: dict[int, int] = {}
+    open_, level = [0], 0
     while open_:
-        now = data.withColumn("node", place).where(F.col("node").isin(open_))
+        now = data.withColumn("node", _places(nodes, cuts)) if len(cuts) <= CASE_SPLITS else data
+        now = now.where(F.col("node").isin(open_))
         for r in now.groupBy("node").agg(F.count("*").alias("n"), *[F.avg(x).alias(x) for x in objective.labels]).collect():
             nodes[r["node"]] = Node(r["node"], level, r["n"], [r[x] for x in objective.labels])
         ready = [i for i in open_ if i in nodes and nodes[i].n >= 2 * min_leaf]
         if level == depth or not ready:
             break
-        cuts = split_candidates(histogram(now.where(F.col("node").isin(ready)), objective.labels), objective, min_leaf)
-        open_ = []
-        for r in sorted(best_splits(cuts, objective, how).collect(), key=lambda r: r["node"]):
-            top = max([*nodes, *open_])
+        found = split_candidates(histogram(now.where(F.col("node").isin(ready)), objective.labels), objective, min_leaf)
+        joined, open_, splits = len(cuts) > CASE_SPLITS, [], []
+        before = _places(nodes, cuts) if not joined else None
+        top = max(nodes)
+        for r in sorted(best_splits(found, objective, how).collect(), key=lambda r: r["node"]):
             p, x = r["p"], nodes[r["node"]]
             x.feature, x.threshold, x.left, x.right = p, 0.5 * (edges[p][r["bin"]][1] + edges[p][r["next_bin"]][0]), top + 1, top + 2
+            top += 2
             open_ += [x.left, x.right]
-            place = F.when(place == x.node_id, F.when(F.col("bins")[p] <= r["bin"], x.left).otherwise(x.right)).otherwise(place)
+            cuts[x.node_id] = r["bin"]
+            splits.append((x.node_id, p, r["bin"], x.left, x.right))
+        if splits and len(cuts) > CASE_SPLITS:
+            data = _moved(data if joined else data.withColumn("node", before), splits)
         level += 1
     return [nodes[i] for i in sorted(nodes)]
 
