@@ -119,7 +119,7 @@ def refit_per_horizon(spark, sf_dir):
 
 @query()
 def benchmark_run(spark, sf_dir):
-    """All variants and families on two panels: fitted, stored by dataset, read again and summed up; keys already in the store are left out."""
+    """All variants and families on two panels: fitted, stored by dataset, read again and summed up."""
     path, out = tables.fresh_path(spark, "forecasts"), []
     for name, lags, season in (("pm", 6, S), ("pd", 5, 7)):
         tables.store_forecasts(refit(spark, sf_dir, name, lags, trees=8).withColumn("dataset", F.lit(name)), path)
