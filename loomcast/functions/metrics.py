@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomcast.operators import design
+
 
 def finite(x: Column) -> Column:
     """The value, or null for NaN and infinities."""
@@ -36,3 +38,9 @@ def per_horizon(forecast: DataFrame, scales: DataFrame) -> DataFrame:
     a, f = F.col("actual"), F.col("pred")
     rows = forecast.join(scales, "series").select("h", F.try_divide(F.abs(a - f), F.when(F.col("scale") > 0, F.col("scale"))).alias("mase"), smape_term(a, f).alias("smape"), ((a - f) * (a - f)).alias("sq"))
     return rows.groupBy("h").agg(F.avg("mase").alias("mase_mean"), F.median("mase").alias("mase_med"), F.avg("smape").alias("smape_mean"), F.median("smape").alias("smape_med"), F.sqrt(F.avg("sq")).alias("rmse"))
+
+
+def mase_of_history(forecast: DataFrame, history: DataFrame, season_length: int) -> DataFrame:
+    """(series, mase) with the scale of each series' raw training rows: their mean absolute seasonal difference, or that of lag 1 where the
+    history is no longer than a season or the seasonal one is 0; null where neither is positive."""
+    return by_row(forecast, design.seasonal_scale(history, 0, season_length)).select("series", "mase")

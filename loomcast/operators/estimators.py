@@ -6,6 +6,7 @@ at any size. ``BoostedModel`` and ``ForestModel`` fit in tasks on arrays, so a p
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from loomcast.operators import design, kernel, tree
+from loomcast.sources import tables
 
 #: Numbers (rows x columns) that the array tier takes: 1.6 GB of doubles.
 MAX_CELLS = 200_000_000
@@ -111,6 +113,56 @@ class _Model:
 
         return rows.drop("pred").mapInPandas(run, schema)
 
+    def _by_series(self, table: DataFrame, column: str) -> np.ndarray:
+        """A column of a (series, ..) table, for each fitted row; NaN for series that it lacks."""
+        known = dict(table.join(F.broadcast(table.sparkSession.createDataFrame([(s,) for s in self._order["series"].unique()], table.select("series").schema)), "series").select("series", column).collect())
+        return self._order["series"].map(known).to_numpy(float)
+
+    def _folds(self, rows: DataFrame, cv: str, n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if cv == "time":
+            marks = design.cv_folds(rows, n, self.data.horizon).toPandas()
+            if not len(marks):  # series too short for any origin
+                return self._folds(rows, "series", n, seed)
+        elif cv in ("series", "plain"):
+            marks = design.kfold(rows, n, seed, cv == "series").toPandas()
+        else:
+            raise ValueError(f"cv: {cv}")
+        marks = marks.merge(self._order.assign(at=np.arange(len(self._order))), on=["series", "index"])
+        if cv == "time":
+            parts = [tuple(np.sort(g.loc[g["part"] == k, "at"].to_numpy()) for k in ("train", "test")) for _, g in marks.groupby("fold")]
+        else:
+            fold = marks.sort_values("at")["fold"].to_numpy()
+            parts = [(np.flatnonzero(fold != k), np.flatnonzero(fold == k)) for k in range(n)]
+        return [(a, b) for a, b in parts if len(a) and len(b)]
+
+    def tune_penalties(self, rows: DataFrame, decays=(0.0, 0.5, 1.0), lambdas=(0.0, 0.2, 0.5), betas=(0.0, 0.2, 0.5), folds: int = 5, depths=None, cv: str = "time", seed: int = 5,
+                       error: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, scales: DataFrame | None = None) -> tuple[dict, DataFrame, DataFrame]:
+        """(best parameters, log, summary) of a grid of decays and group weights: one deep tree a task, scored at every depth.
+
+        cv: "time" (rolling origins; shuffled within series if no series is long enough), "series" or "plain" folds. ``error`` takes
+        targets and predictions and gives a row's error (absolute by default); ``scales`` (series, scale) divides it. The log has a row
+        a fold, depth and cell, the summary their means; ties go to the smaller depth, decay and weights. Rows must be
+        unique by series and index; this is the array tier, so that MAX_CELLS holds.
+        """
+        x, y, groups, _ = self._arrays(rows)
+        if self._order.duplicated().any():
+            raise ValueError("rows repeat a series and index")
+        parts = self._folds(rows, cv, folds, seed)
+        if not parts:
+            raise ValueError("no fold has rows to train and to test on")
+        n = len(set(self.data.groups))
+        cells = [{"decay": float(d), "lam": float(a), "beta": float(b)} for d in decays for a in (lambdas if n > 1 else [0.0]) for b in (betas if n > 2 else [0.0])]
+        p = kernel.Params(self.max_depth, self.min_leaf, self.bins, how=self.how)
+        divisor = np.ones(len(x)) if scales is None else self._by_series(scales, "scale")
+        log = kernel.grid(rows.sparkSession, x, y, groups, parts, cells, list(depths or [self.max_depth]), self.data.horizon, divisor, p, lambda d: np.array(self.data.weights(d)), seed, error)
+        log = tables.cut(log)
+        key = ["depth", "decay", "lam", "beta"]
+        summary = log.groupBy(*key).agg(*[F.avg(F.nanvl(c, F.lit(None).cast("double"))).alias(c) for c in ("train_error", "test_error")])
+        best = summary.where("test_error is not null").orderBy("test_error", *key).first()
+        if best is None:
+            raise ValueError("no finite error")
+        return {"depth": best["depth"], "decay": best["decay"], "objective_weights": (1.0, best["lam"], best["beta"])}, log, summary
+
     def score(self, predicted: DataFrame) -> DataFrame:
         """(h, mse) of rows that have the targets and ``pred``."""
         parts = [F.struct(F.lit(k + 1).alias("h"), (F.col(c) - F.col("pred")[k]).alias("e")) for k, c in enumerate(self.data.targets)]
@@ -143,17 +195,30 @@ class BoostedModel(_Model):
     eval_k: int = 0
     patience: int = 40
     seed: int = 10
+    metric: str = "mse"
+    min_delta: float = 0.0
+    refit_on_full: bool = False
     model: kernel.Boosted | None = None
 
-    def fit(self, rows: DataFrame) -> BoostedModel:
-        """With ``eval_k``, the last rows of each series that has more are held out and stop the rounds early."""
+    def fit(self, rows: DataFrame, scales: DataFrame | None = None) -> BoostedModel:
+        """With ``eval_k``, the last rows of each series that has more are held out and stop the rounds early.
+
+        metric "mase" needs ``scales`` (series, scale), in the labels' unit; series without a positive one are left out of it. With
+        ``refit_on_full`` the number of rounds found is fitted again on all rows; the losses stay those of the first fit.
+        """
+        if self.metric not in ("mse", "mase") or (self.metric == "mase" and scales is None):
+            raise ValueError("metric: mse, or mase with scales")
         x, y, groups, weights = self._arrays(rows)
         held = None
         if self.eval_k:
             g = self._order.groupby("series")
             held = ((g.cumcount(ascending=False) < self.eval_k) & (g["index"].transform("size") > self.eval_k)).to_numpy()
         p = kernel.Params(self.max_depth, self.min_leaf, self.bins, self.bagging_fraction, self.feature_fraction, True, self.how, self.objective_weights)
-        self.model = kernel.boost(x, y, groups, weights, p, self.n_estimators, self.rate, self.seed, held, self.patience)
+        by_row = None if scales is None else self._by_series(scales, "scale")
+        self.model = kernel.boost(x, y, groups, weights, p, self.n_estimators, self.rate, self.seed, held, self.patience, self.metric, by_row, self.min_delta)
+        if self.eval_k and self.refit_on_full:
+            again = kernel.boost(x, y, groups, weights, p, len(self.model.trees) - 1, self.rate, self.seed)
+            self.model = kernel.Boosted(again.trees, self.rate, self.model.history)
         return self
 
     def predict(self, rows: DataFrame, n_tree: int | None = None) -> DataFrame:

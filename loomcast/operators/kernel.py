@@ -5,6 +5,7 @@ Bins are made anew at every node from its own rows: equal-frequency, never betwe
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -118,12 +119,15 @@ def _split(x, y, groups, weights, group_weights, p: Params, features):
     return cells[best]
 
 
-def fit_tree(x: np.ndarray, y: np.ndarray, groups: np.ndarray, weights: np.ndarray, p: Params, seed: int = 0) -> Tree:
-    """Breadth first, with a budget of ``min(n // min_leaf, 2**depth)`` leaves."""
+def fit_tree(x: np.ndarray, y: np.ndarray, groups: np.ndarray, weights: np.ndarray, p: Params, seed: int = 0, rows: np.ndarray | None = None) -> Tree:
+    """Breadth first, with a budget of ``min(n // min_leaf, 2**depth)`` leaves.
+
+    ``rows``: fits on these positions of the arrays without copying them; the tree is that of the copied rows.
+    """
     rng = np.random.RandomState(seed)
-    rows = np.arange(len(x))
+    rows = np.arange(len(x)) if rows is None else rows
     if p.row_share < 1:
-        rows = np.sort(rng.permutation(len(x))[: int(np.ceil(len(x) * p.row_share))])
+        rows = rows[np.sort(rng.permutation(len(rows))[: int(np.ceil(len(rows) * p.row_share))])]
     width = x.shape[1]
     n_features = min(width, int(p.feature_share * width) + 1) if p.feature_share < 1 else width
     budget = max(1, min(len(rows) // max(p.min_leaf, 1), 2 ** min(p.max_depth, 30)))
@@ -226,11 +230,12 @@ def boost(x, y, groups, weights, p: Params, rounds: int = 100, rate: float = 0.0
         return float((np.abs(e).mean(axis=1)[good] / s[good]).mean()) if good.any() else float("nan")
 
     seeds = tree_seeds(seed, rounds + 1)
-    trees = [fit_tree(x[train], y[train], groups, weights, replace(p, max_depth=1, row_share=1.0, feature_share=1.0), seeds[0])]
+    at = np.flatnonzero(train)
+    trees = [fit_tree(x, y, groups, weights, replace(p, max_depth=1, row_share=1.0, feature_share=1.0), seeds[0], at)]
     pred = trees[0].predict(x)
     history, best, best_at = [], np.inf, 0
     for k in range(rounds):
-        t = fit_tree(x[train], (y - pred)[train], groups, weights, p, seeds[k + 1])
+        t = fit_tree(x, y - pred, groups, weights, p, seeds[k + 1], at)
         trees.append(t)
         pred = pred + rate * t.predict(x)
         if eval_rows is not None:
@@ -242,9 +247,20 @@ def boost(x, y, groups, weights, p: Params, rounds: int = 100, rate: float = 0.0
     return Boosted(trees[: best_at + 2] if eval_rows is not None else trees, rate, history)
 
 
-def grid(spark: SparkSession, x, y, groups, folds: list[tuple[np.ndarray, np.ndarray]], cells: list[dict], depths: list[int], horizon: int, scales: np.ndarray, p: Params, weights_of, seed: int = 10) -> DataFrame:
+def absolute(y: np.ndarray, pred: np.ndarray) -> np.ndarray:
+    return np.abs(y - pred).mean(axis=1)
+
+
+def squared(y: np.ndarray, pred: np.ndarray) -> np.ndarray:
+    return np.sqrt(((y - pred) ** 2).mean(axis=1))
+
+
+def grid(spark: SparkSession, x, y, groups, folds: list[tuple[np.ndarray, np.ndarray]], cells: list[dict], depths: list[int], horizon: int, scales: np.ndarray, p: Params, weights_of, seed: int = 10, error: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """The log of a cross-validation grid: one deep fit a task (cell x fold), scored at all depths by a cap.
 
+    ``error`` takes targets and predictions and gives a row's error, the mean absolute one by default; it is divided by ``scales``, and
+    what is not finite is left out.
+
     cells: dicts with decay, lam, beta. scales: what row errors are divided by. ``weights_of(decay)`` gives the labels' weights.
     """
     shared = spark.sparkContext.broadcast((x, y, groups, folds, scales, {c["decay"]: weights_of(c["decay"]) for c in cells}))
@@ -257,10 +273,12 @@ def grid(spark: SparkSession, x, y, groups, folds: list[tuple[np.ndarray, np.nda
         for b in batches:
             for r in b.itertuples():
                 train, test = folds[r.fold]
-                t = fit_tree(x[train], y[train], groups, weights[r.decay], replace(p, max_depth=max(depths), group_weights=(1.0, r.lam, r.beta)), int(r.seed))
+                t = fit_tree(x, y, groups, weights[r.decay], replace(p, max_depth=max(depths), group_weights=(1.0, r.lam, r.beta)), int(r.seed), train)
                 out = []
                 for d in depths:
-                    e = np.abs(t.predict(x, d) - y)[:, :horizon].mean(axis=1) / scales
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        e = (error or absolute)(y[:, :horizon], t.predict(x, d)[:, :horizon]) / scales
+                    e[~np.isfinite(e)] = np.nan
                     out.append((r.fold, d, r.decay, r.lam, r.beta, float(np.nanmean(e[train])), float(np.nanmean(e[test]))))
                 yield pd.DataFrame(out, columns=["fold", "depth", "decay", "lam", "beta", "train_error", "test_error"])
 

@@ -6,13 +6,13 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from loomcast.functions import metrics, stats
 from loomcast.operators import design, kernel, tree
 from loomcast.plans import queries as Q
 from loomcast.plans.queries import H, PD, PM, S, query
-from loomcast.sources import tables
+from loomcast.sources import generated, tables
 from loomcast.sources.panels import panel
 
 VARIANTS = {"base": (0.0, 0.0), "deriv": (0.5, 0.0), "seas": (0.0, 0.5), "both": (0.5, 0.5)}
@@ -226,3 +226,35 @@ def synthetic_aggregate(spark, sf_dir):
     """Per-seed medians relative to the base, and the bootstrap interval of their mean."""
     rows = Q._values(spark, [(str(s), m, v) for s, m, v in _SEEDS], "dataset string, method string, value double")
     return stats.bootstrap_mean(stats.relative_to_base(rows, "base"), "method", "rel_pct", 10_000)
+
+
+# --- calendar study -----------------------------------------------------------------------------------------------------------------
+
+
+def _calendar(spark: SparkSession) -> DataFrame:
+    """The generated days with ``variant``, the leaf (node_id) and the forecast of a tree without and of one with seasonal objectives."""
+    days, labels, out = tables.cut(generated.calendar_days(spark)), ["load", "sin_season", "cos_season"], None
+    for variant, beta in (("base", 0.0), ("seas", 0.5)):
+        objective = tree.Objective(labels, [0, 1, 1], [1.0, 1.0, 1.0], [1.0, beta])
+        features = ["temp", "sin_season", "cos_season"]
+        nodes = tree.grow(days.where("not is_test"), features, objective, 6, 32, 5)
+        rows = tree.predict(days, nodes, features).withColumns({"variant": F.lit(variant), "pred": F.col("pred")[0]})
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query()
+def calendar_leaves(spark, sf_dir):
+    """Share of each month in each leaf, over the training days."""
+    rows = _calendar(spark).where("not is_test").groupBy("variant", "node_id", "month").agg(F.count("*").alias("n"))
+    return rows.select("variant", "node_id", "month", "n", (F.col("n") / F.sum("n").over(W.partitionBy("variant", "node_id"))).alias("share"))
+
+
+@query()
+def calendar_stats(spark, sf_dir):
+    """By variant: purity of the leaves, and what part of December's rise the forecasts of the mild test days have."""
+    rows = tables.cut(_calendar(spark))
+    leaf = rows.where("not is_test").groupBy("variant", "node_id").agg(F.count("*").alias("n"), F.count_if("december").alias("d"), F.count_distinct("month").alias("months"), (F.var_pop("sin_season") + F.var_pop("cos_season")).alias("v"))
+    leaf = leaf.groupBy("variant").agg(F.count("*").alias("leaves"), F.max(F.col("d") / F.col("n")).alias("december_purity"), (F.max("d") / F.sum("d")).alias("december_modal_share"), F.avg("months").alias("months"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("dispersion"))
+    test = rows.where("is_test").groupBy("variant").agg(F.avg("load").alias("actual"), F.avg("pred").alias("pred"), F.avg((F.col("pred") - 100 + 2 * F.col("temp")) / generated.BUMP).alias("captured"))
+    return leaf.join(F.broadcast(test), "variant")  # two rows
