@@ -35,3 +35,11 @@ def lower_ascii(text: Column) -> Column:
 def row_key(text: Column) -> Column:
     """Tells rows with the same doc_id apart by their text; equal rows stay equal."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that the table does not have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomcast.llm import _text
-from loomcast.llm._tables import row_key, written
+from loomcast.llm._tables import free_name, row_key, written
 
 WINDOW, SHARD_BYTES, SAMPLE_STEP, MAX_BENCHMARK_BYTES = 13, 32 << 20, 8, 32 << 20
 
@@ -332,9 +332,10 @@ def brute_force(documents: list, items: list, window: int = WINDOW) -> list:
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast_rows: int = 500_000) -> DataFrame:
     """The documents, all columns, without the contaminated ones (see ``digest``)."""
     found = find(documents, benchmark, window)
-    bad = digest(found.withColumn("doc_id", F.struct("doc_id", row_key(F.col("text")).alias("key")))).where("contaminated").select(F.col("doc_id.doc_id").alias("_d"), F.col("doc_id.key").alias("_k"))
+    mine, d, k = (free_name(documents, x) for x in ("_key", "_d", "_k"))
+    bad = digest(found.withColumn("doc_id", F.struct("doc_id", row_key(F.col("text")).alias("key")))).where("contaminated").select(F.col("doc_id.doc_id").alias(d), F.col("doc_id.key").alias(k))
     bad = written(bad.distinct())
     if bad.count() <= max_broadcast_rows:  # two numbers a row, counted
         bad = F.broadcast(bad)
-    both = documents.withColumn("_key", row_key(F.col("text")))
-    return both.join(bad, both["doc_id"].eqNullSafe(bad["_d"]) & (both["_key"] == bad["_k"]), "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    both = documents.withColumn(mine, row_key(F.col("text")))
+    return both.join(bad, both["doc_id"].eqNullSafe(bad[d]) & (both[mine] == bad[k]), "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])

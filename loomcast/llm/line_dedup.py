@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomcast.llm._tables import row_key, written
+from loomcast.llm._tables import free_name, row_key, written
 
 MIN_CHARS, MAX_EDITS, LEVELS, MAX_BROADCAST_ROWS = 24, 1, 2, 500_000
 
@@ -182,14 +182,15 @@ def report(documents: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MA
 
 def clean(documents: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
     """The documents, all columns, without the removed lines, and without the texts that have nothing left."""
-    gone = removed(documents, min_chars, max_edits).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("gone").alias("_gone"))
-    both = documents.withColumn("_key", row_key(F.col("text")))
-    both = both.join(gone, both["doc_id"].eqNullSafe(gone["_d"]) & (both["_key"] == gone["_k"]), "left")
+    mine, d, k, gone, left = (free_name(documents, x) for x in ("_key", "_d", "_k", "_gone", "_text"))
+    away = removed(documents, min_chars, max_edits).select(F.col("doc_id").alias(d), F.col("key").alias(k), F.col("gone").alias(gone))
+    both = documents.withColumn(mine, row_key(F.col("text")))
+    both = both.join(away, both["doc_id"].eqNullSafe(away[d]) & (both[mine] == away[k]), "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    both = both.withColumn("_text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    both = both.where(F.col("_gone").isNull() | (F.trim(F.regexp_replace("_text", r"\s+", " ")) != ""))
-    return both.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns])
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    both = both.withColumn(left, F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept))
+    both = both.where(F.col(gone).isNull() | (F.trim(F.regexp_replace(left, r"\s+", " ")) != ""))
+    return both.select(*[F.col(left).alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns])
 
 
 ORACLE_SQL = f"""

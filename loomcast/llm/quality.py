@@ -117,4 +117,5 @@ def keep_good(documents: DataFrame, model: QualityModel, least: float = 0.5) ->
             out = [m.score(raw, off) for _, _, raw, off in _text.chunks(b.column(at))]
             yield b.filter(pa.array(np.concatenate(out) >= least if out else np.zeros(0, bool)))
 
-    return documents.mapInArrow(_text.released(run), documents.schema)
+    plain = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))])  # names with dots don't go through an Arrow map
+    return plain.mapInArrow(_text.released(run), plain.schema).toDF(*documents.columns)
