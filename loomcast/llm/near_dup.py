@@ -4,7 +4,7 @@ A text's set is its distinct shingles of ``WORDS`` words (hashed to 64 bits). Te
 minwise tokens: token i is (i, the least i-th hash of the set). Independent trees branch the classes recursively: a node selects
 ``BRANCHES`` token numbers by its own hash, and a class goes to the child of each selected token that it has, so that two classes
 share a child with their similarity as probability. Nodes of at most ``SMALL`` classes are compared exhaustively; larger ones branch again,
-down to ``DEPTH``, below which they are compared in random blocks of ``BLOCK``. Two classes of similarity 0.8 meet in a leaf with a
+down to ``DEPTH``. There, a node of over ``BLOCK`` classes goes as a whole to the full comparison: no pair of it is lost. Two classes of similarity 0.8 meet in a leaf with a
 probability of over 1 - 1e-6 if their nodes get small at the first level, and over 0.999 if they go on to the last.
 
 Comparison estimates the similarity from the tokens; what it lets through (``ESTIMATE``, four standard errors below the threshold) makes
@@ -13,8 +13,8 @@ the estimate lets through and that no link connects yet are compared on full set
 components come out. A group over ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles is split into blocks, and every pair of blocks is a task.
 Components come from repeated least labels with shortcuts; no link or component leaves the executors.
 
-Defined cases: null, empty and wordless texts have empty sets and link with nothing; rows of equal id are separate rows with
-the same id; repeated rows are exact copies; extra columns are ignored; an empty table gives an empty result. Class ids are 64-bit
+Defined cases: null, empty and wordless texts have empty sets and link with nothing; rows of null id have kept false, and stay in
+``without_copies``; rows of equal id are separate rows with the same id; repeated rows are exact copies; extra columns are ignored; an empty table gives an empty result. Class ids are 64-bit
 hashes of the set.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomcast.llm import _text
-from loomcast.llm._tables import row_key, written
+from loomcast.llm._tables import free_name, row_key, written
 
 WORDS, PERCENT = 4, 80
 TOKENS, TREES, BRANCHES, DEPTH, SMALL, BLOCK, BLOCK_SHINGLES, ESTIMATE = 64, 6, 2, 3, 64, 4096, 4_000_000, 0.6
@@ -130,22 +130,25 @@ def _branch(rows: DataFrame, root: bool) -> DataFrame:
     return rows.select("class", "tokens", *([] if root else ["node"])).mapInArrow(_text.released(run), "class long, node long")
 
 
-def leaves(classes: DataFrame) -> DataFrame:
-    """(class, node): the members of all leaves, of two classes or more each."""
-    rows, out = _branch(classes, True), None
+def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(class, node): the members of all leaves to compare, of two classes or more each; and (class, node) of the last level's larger nodes."""
+    rows, out, large = _branch(classes, True), None, None
     for depth in range(1, DEPTH + 1):
         rows = written(rows.distinct() if depth > 1 else rows)
         sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         met = rows.join(sizes, "node")
-        small = met.where(F.col("size") <= SMALL).select("class", "node")
-        big = met.where(F.col("size") > SMALL)
+        fits = F.col("size") <= (BLOCK if depth == DEPTH else SMALL)
+        small, large = met.where(fits).select("class", "node"), met.where(~fits).select("class", "node")
         out = small if out is None else out.unionByName(small)
-        if depth == DEPTH:
-            block = F.pmod(F.xxhash64("class", "node"), F.ceil(F.col("size") / BLOCK))
-            out = out.unionByName(big.select("class", F.when(F.col("size") > BLOCK, F.xxhash64("node", block)).otherwise(F.col("node")).alias("node")))
-        else:
-            rows = _branch(big.select("class", "node").join(classes, "class"), False)
-    return out
+        if depth < DEPTH:
+            rows = _branch(large.join(classes, "class"), False)
+    return out, large
+
+
+def stars(large: DataFrame) -> DataFrame:
+    """(a, b): the least class of each node, and each of its other ones. These candidate links keep a node together without comparing it."""
+    least = large.groupBy("node").agg(F.min("class").alias("a"))
+    return large.join(least, "node").where("class <> a").select("a", F.col("class").alias("b"))
 
 
 def _similar(n: np.ndarray, tokens: np.ndarray, at: int) -> np.ndarray:
@@ -248,19 +251,18 @@ def confirmed(groups: DataFrame, words: int = WORDS) -> DataFrame:
     return groups.repartition("task").sortWithinPartitions("task").mapInArrow(_text.released(lambda batches: _runs(batches, "task", compare)), "a long, b long")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(class, label) of every class in a link (a, b): the least class that it reaches."""
+def components(links: DataFrame) -> DataFrame:
+    """(class, label) of every class in a link (a, b): the least class that it reaches. Labels only fall, so that the rounds end."""
     edges = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "class"))
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(labels.withColumnRenamed("class", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         least = labels.join(near.withColumnRenamed("a", "class"), "class").select("class", "label", F.least("label", "near").alias("to"))
         jump = labels.select(F.col("class").alias("to"), F.col("label").alias("further"))
         moved = written(least.join(jump, "to", "left").select("class", F.col("label").alias("was"), F.least("to", F.coalesce("further", "to")).alias("label")))
         labels = moved.select("class", "label")
         if moved.where("label <> was").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def linked_classes(documents: DataFrame, rows: DataFrame, words: int = WORDS) -> DataFrame:
@@ -268,8 +270,9 @@ def linked_classes(documents: DataFrame, rows: DataFrame, words: int = WORDS) ->
     first = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     picked = rows.join(first, ["class", "doc_id"]).groupBy("class", "doc_id").agg(F.min("key").alias("key"))
     classes = written(rows.join(picked, ["class", "doc_id", "key"]).groupBy("class").agg(F.first("doc_id").alias("doc_id"), F.first("key").alias("key"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")))
-    members = written(leaves(classes.select("class", "n", "tokens")).join(classes.select("class", "n", "tokens"), "class"))
-    groups = components(candidates(members)).withColumnRenamed("label", "group").join(classes.select("class", "doc_id", "key", "n"), "class")
+    small, large = leaves(classes.select("class", "n", "tokens"))
+    members = written(small.join(classes.select("class", "n", "tokens"), "class"))
+    groups = components(candidates(members).unionByName(stars(large)).distinct()).withColumnRenamed("label", "group").join(classes.select("class", "doc_id", "key", "n"), "class")
     groups = written(groups)
     sizes = groups.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = groups.join(sizes, "group").select("class", "doc_id", "key", "group", "blocks", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"))
@@ -300,6 +303,7 @@ def resolve(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def without_copies(documents: DataFrame, words: int = WORDS) -> DataFrame:
     """The documents, all columns, that stay: of each component the row of least id, one of equal rows."""
     rows = written(signatures(documents, words))
-    stay = resolve(rows, linked_classes(documents, rows, words)).where(F.col("kept") | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
-    both = documents.withColumn("_key", row_key(F.col("text")))
-    return both.join(stay, both["doc_id"].eqNullSafe(stay["_d"]) & (both["_key"] == stay["_k"]), "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])
+    mine, d, k = free_name(documents, "_key"), free_name(documents, "_d"), free_name(documents, "_k")
+    stay = resolve(rows, linked_classes(documents, rows, words)).where(F.col("kept") | F.col("doc_id").isNull()).select(F.col("doc_id").alias(d), F.col("key").alias(k)).distinct()
+    both = documents.withColumn(mine, row_key(F.col("text")))
+    return both.join(stay, both["doc_id"].eqNullSafe(stay[d]) & (both[mine] == stay[k]), "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])

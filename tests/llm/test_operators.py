@@ -141,6 +141,15 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert near_dup.without_copies(df).count() == sum(k for *_, k in want)
 
 
+def test_large_nodes_lose_no_pair(spark, monkeypatch):
+    for name, value in (("SMALL", 2), ("BLOCK", 4), ("DEPTH", 1), ("TREES", 1)):
+        monkeypatch.setattr(near_dup, name, value)
+    rng, words = random.Random(9), [f"w{i}" for i in range(80)]
+    docs = [(i, " ".join([*words[:70], *rng.sample(words[70:], 2)])) for i in range(30)]  # one group, larger than a block
+    got = {tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == _components(docs) and {c for _, _, c, _ in got} == {0}
+
+
 def test_pii_equals_regular_expressions(spark):
     texts = ["mail a.b@c.de_f@g.hi, 1.2.3.4.5 and 256.1.1.1 0001.2.3.255", "card 4111 1111 1111 1111 or 4111-1111-1111-1112", "call +1 (375) 555-4393 . now +12 3", "ééé +49 30 1234567 x@y.z", "@@ a@b 1", "4207051279108084" * 2]
     rx = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -232,3 +241,25 @@ def test_pipeline(spark):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
     assert 0 < docs.count() < n and docs.where("not round_trip").count() == 0
+
+
+#: Columns whose names the stages use inside, or that other tables have.
+CLASHES = ["key", "class", "node", "group", "label", "score", "kept", "spans", "items", "n_words", "quality", "item_id", "_key", "_D", "_k", "_gone", "_text", "a.b"]
+
+
+@pytest.mark.parametrize("rows", [EDGE, []])
+def test_stages_on_edge_rows(spark, rows):
+    """Nothing crashes, the columns stay as they are, and other columns' values stay with their rows."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` int" for c in CLASHES)
+    docs = spark.createDataFrame([(d, t, None, "s", *[100 * n + (d or 0) for n in range(len(CLASHES))]) for d, t in rows], schema)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, docs, SF).collect()
+        if not rows:
+            assert not got, name
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert stage(spark, docs, SF).schema.simpleString() == docs.schema.simpleString(), name
+            assert all(tuple(r)[4:] == tuple(100 * n + (r.doc_id or 0) for n in range(len(CLASHES))) for r in got), name
+    kept = [r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, docs, SF).collect()]
+    assert len(kept) == (len(EDGE) if rows else 0)  # repeated rows have the same id, and both are of least id
