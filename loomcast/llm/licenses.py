@@ -1,6 +1,7 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with license templates. DataFrame functions only.
 
-A block is a line. A template is contained in a block if at least ``THRESHOLD`` of its distinct words are there. Words are put
+A block is a line, or the words around a line end: as many on each side as the longest template has, other words between them allowed
+for, over any further line ends. So a template that wraps over lines is whole in the block of each line end that it crosses. A template is contained in a block if at least ``THRESHOLD`` of its distinct words are there. Words are put
 in order of their frequency in the corpus, rarest first (counted over all documents, for the templates' words). The join looks
 up each block's words in an index of the templates' prefixes: a block that contains n - p + 1 of n words has one of the p rarest.
 The length filter drops blocks with too few template words, the positional filter those in which too few of the template's
@@ -60,6 +61,26 @@ def _starts(phrase: str) -> Column:
     return F.when(F.contains("normal", F.lit(f" {phrase} ")), folded).otherwise(F.array().cast("array<bigint>"))
 
 
+def _reach(templates: dict[str, str], threshold: float) -> int:
+    """Words that a block takes on each side of a line end."""
+    return math.ceil(max((len(t.split()) for t in templates.values()), default=0) / threshold)
+
+
+def seams_of(text: Column, reach: int) -> Column:
+    """A text's blocks around its line ends: arrays of the ``reach`` words on each side. Line ends without words between them count as one."""
+    plain = F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    tokens = F.split(F.trim(F.regexp_replace(plain, r" ?\n[ \n]*", " \n ")), " ")
+
+    def cut(t: Column) -> Column:
+        # the k-th line end at token p has p - k words before it
+        ends = F.filter(F.transform(t, lambda x, p: F.when(x == "\n", p)), lambda p: p.isNotNull())
+        words = F.filter(t, lambda x: x != "\n")
+        at = F.transform(ends, lambda p, k: p - k)
+        return F.get(F.transform(F.array(F.struct(words.alias("w"), at.alias("at"))), lambda s: F.transform(s["at"], lambda n: F.slice(s["w"], F.greatest(n - reach, F.lit(0)) + 1, F.least(n, F.lit(reach)) + reach))), 0)
+
+    return F.get(F.transform(F.array(tokens), cut), 0)
+
+
 def blocks_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
@@ -102,7 +123,10 @@ def matched(documents: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
 
     rare = F.array(*map(F.lit, sorted(prefix)))
     words = F.transform(blocks_of(F.col("text")), lambda b: _shared(b, order))
-    some = F.filter(words, lambda b: F.arrays_overlap(b, rare))
+    lines = F.filter(words, lambda b: F.arrays_overlap(b, rare))
+    # a block around a line end has a rare word only if a line has: other texts are not cut again
+    seams = F.transform(F.filter(seams_of(F.col("text"), _reach(templates, threshold)), lambda b: F.arrays_overlap(b, rare)), lambda b: F.array_intersect(b, F.array(*map(F.lit, order))))
+    some = F.get(F.transform(F.array(lines), lambda own: F.when(F.size(own) > 0, F.array_distinct(F.concat(own, seams))).otherwise(own)), 0)
     pairs = F.flatten(F.transform(some, probe))
     best = F.array_distinct(F.transform(pairs, lambda p: p["template"]))
     return F.transform(best, lambda t: F.struct(t.alias("template"), F.array_max(F.transform(F.filter(pairs, lambda p: p["template"] == t), lambda p: p["containment"])).alias("containment")))

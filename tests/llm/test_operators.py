@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -178,6 +179,18 @@ def test_licenses(spark):
     assert (r[1].n_base, r[1].first_word, r[1].labels, r[1].score) == (0, None, "", 0.0)
 
 
+@pytest.mark.parametrize("width", [9, 40, 72, 80])
+def test_licenses_wrapped(spark, width):
+    """Every template is found if it wraps over lines, with comment marks and other text around; its words far apart are not."""
+    def wrapped(t):
+        return "\n".join(f" * {x}" for x in textwrap.wrap(f"some text before it {t} and some after it", width, break_long_words=False))
+
+    rows = [(i, f"/*\n{wrapped(t)}\n */\n") for i, t in enumerate(licenses.TEMPLATES.values())]
+    far = "\n".join(f"{w} {'word ' * 60}" for w in licenses.TEMPLATES["mit"].split())
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame([*rows, (99, far)], "doc_id long, text string")).collect()}
+    assert all(name in got[i] for i, name in enumerate(licenses.TEMPLATES)) and got[99] == [""]
+
+
 def test_media_round_trip():
     for t in (None, "", "a", "é" * 32, "x" * 64, LONG):
         r = media.row(t)
