@@ -4,8 +4,8 @@ A block is a line, or the words around a line end: as many on each side as the l
 for, over any further line ends. So a template that wraps over lines is whole in the block of each line end that it crosses. A template is contained in a block if at least ``THRESHOLD`` of its distinct words are there. Words are put
 in order of their frequency in the corpus, rarest first (counted over all documents, for the templates' words). The join looks
 up each block's words in an index of the templates' prefixes: a block that contains n - p + 1 of n words has one of the p rarest.
-The length filter drops blocks with too few template words, the positional filter those in which too few of the template's
-words remain from the first common one on; the rest are compared in full. All these filters are exact.
+The length filter drops blocks with too few template words, the positional filter those in which too few of the block's or of
+the template's words remain from the first common one on; the rest are compared in full. All these filters are exact.
 
 Defined cases: null reads as empty, which has no words; equal rows give equal results; extra columns are ignored; an empty table gives an
 empty result; empty blocks match nothing.
@@ -99,6 +99,14 @@ def word_order(documents: DataFrame, templates: dict[str, str]) -> list[str]:
     return sorted(words, key=lambda w: (n.get(w, 0), w))
 
 
+def remaining(block: Column, own: list[str], i: int, need: int) -> Column:
+    """Whether word i of a template is its first one in a block, and enough words can be common from there on. Both are in global order."""
+    first = F.array_contains(block, own[i])
+    if i:
+        first = first & ~F.arrays_overlap(block, F.array(*map(F.lit, own[:i])))
+    return first & (F.size(block) - F.array_position(block, own[i]) + 1 >= need) & F.lit(len(own) - i >= need)
+
+
 def matched(documents: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, order: list[str] | None = None) -> Column:
     """A column for ``documents``: array of struct<template, containment>, a row's best block for each template contained in it."""
     order = word_order(documents, templates) if order is None else order
@@ -113,12 +121,10 @@ def matched(documents: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     def probe(b: Column) -> Column:
         """One block against the index of prefixes; its words are looked up rarest first."""
         tests = []
-        for w, entries in prefix.items():
+        for entries in prefix.values():
             for name, i, need, own in entries:
-                # position: the first i words are rarer than w; if none of them is there, len(own) - i words can still match
-                if len(own) - i >= need:
-                    overlap = F.size(F.array_intersect(b, F.array(*map(F.lit, own))))
-                    tests.append(F.when(F.array_contains(b, w) & (F.size(b) >= need), F.when(overlap >= need, F.struct(F.lit(name).alias("template"), (overlap / F.lit(float(len(own)))).alias("containment")))))
+                overlap = F.size(F.array_intersect(b, F.array(*map(F.lit, own))))
+                tests.append(F.when((F.size(b) >= need) & remaining(b, own, i, need), F.when(overlap >= need, F.struct(F.lit(name).alias("template"), (overlap / F.lit(float(len(own)))).alias("containment")))))
         return F.array_compact(F.array(*tests))
 
     rare = F.array(*map(F.lit, sorted(prefix)))
@@ -127,7 +133,7 @@ def matched(documents: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     # a block around a line end has a rare word only if a line has: other texts are not cut again
     seams = F.transform(F.filter(seams_of(F.col("text"), _reach(templates, threshold)), lambda b: F.arrays_overlap(b, rare)), lambda b: F.array_intersect(b, F.array(*map(F.lit, order))))
     some = F.get(F.transform(F.array(lines), lambda own: F.when(F.size(own) > 0, F.array_distinct(F.concat(own, seams))).otherwise(own)), 0)
-    pairs = F.flatten(F.transform(some, probe))
+    pairs = F.flatten(F.transform(F.transform(some, lambda b: F.array_intersect(F.array(*map(F.lit, order)), b)), probe))
     best = F.array_distinct(F.transform(pairs, lambda p: p["template"]))
     return F.transform(best, lambda t: F.struct(t.alias("template"), F.array_max(F.transform(F.filter(pairs, lambda p: p["template"] == t), lambda p: p["containment"])).alias("containment")))
 

@@ -191,6 +191,17 @@ def test_licenses_wrapped(spark, width):
     assert all(name in got[i] for i, name in enumerate(licenses.TEMPLATES)) and got[99] == [""]
 
 
+def test_licenses_positional_filter(spark):
+    """It never drops a block with enough common words, and drops some that are long enough and have a word of the prefix."""
+    rng, order = random.Random(5), [f"w{i:02}" for i in range(14)]
+    own, need = order[1:11:2] + order[11:], 6
+    blocks = [(k, sorted(rng.sample(order, rng.randint(0, 14)))) for k in range(600)]
+    tests = [licenses.remaining(F.col("b"), own, i, need) for i in range(len(own) - need + 1)]
+    got = {r.k: r.hits for r in spark.createDataFrame(blocks, "k int, b array<string>").select("k", sum((t.cast("int") for t in tests), F.lit(0)).alias("hits")).collect()}
+    assert all(got[k] == 1 for k, b in blocks if len(set(b) & set(own)) >= need) and max(got.values()) == 1
+    assert any(not got[k] for k, b in blocks if len(b) >= need and set(b) & set(own[: len(own) - need + 1]))
+
+
 def test_media_round_trip():
     for t in (None, "", "a", "é" * 32, "x" * 64, LONG):
         r = media.row(t)
