@@ -13,7 +13,10 @@ Frequent segments: two lines within the distance that share a segment are still
 cut again the same way, ``LEVELS`` times in all, and a key is a chain of segments: lines meet only if they share most of their
 characters, not merely a common beginning or end.
 
-Defined cases: null reads as empty; short lines stay; equal rows of the table are one row here and get equal results; extra columns
+``clean`` also lets shorter lines that are not blank take part in the exact aggregation, but not in the near one (``short``). ``report`` does not by
+default: it follows ORACLE_SQL, where short lines stay.
+
+Defined cases: null reads as empty; blank lines stay; equal rows of the table are one row here and get equal results; extra columns
 are kept by ``clean`` and ignored by ``removed``; an empty table gives an empty result. A text that loses all its lines, having lost at
 least one, is dropped by ``clean``: nothing but repetition was in it.
 """
@@ -120,13 +123,15 @@ def within(a: Column, b: Column, most: int) -> Column:
     return F.when(F.length(long) - F.length(short) > most, False).when(F.length(short) <= most, F.levenshtein(a, b) <= most).otherwise(F.get(F.transform(F.array(F.struct(F.split(short, "").alias("p"), F.split(long, "").alias("t"))), lambda s: distance(s["p"], s["t"])), 0) <= most)
 
 
-def lines_of(documents: DataFrame, min_chars: int) -> DataFrame:
-    """(id, id2, size, line, doc_id, key, pos, at) of every line that takes part.
+def lines_of(documents: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
+    """(id, id2, size, line, doc_id, key, pos, at) of every line that takes part; ``short``: all that are not blank.
 
     ``at`` is doc_id and line number in one number: a fixed-width value, so that its minimum needs no sort.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.select("doc_id", row_key(F.col("text")).alias("key"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).where(F.length("line") >= min_chars)
+    wanted = F.length("line") >= min_chars
+    wanted = wanted | F.col("line").rlike(r"\S") if short else wanted
+    rows = documents.select("doc_id", row_key(F.col("text")).alias("key"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).where(wanted)
     at = F.coalesce("doc_id", F.lit(-(1 << 62))).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(12,0)") + F.col("pos").cast("decimal(10,0)")
     return rows.select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), F.length("line").alias("size"), "line", "doc_id", "key", "pos", at.cast("decimal(36,0)").alias("at"))
 
@@ -138,8 +143,9 @@ def distinct_lines(lines: DataFrame, max_edits: int) -> DataFrame:
     return lines.select("id", "id2", "size", "at", *named).groupBy("id", "id2", "size", *[f"k{i}" for i in range(len(named))]).agg(F.min("at").alias("first"), F.count("*").alias("n"))
 
 
-def near_pairs(distinct: DataFrame, max_edits: int) -> DataFrame:
-    """(a, b): hashes of distinct lines that meet under a key; a < b."""
+def near_pairs(distinct: DataFrame, max_edits: int, min_chars: int = 0) -> DataFrame:
+    """(a, b): hashes of distinct lines of at least ``min_chars`` that meet under a key; a < b."""
+    distinct = distinct.where(F.col("size") >= min_chars)
     n_own = len(keys(F.col("line"), F.col("size"), max_edits, LEVELS)[0])
     named = [c for c in distinct.columns if c[0] == "k"]
     index = distinct.select("id", F.explode(F.array(*named[:n_own])).alias("key"))
@@ -153,11 +159,11 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= MAX_BROADCAST_ROWS else table
 
 
-def removed(documents: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
-    """(doc_id, key, gone): the numbers of the lines to remove from each row that has any."""
-    lines = lines_of(documents, min_chars)
+def removed(documents: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, short: bool = False) -> DataFrame:
+    """(doc_id, key, gone): the numbers of the lines to remove from each row that has any; ``short``: exact repeats of any length."""
+    lines = lines_of(documents, min_chars, short)
     distinct = written(distinct_lines(lines, max_edits))
-    pairs = written(near_pairs(distinct, max_edits))
+    pairs = written(near_pairs(distinct, max_edits, min_chars if short else 0))
     ends = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = written(lines.join(_small(ends), "id", "left_semi").groupBy("id", "id2", "line").agg(F.min("at").alias("first")))
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa"), F.col("id2").alias("a2"))
@@ -180,10 +186,10 @@ def report(documents: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MA
     return both.select("doc_id", "n_lines", (F.col("n_lines") - F.size(numbers)).alias("n_kept"), F.array_join(numbers.cast("array<string>"), ",").alias("removed"))
 
 
-def clean(documents: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
+def clean(documents: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, short: bool = True) -> DataFrame:
     """The documents, all columns, without the removed lines, and without the texts that have nothing left."""
     mine, d, k, gone, left = (free_name(documents, x) for x in ("_key", "_d", "_k", "_gone", "_text"))
-    away = removed(documents, min_chars, max_edits).select(F.col("doc_id").alias(d), F.col("key").alias(k), F.col("gone").alias(gone))
+    away = removed(documents, min_chars, max_edits, short).select(F.col("doc_id").alias(d), F.col("key").alias(k), F.col("gone").alias(gone))
     both = documents.withColumn(mine, row_key(F.col("text")))
     both = both.join(away, both["doc_id"].eqNullSafe(away[d]) & (both[mine] == away[k]), "left")
     lines = F.split("text", "\n")

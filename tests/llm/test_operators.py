@@ -105,6 +105,11 @@ def test_line_dedup_clean_drops_emptied_texts(spark):
     assert {(r.doc_id, r.text, r.key) for r in line_dedup.clean(docs).collect()} == {(1, line, "k"), (3, "new beginning of another text", "k")}
 
 
+def test_line_dedup_clean_removes_short_repeats(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved.\n\nfirst"), (2, "second\n\nAll rights reserved."), (3, "All rights reserved!")], "doc_id long, text string")
+    assert {tuple(r) for r in line_dedup.clean(docs).collect()} == {(1, "All rights reserved.\n\nfirst"), (2, "second\n"), (3, "All rights reserved!")}
+
+
 def _components(docs, words=4):
     sets = {}
     for d, t in docs:
