@@ -13,8 +13,9 @@ the estimate lets through and that no link connects yet are compared on full set
 components come out. A group over ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles is split into blocks, and every pair of blocks is a task.
 Components come from repeated least labels with shortcuts; no link or component leaves the executors.
 
-Defined cases: null, empty and wordless texts have empty sets and link with nothing; rows of null id have kept false, and stay in
-``without_copies``; rows of equal id are separate rows with the same id; repeated rows are exact copies; extra columns are ignored; an empty table gives an empty result. Class ids are 64-bit
+Defined cases: null, empty and wordless texts have empty sets and link with nothing; rows of null id have kept false; in
+``without_copies`` one of them stays where no row of their component has an id; rows of equal id are separate rows with the same id, of which
+``without_copies`` keeps those of one text (rows equal in id and text stay together); repeated rows are exact copies; extra columns are ignored; an empty table gives an empty result. Class ids are 64-bit
 hashes of the set.
 """
 
@@ -295,15 +296,17 @@ def resolve(rows: DataFrame, labels: DataFrame) -> DataFrame:
     least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     named = least.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    known = written(named.join(ids, "label").select("class", "component_id"))
+    known = written(named.join(ids, "label").select("class", "label", "component_id"))
     out = rows.select("doc_id", "key", "n_shingles", "class").join(known, "class", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "key", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "key", "n_shingles", "label", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def without_copies(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """The documents, all columns, that stay: of each component the row of least id, one of equal rows."""
+    """The documents, all columns, that stay: of each component the text of least id and key; rows without a set all stay."""
     rows = written(signatures(documents, words))
     mine, d, k = free_name(documents, "_key"), free_name(documents, "_d"), free_name(documents, "_k")
-    stay = resolve(rows, linked_classes(documents, rows, words)).where(F.col("kept") | F.col("doc_id").isNull()).select(F.col("doc_id").alias(d), F.col("key").alias(k)).distinct()
+    judged = resolve(rows, linked_classes(documents, rows, words))
+    least = judged.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("s")).select("s.doc_id", "s.key")
+    stay = least.unionByName(judged.where("label is null").select("doc_id", "key").distinct()).select(F.col("doc_id").alias(d), F.col("key").alias(k)).distinct()
     both = documents.withColumn(mine, row_key(F.col("text")))
     return both.join(stay, both["doc_id"].eqNullSafe(stay[d]) & (both[mine] == stay[k]), "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])

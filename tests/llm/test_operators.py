@@ -147,6 +147,15 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert near_dup.without_copies(df).count() == sum(k for *_, k in want)
 
 
+def test_without_copies_keeps_one_text_of_shared_and_null_ids(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    near = base.replace("w79", "other")
+    rows = [(1, base), (1, near), (2, base), (None, base), (None, "only null ids have this one"), (None, "only null  ids have this one"), (None, None), (None, "")]
+    got = [tuple(r) for r in near_dup.without_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum(bool(t) and t.startswith("w0") for _, t in got) == 1 and (1 in [d for d, _ in got])
+    assert sum(bool(t) and t.startswith("only") for _, t in got) == 1 and len(got) == 4
+
+
 def test_large_nodes_lose_no_pair(spark, monkeypatch):
     for name, value in (("SMALL", 2), ("BLOCK", 4), ("DEPTH", 1), ("TREES", 1)):
         monkeypatch.setattr(near_dup, name, value)
