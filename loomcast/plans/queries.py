@@ -533,22 +533,99 @@ def cv_variant_pick(spark, sf_dir):
     return _rounded(rows.withColumn("r", F.row_number().over(W.partitionBy("variant").orderBy("err", "depth", "decay", "lam", "beta"))).where("r = 1").select("variant", "depth", "err"))
 
 
+def _study_panel(spark, sf_dir, name) -> tuple[pd.DataFrame, int]:
+    """A panel of few series, with the season's sine and cosine, and the season's length; as in ``_arrays``, it fits the driver and a task."""
+    length = PANELS[name][6]
+    f = design.season(panel(spark, sf_dir, name), length).select("series", "index", "y", "sin_season", "cos_season").toPandas()
+    return f.sort_values(["series", "index"]).reset_index(drop=True), length
+
+
+def _windows(f: pd.DataFrame, lags: int, horizon: int, hold: int) -> dict[str, np.ndarray]:
+    """A design made in a task: past (lags, sine, cosine) and ahead of every complete row, both divided by the mean lag_1 of the series' training rows.
+
+    r counts a series' rows from its end; rows from ``hold`` on are for training. A mean of 0, or none, counts as 1.
+    """
+    parts = []
+    for name, g in f.groupby("series"):
+        y, n = g["y"].to_numpy(float), len(g) - horizon - lags + 1
+        if n < 1:
+            continue
+        at = np.arange(lags, lags + n)
+        past, ahead = np.stack([y[at - k] for k in range(1, lags + 1)], axis=1), np.stack([y[at + k] for k in range(horizon)], axis=1)
+        r = n - 1 - np.arange(n)
+        mean = float(past[r >= hold, 0].mean()) if (r >= hold).any() else 0.0
+        mean = mean or 1.0
+        turn = g[["sin_season", "cos_season"]].to_numpy()[at]
+        parts.append((np.column_stack([past / mean, turn]), ahead / mean, r, np.full(n, mean), np.full(n, name, object)))
+    return dict(zip(("past", "ahead", "r", "mean", "series"), map(np.concatenate, zip(*parts, strict=True)), strict=True))
+
+
+def _mase_scales(f: pd.DataFrame, drop_last: int, length: int) -> dict[str, float]:
+    """As ``design.seasonal_scale``, in a task; what is not over 0 is nan."""
+    out = {}
+    for name, g in f.groupby("series"):
+        y = g["y"].to_numpy(float)[:-drop_last]
+        steps = [np.abs(y[k:] - y[:-k]).mean() if len(y) > k else 0.0 for k in (length, 1)]
+        out[name] = next((float(x) for x in steps if x > 0), float("nan"))
+    return out
+
+
+def _fitted(family: str, x: np.ndarray, y: np.ndarray):
+    """A function that predicts: a tree, boosted trees or a forest on targets alone."""
+    groups, weights = np.zeros(y.shape[1], int), np.ones(y.shape[1])
+    if family == "dt":
+        return kernel.fit_tree(x, y, groups, weights, kernel.Params(max_depth=5)).predict
+    if family == "gbt":
+        return kernel.boost(x, y, groups, weights, kernel.Params(max_depth=4, row_share=0.8, feature_share=0.5), rounds=60).predict
+    trees = [kernel.fit_tree(x, y, groups, weights, kernel.Params(max_depth=8, row_share=0.8, feature_share=0.5), seed) for seed in kernel.tree_seeds(10, 24)]
+    return lambda rows: kernel.forest_predict(trees, rows)
+
+
+def _rolled(predict, x: np.ndarray, lags: int, horizon: int, length: int) -> np.ndarray:
+    """The first step's forecast, fed back ``horizon`` times; the season's angle goes on by a step each time."""
+    state, steps, turn = x.copy(), [], 2 * np.pi / length
+    for _ in range(horizon):
+        steps.append(predict(state)[:, 0])
+        sin, cos = state[:, lags].copy(), state[:, lags + 1].copy()
+        state = np.column_stack([steps[-1], state[:, : lags - 1], sin * np.cos(turn) + cos * np.sin(turn), cos * np.cos(turn) - sin * np.sin(turn)])
+    return np.stack(steps, axis=1)
+
+
 @query()
-def iterative_vs_direct(spark, sf_dir):
-    """Per horizon: direct forecasts of a tree for all steps, against feeding a one-step tree its own output."""
-    f, x, y, groups = _arrays(spark, sf_dir)
-    train = f.groupby("series").cumcount(ascending=False).to_numpy() >= 3
-    p = kernel.Params(max_depth=5)
-    direct = kernel.fit_tree(x[train], y[train][:, :3], np.zeros(3, int), np.ones(3), p)
-    one = kernel.fit_tree(x[train], y[train][:, :1], np.zeros(1, int), np.ones(1), p)
-    last = f.groupby("series").cumcount(ascending=False).to_numpy() == 0
-    state, steps = x[last].copy(), []
-    for _ in range(3):
-        steps.append(one.predict(state)[:, 0])
-        state = np.column_stack([steps[-1], state[:, :-1]])
-    preds = {"direct": direct.predict(x[last]), "iterative": np.stack(steps, axis=1)}
-    rows = [(m, h + 1, float(np.abs(v[:, h] - y[last][:, h]).mean())) for m, v in preds.items() for h in range(3)]
-    return _values(spark, rows, "method string, h int, mae double")
+def iterative_vs_direct(spark, sf_dir, lags=6, horizon=3):
+    """Per family and step: a model of all steps (direct), its own first step fed back (multi_iter), and a one-step model fed back (iterative).
+
+    mae is of scaled values; MASE's mean and median are over the series. A family's models for all steps and for one are a task each.
+    """
+    f, length = _study_panel(spark, sf_dir, "pm")
+    shared = spark.sparkContext.broadcast(f)
+    tasks = _values(spark, [(m, n) for m in ("dt", "gbt", "rf") for n in (1, horizon)], "family string, steps int").repartition(6, "family", "steps")
+
+    def run(batches):
+        f = shared.value
+        scales, all_steps = _mase_scales(f, horizon, length), _windows(f, lags, horizon, horizon)
+        last = all_steps["r"] == 0
+        start, actual, mean = all_steps["past"][last], all_steps["ahead"][last], all_steps["mean"][last]
+        scale = np.array([scales[s] for s in all_steps["series"][last]])
+        for b in batches:
+            for t in b.itertuples():
+                if t.steps == 1:
+                    # the rows of one step reach to the panel's end; the last ``horizon`` are held out, and the first of them is where all start
+                    d = _windows(f, lags, 1, horizon)
+                    begin, own = d["r"] == horizon - 1, d["r"] >= horizon
+                    preds = {"iterative": _rolled(_fitted(t.family, d["past"][own], d["ahead"][own]), d["past"][begin], lags, horizon, length) * (d["mean"][begin] / mean)[:, None]}
+                else:
+                    own = all_steps["r"] >= horizon
+                    predict = _fitted(t.family, all_steps["past"][own], all_steps["ahead"][own])
+                    preds = {"direct": predict(start), "multi_iter": _rolled(predict, start, lags, horizon, length)}
+                out = []
+                for method, v in preds.items():
+                    e = np.abs(v - actual)
+                    mase = e * (mean / scale)[:, None]
+                    out += [(t.family, method, h + 1, float(e[:, h].mean()), float(np.nanmean(mase[:, h])), float(np.nanmedian(mase[:, h]))) for h in range(horizon)]
+                yield pd.DataFrame(out, columns=["family", "method", "h", "mae", "mean_mase", "median_mase"])
+
+    return tasks.mapInPandas(run, "family string, method string, h int, mae double, mean_mase double, median_mase double")
 
 
 @query()

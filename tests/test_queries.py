@@ -1,6 +1,7 @@
 """Every query with an SQL equivalent gives the same rows as DuckDB; the others give rows."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from loomcast.plans import experiments  # noqa: F401  registers its queries
@@ -31,3 +32,19 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(P.QUERIES) - set(P.ORACLES) - HEAVY))
 def test_gives_rows(spark, name):
     assert P.QUERIES[name](spark, SF).count() > 0
+
+
+def test_iterative_methods_and_families(spark):
+    got = P.QUERIES["iterative_vs_direct"](spark, SF).toPandas()
+    assert {tuple(r) for r in got[["family", "method", "h"]].itertuples(index=False)} == {(f, m, h) for f in ("dt", "gbt", "rf") for m in ("direct", "iterative", "multi_iter") for h in (1, 2, 3)} and len(got) == 27
+    assert (got[["mean_mase", "median_mase"]] > 0).all().all()
+    first = got[got.h == 1].pivot(index="family", columns="method", values="mean_mase")
+    assert np.allclose(first["direct"], first["multi_iter"])  # the first step is the same forecast
+
+
+def test_roll_forward_moves_lags_and_season():
+    angle, seen = 2 * np.pi * 5 / 12, []
+    x = np.array([[3.0, 2.0, np.sin(angle), np.cos(angle)]])
+    out = P._rolled(lambda s: (seen.append(s.copy()), s[:, :1] + 1)[1], x, 2, 3, 12)
+    assert out.tolist() == [[4.0, 5.0, 6.0]] and seen[2][0, :2].tolist() == [5.0, 4.0]
+    assert np.allclose([s[0, 2:] for s in seen], [(np.sin(angle + 2 * np.pi * k / 12), np.cos(angle + 2 * np.pi * k / 12)) for k in range(3)])
