@@ -629,17 +629,35 @@ def iterative_vs_direct(spark, sf_dir, lags=6, horizon=3):
 
 
 @query()
-def noise_sensitivity(spark, sf_dir):
-    """Error against clean actuals after training on noisy rows, for noise levels and derivative weights."""
-    f, x, y, groups = _arrays(spark, sf_dir, "pd", 5, 3)
-    train = ~f["is_test"].to_numpy()
-    out = []
-    for sigma in (0.0, 0.1, 0.5):
-        noise = np.random.default_rng(2026).normal(0, sigma * x.std(), x.shape)
-        for lam in (0.0, 0.5):
-            t = kernel.fit_tree((x + noise)[train], y[train], groups, np.ones(len(groups)), kernel.Params(min_leaf=3, group_weights=(1.0, lam, 0.0)))
-            out.append((sigma, lam, float(np.abs(t.predict(x) - y)[~train][:, :3].mean())))
-    return _values(spark, out, "sigma double, lam double, error double")
+def noise_sensitivity(spark, sf_dir, lags=5, horizon=3):
+    """Error against clean actuals after noise on the training part of y, for noise levels, derivative weights and seeds; a cell is a task.
+
+    The noise is in units of each series' deviation, and lags, targets and scales are made after it. The last ``horizon`` values are clean; MASE's
+    scale is that of the clean panel.
+    """
+    f, length = _study_panel(spark, sf_dir, "pd")
+    shared = spark.sparkContext.broadcast(f)
+    cells = [(s, m, k) for s in (0.0, 0.1, 0.3, 1.0, 3.0) for m in (0.0, 0.2, 0.5, 1.0, 2.0) for k in range(3)]
+    tasks = _values(spark, cells, "sigma double, lam double, seed int").repartition(25)
+    groups = np.array([0] * horizon + [1] * (horizon - 1) + [2, 2])
+
+    def run(batches):
+        f = shared.value
+        scales = _mase_scales(f, horizon, length)
+        train = f.groupby("series").cumcount(ascending=False).to_numpy() >= horizon
+        deviation = f.groupby("series")["y"].transform("std").fillna(1.0).to_numpy()
+        for b in batches:
+            for c in b.itertuples():
+                noise = np.random.default_rng(c.seed).normal(0, 1, len(f)) * c.sigma * deviation
+                d = _windows(f.assign(y=f["y"].to_numpy() + np.where(train, noise, 0.0)), lags, horizon, horizon)
+                x, own, last = d["past"][:, :lags], d["r"] >= horizon, d["r"] == 0
+                y = np.column_stack([d["ahead"], np.diff(d["ahead"], axis=1), d["past"][:, lags:]])
+                t = kernel.fit_tree(x[own], y[own], groups, np.ones(len(groups)), kernel.Params(min_leaf=3, group_weights=(1.0, c.lam, 0.0)))
+                e = np.abs(t.predict(x[last])[:, :horizon] - d["ahead"][last]).mean(axis=1)
+                mase = e * d["mean"][last] / np.array([scales[s] for s in d["series"][last]])
+                yield pd.DataFrame([(c.sigma, c.lam, c.seed, float(np.nanmean(mase)), float(np.nanmedian(mase)))], columns=["sigma", "lam", "seed", "mean_mase", "median_mase"])
+
+    return tasks.mapInPandas(run, "sigma double, lam double, seed int, mean_mase double, median_mase double")
 
 
 @query()

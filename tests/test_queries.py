@@ -48,3 +48,10 @@ def test_roll_forward_moves_lags_and_season():
     out = P._rolled(lambda s: (seen.append(s.copy()), s[:, :1] + 1)[1], x, 2, 3, 12)
     assert out.tolist() == [[4.0, 5.0, 6.0]] and seen[2][0, :2].tolist() == [5.0, 4.0]
     assert np.allclose([s[0, 2:] for s in seen], [(np.sin(angle + 2 * np.pi * k / 12), np.cos(angle + 2 * np.pi * k / 12)) for k in range(3)])
+
+
+def test_noise_grid(spark):
+    got = P.QUERIES["noise_sensitivity"](spark, SF).toPandas()
+    assert len(got) == 75 and len(got.groupby(["sigma", "lam", "seed"])) == 75
+    same = got[got.sigma == 0].groupby("lam")["mean_mase"].nunique()
+    assert (same == 1).all() and got[got.sigma == 3].groupby("lam")["mean_mase"].nunique().max() > 1
