@@ -205,15 +205,50 @@ def test_licenses_wrapped(spark, width):
     assert all(name in got[i] for i, name in enumerate(licenses.TEMPLATES)) and got[99] == [""]
 
 
-def test_licenses_positional_filter(spark):
-    """It never drops a block with enough common words, and drops some that are long enough and have a word of the prefix."""
-    rng, order = random.Random(5), [f"w{i:02}" for i in range(14)]
-    own, need = order[1:11:2] + order[11:], 6
-    blocks = [(k, sorted(rng.sample(order, rng.randint(0, 14)))) for k in range(600)]
-    tests = [licenses.remaining(F.col("b"), own, i, need) for i in range(len(own) - need + 1)]
-    got = {r.k: r.hits for r in spark.createDataFrame(blocks, "k int, b array<string>").select("k", sum((t.cast("int") for t in tests), F.lit(0)).alias("hits")).collect()}
-    assert all(got[k] == 1 for k, b in blocks if len(set(b) & set(own)) >= need) and max(got.values()) == 1
-    assert any(not got[k] for k, b in blocks if len(b) >= need and set(b) & set(own[: len(own) - need + 1]))
+def _license_rows(docs, templates=None, threshold=None):
+    """The contract's columns by plain regular expressions and every block of every text."""
+    templates, threshold = templates or licenses.TEMPLATES, threshold or licenses.THRESHOLD
+    out = {}
+    for d, t in docs:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        at = [(i, x) for p, x in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        best = {}
+        for name, text in templates.items():
+            own, size = set(text.split()), licenses.block_words(text, threshold)
+            most = max((len(own & set(w[i : i + size])) for i in range(len(w))), default=0)
+            if most >= threshold * len(own) - 1e-9:
+                best[name] = most / len(own)
+        places, base = [i for i, _ in at], {x for _, x in at}
+        out[d] = (len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(best))), 1.0 if at else max(best.values(), default=0.0))
+    return out
+
+
+def test_licenses_equal_brute_force(spark, monkeypatch):
+    """Also with cut texts; random texts over few words have blocks at, above and under the threshold."""
+    rng = random.Random(5)
+    templates = {"a": "p q r s t u v w x y z", "b": "k k l m n o", "c": "m p z"}
+    known = sorted({w for t in templates.values() for w in t.split()})
+    docs = [(i, " ".join(rng.choice([*known, "of", "the"]) for _ in range(rng.randint(0, 90)))) for i in range(60)]
+    for i in range(60):
+        t = rng.choice(list(templates.values())).split()
+        for _ in range(rng.randint(0, 2)):
+            t[rng.randrange(len(t))] = rng.choice(["of", *t])
+        docs.append((100 + i, " of ".join([docs[i][1], "\n".join(t).upper(), docs[i][1]])))
+    docs += [(1000, None), (1001, ""), (1002, " \n\t "), (1003, "!!"), (1004, "one"), (1005, "All rights, reserved cc-by"), (1006, "z " * 20_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for piece in (licenses.PIECE, 16):
+        monkeypatch.setattr(licenses, "PIECE", piece)
+        got = {r[0]: tuple(r[1:]) for r in licenses.scan(df, templates, 0.8).collect()}
+        assert got == _license_rows(docs, templates, 0.8)
+    assert sum(bool(r[5]) for r in got.values()) > 40 and got[1003][0] == got[1001][0] == got[1000][0] == got[1002][0] == 0
+
+
+def test_licenses_filters(spark):
+    """They drop some candidates, and none that is the first common word of a contained template."""
+    order = ["a", "b", "c", "d", "e", "f"]
+    rows = [("b", "x b d e f".split(), 1, ["b", "d", "e", "f"], 4, 5), ("b", "a a c b x".split(), 3, ["b", "d", "e", "f"], 4, 5), ("d", "a b c d e".split(), 3, ["d", "e", "f"], 3, 5)]
+    got = licenses.survivors(spark.createDataFrame(rows, "w string, near array<string>, at int, own array<string>, need int, size int"), order).collect()
+    assert [r.near for r in got] == [rows[0][1]]
 
 
 def test_media_round_trip():
