@@ -11,7 +11,10 @@ character of the shorter line moves it by a handful of word operations.
 
 Frequent segments: two lines within the distance that share a segment are still within it without that segment. So what is left is
 cut again the same way, ``LEVELS`` times in all, and a key is a chain of segments: lines meet only if they share most of their
-characters, not merely a common beginning or end.
+characters, not merely a common beginning or end. A key with more than ``CROWD`` indexed lines is hot: it emits no pairs, and what its lines
+have left is cut again, until keys are no longer hot or the indexed line has at most MAX_EDITS characters left. There all indexed lines of a key
+are within the distance, so that each is paired with the earliest one only. So a line has at most CROWD candidates a key, and no key
+emits all its pairs, whatever beginning or end lines have in common.
 
 ``clean`` also lets shorter lines that are not blank take part in the exact aggregation, but not in the near one (``short``). ``report`` does not by
 default: it follows ORACLE_SQL, where short lines stay.
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomcast.llm._tables import free_name, row_key, written
 
-MIN_CHARS, MAX_EDITS, LEVELS, MAX_BROADCAST_ROWS = 24, 1, 2, 500_000
+MIN_CHARS, MAX_EDITS, LEVELS, CROWD, MAX_BROADCAST_ROWS = 24, 1, 2, 8, 500_000
 
 
 def _bounds(length: Column, number: int, parts: int) -> tuple[Column, Column]:
@@ -48,24 +51,31 @@ def probes(max_edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def keys(line: Column, size: Column, max_edits: int, levels: int) -> tuple[list[Column], list[Column]]:
-    """The hashes under which a line is in the index, and the others under which it looks for shorter lines."""
+def chains(line: Column, size: Column, max_edits: int, levels: int) -> list[tuple[bool, int, Column, Column, Column]]:
+    """(in the index, length difference, key, rest of the line, length of the indexed line's rest) of each key of a line."""
     parts = max_edits + 1
 
-    def below(rest: Column, indexed: Column, gap: int, seen: list[Column], left: int) -> list[tuple[bool, Column]]:
+    def below(rest: Column, indexed: Column, gap: int, seen: list[Column], left: int) -> list[tuple]:
         if not left:
-            return [(True, F.xxhash64(*seen))]
+            return [(gap == 0, gap, F.xxhash64(*seen), rest, indexed)]
         out = []
         for _, i, shift in (x for x in probes(max_edits) if x[0] == gap):
             start, n = _bounds(indexed, i, parts)
             start, n = (start + shift).cast("int"), n.cast("int")
-            apart = F.concat(F.substring(rest, F.lit(1), start - 1), F.substring(rest, start + n, F.length(rest)))
-            out += [(own and shift == 0, key) for own, key in below(apart, indexed - n, gap, [*seen, F.lit(i), F.substring(rest, start, n)], left - 1)]
+            out += [(own and shift == 0, *more) for own, *more in below(_without(rest, start, n), indexed - n, gap, [*seen, F.lit(i), F.substring(rest, start, n)], left - 1)]
         return out
 
-    equal = below(line, size, 0, [size], levels)
-    longer = [k for gap in range(1, max_edits + 1) for _, k in below(line, size - gap, gap, [size - gap], levels)]
-    return [k for own, k in equal if own], [k for own, k in equal if not own] + longer
+    return [x for gap in range(max_edits + 1) for x in below(line, size - gap, gap, [size - gap], levels)]
+
+
+def _without(rest: Column, start: Column, n: Column) -> Column:
+    return F.concat(F.substring(rest, F.lit(1), start - 1), F.substring(rest, start + n, F.length(rest)))
+
+
+def keys(line: Column, size: Column, max_edits: int, levels: int) -> tuple[list[Column], list[Column]]:
+    """The hashes under which a line is in the index, and the others under which it looks for lines."""
+    found = chains(line, size, max_edits, levels)
+    return [x[2] for x in found if x[0]], [x[2] for x in found if not x[0]]
 
 
 def within(a: Column, b: Column, most: int) -> Column:
@@ -143,15 +153,68 @@ def distinct_lines(lines: DataFrame, max_edits: int) -> DataFrame:
     return lines.select("id", "id2", "size", "at", *named).groupBy("id", "id2", "size", *[f"k{i}" for i in range(len(named))]).agg(F.min("at").alias("first"), F.count("*").alias("n"))
 
 
-def near_pairs(distinct: DataFrame, max_edits: int, min_chars: int = 0) -> DataFrame:
+def _met(index: DataFrame, probe: DataFrame) -> DataFrame:
+    pairs = index.select("id", "key").alias("i").join(probe.select("id", "key").alias("p"), (F.col("i.key") == F.col("p.key")) & (F.col("i.id") != F.col("p.id")))
+    return pairs.select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b"))
+
+
+def hot_keys(index: DataFrame) -> DataFrame:
+    return _small(written(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key")))
+
+
+def branched(rows: DataFrame, max_edits: int) -> DataFrame:
+    """The next level's (id, first, own, gap, key, rest, size) rows: what is left of the lines is cut once more."""
+    out = []
+    for gap, i, shift in probes(max_edits):
+        start, n = _bounds(F.col("size"), i, max_edits + 1)
+        start, n = (start + shift).cast("int"), n.cast("int")
+        child = F.struct((F.col("own") & F.lit(shift == 0)).alias("own"), "gap", F.xxhash64("key", F.lit(i), F.substring("rest", start, n)).alias("key"), _without(F.col("rest"), start, n).alias("rest"), (F.col("size") - n).cast("int").alias("size"))
+        out.append(F.when(F.col("gap") == gap, child))
+    return rows.select("id", "first", F.explode(F.array_compact(F.array(*out))).alias("x")).select("id", "first", "x.*")
+
+
+def exhausted(rows: DataFrame, max_edits: int) -> DataFrame:
+    """(a, b) under hot keys with at most ``max_edits`` characters left: each line with the earliest, and the longer lines' ones.
+
+    For one edit a longer line's two characters name the one indexed line each that has this character; for more, its pairs with the
+    indexed lines, at most one for each string of ``max_edits`` characters, all come out.
+    """
+    own, others = rows.where("own"), rows.where("not own")
+    least = own.groupBy("key").agg(F.min(F.struct("first", "id"))["id"].alias("a"))
+    star = own.join(least, "key").where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+    if max_edits == 1:
+        own = own.select("id", F.xxhash64("key", "rest").alias("key"))
+        others = others.select("id", F.explode(F.when(F.col("size") == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.split("rest", "")))).alias("c"), "key").select("id", F.xxhash64("key", "c").alias("key"))
+    return star.union(_met(own, others))
+
+
+def near_pairs(distinct: DataFrame, lines: DataFrame, max_edits: int, min_chars: int = 0) -> DataFrame:
     """(a, b): hashes of distinct lines of at least ``min_chars`` that meet under a key; a < b."""
     distinct = distinct.where(F.col("size") >= min_chars)
-    n_own = len(keys(F.col("line"), F.col("size"), max_edits, LEVELS)[0])
+    shape = [(own, gap) for own, gap, *_ in chains(F.lit(""), F.lit(0), max_edits, LEVELS)]
     named = [c for c in distinct.columns if c[0] == "k"]
+    n_own = sum(own for own, _ in shape)
     index = distinct.select("id", F.explode(F.array(*named[:n_own])).alias("key"))
     probe = distinct.select("id", F.explode(F.array(*named)).alias("key"))
-    pairs = index.alias("i").join(probe.alias("p"), (F.col("i.key") == F.col("p.key")) & (F.col("i.id") != F.col("p.id")))
-    return pairs.select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct()
+    hot = hot_keys(index)
+    met = [_met(index.join(hot, "key", "left_anti"), probe)]
+    ids = written(probe.join(hot, "key", "left_semi").select("id").distinct())
+    if not ids.isEmpty():
+        texts = lines.where(F.col("size") >= min_chars).join(_small(ids), "id", "left_semi").groupBy("id", "line").agg(F.min("at").alias("first"))
+        parts = [F.struct(F.lit(own).alias("own"), F.lit(gap).alias("gap"), key.alias("key"), rest.alias("rest"), size.cast("int").alias("size")) for own, gap, key, rest, size in chains(F.col("line"), F.length("line"), max_edits, LEVELS)]
+        rows = texts.select("id", "first", F.explode(F.array(*parts)).alias("x")).select("id", "first", "x.*")
+        while True:
+            rows = written(rows.join(hot, "key", "left_semi").select("id", "first", "own", "gap", "key", "rest", "size"))
+            if rows.isEmpty():
+                break
+            met.append(exhausted(rows.where(F.col("size") <= max_edits), max_edits))
+            rows = written(branched(rows.where(F.col("size") > max_edits), max_edits))
+            hot = hot_keys(rows.where("own"))
+            met.append(_met(rows.where("own").join(hot, "key", "left_anti"), rows))
+    out = met[0]
+    for more in met[1:]:
+        out = out.union(more)
+    return out.distinct()
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -163,7 +226,7 @@ def removed(documents: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = M
     """(doc_id, key, gone): the numbers of the lines to remove from each row that has any; ``short``: exact repeats of any length."""
     lines = lines_of(documents, min_chars, short)
     distinct = written(distinct_lines(lines, max_edits))
-    pairs = written(near_pairs(distinct, max_edits, min_chars if short else 0))
+    pairs = written(near_pairs(distinct, lines, max_edits, min_chars if short else 0))
     ends = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = written(lines.join(_small(ends), "id", "left_semi").groupBy("id", "id2", "line").agg(F.min("at").alias("first")))
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa"), F.col("id2").alias("a2"))

@@ -91,6 +91,36 @@ def test_line_dedup_distances(spark):
     assert {k for k, v in got.items() if v} == gone and gone
 
 
+@pytest.mark.parametrize("n", [4000, 40_000])
+def test_line_dedup_hot_keys(spark, n):
+    """Lines with equal beginnings of three quarters give candidates in proportion to their number, not all pairs."""
+    lines = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("2026-11-26 10:00:00 INFO worker started a new request with identity "), F.lpad(F.pmod(F.xxhash64("id"), F.lit(10**12)).cast("string"), 20, "0")).alias("text"))
+    parts = line_dedup.lines_of(lines, 24)
+    assert line_dedup.near_pairs(line_dedup.distinct_lines(parts, 1), parts, 1).count() < 2 * n
+
+
+def test_line_dedup_hot_keys_lose_nothing(spark, monkeypatch):
+    """Every key is hot: all levels down to single characters, against all pairs."""
+    rng = random.Random(6)
+    lines = {"".join(["common beginning of a line ", *(rng.choice("ab") for _ in range(rng.randint(3, 6)))]) for _ in range(200)}
+    lines |= {f"{x[:5]}{c}{x[5 + d:]}" for x in list(lines)[:20] for c in "xyz" for d in (0, 1)}
+    docs = list(enumerate(sorted(lines, key=lambda x: rng.random())))
+    near = {j for i, a in docs for j, b in docs if i < j and abs(len(a) - len(b)) <= 1 and _distance(a, b) <= 1}
+    for crowd in (0, 1, 2, 8):
+        monkeypatch.setattr(line_dedup, "CROWD", crowd)
+        got = line_dedup.report(spark.createDataFrame(docs, "doc_id long, text string")).where("removed <> ''").select("doc_id").collect()
+        assert {r[0] for r in got} == near, crowd
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 @pytest.mark.parametrize("most", [1, 2, 3])
 def test_banded_distance(spark, most):
     rng = random.Random(most)
