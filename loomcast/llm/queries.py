@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op3_personal_data": pii.ORACLE_SQL, "op4_license_scan": licenses.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import duckdb
@@ -216,6 +217,46 @@ def test_pii_discovers_by_context(spark):
     assert got[50] == "found:16:23" and got[51] == "" and got[0].startswith("email:")
 
 
+def test_pii_equals_sql(spark):
+    """All columns, found spans included; near misses, marks around tokens, repeated rows, no text."""
+    rng = random.Random(8)
+    words = ["write", "to", "the", "badge", "of", "Éva", "room\x0b", "card:", "no.\t"]
+    some = [lambda: f"user{rng.randrange(40)}@site{rng.randrange(9)}.org", lambda: f"agent{rng.randrange(99)}", lambda: "4111 1111 1111 1111", lambda: "4111111111111112", lambda: f"{rng.randrange(400)}.1.{rng.randrange(300)}.2",
+            lambda: "+1 (375) 555-4393", lambda: f'token = "{rng.getrandbits(160):040x}"', lambda: f"(password={rng.getrandbits(40):010x})!", lambda: str(rng.randrange(3000)), lambda: "a@b", lambda: "+@@ @", lambda: "AKIA" + "Q7" * 8]
+    docs = [(i, " ".join(x for _ in range(rng.randint(0, 12)) for x in (rng.choice(words), rng.choice(words), rng.choice(some)()))) for i in range(300)]
+    docs += [(400 + i, f"please write to user{i}@site{i}.org today") for i in range(12)] + [(450, "please write to agent77 today"), (451, None), (452, ""), (452, ""), (453, docs[0][1]), (None, docs[1][1]), (0, docs[0][1])]
+    got = pii.digest(pii.spans(spark.createDataFrame(docs, "doc_id long, text string")))
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", docs)
+    key = lambda r: str(r)
+    names = sorted(got.columns)
+    rows = sorted(map(tuple, got.select(*names).collect()), key=key)
+    assert rows == sorted(c.sql(f"select {', '.join(names)} from ({pii.ORACLE_SQL})").fetchall(), key=key)
+    assert sum(r[names.index("n_found")] for r in rows) > 0 and sum(r[names.index("n_secret")] for r in rows) > 20
+
+
+def test_pii_work_grows_with_the_text(spark):
+    """Fifty thousand numbers in one text: places and overlaps are not looked for pair by pair."""
+    n = 50_000
+    text = " ".join(f"{i} 10.0.{i % 256}.{i % 100}" if i % 5 == 0 else str(i) for i in range(n))
+    began = time.time()
+    r = pii.digest(pii.spans(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert r.n_ip == n // 5 and time.time() - began < 60
+
+
+def test_pii_finds_held_out_secrets(spark):
+    """With only some digests as seeds, their contexts find the others; documents without identifiers stay without spans."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    secret = r"(?<![0-9a-zA-Z])[0-9a-f]{40}(?![0-9a-zA-Z])"
+    some = docs.where(F.col("text").rlike(secret)).union(docs.limit(500))
+    found = pii.spans(some, secrets=("^[0-9ab][0-9a-f]{39}$",)).withColumn("found", F.filter("spans", lambda x: x["kind"] == "found"))
+    rows = found.join(docs, "doc_id").select("doc_id", "found", "text").distinct().collect()
+    hit = [r.text[x["start"] : x["end"]] for r in rows for x in r.found]
+    held = [m for r in rows for m in re.findall(secret, r.text) if m[0] in "cdef"]
+    assert len(held) >= 10 and len([x for x in hit if x in held]) >= 0.9 * len(held) and len([x for x in hit if x in held]) >= 0.9 * len(hit)
+
+
 def test_licenses(spark):
     t = "CC-BY, cc by\nAll Rights Reserved\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
     r = licenses.scan(spark.createDataFrame([(1, t), (2, "cc byte")], "doc_id long, text string")).orderBy("doc_id").collect()
