@@ -44,9 +44,11 @@ TEMPLATES = {
 
 
 def words_of(text: Column) -> Column:
-    """The text's words, lower-cased; no words give an empty array."""
-    plain = F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    """The text's words, A-Z lower-cased (other letters may be, which changes no word's place); no words give an empty array."""
+    text = F.coalesce(text, F.lit(""))
+    # of all other letters, only the Kelvin sign and the dotted capital I become ASCII letters
+    small = F.when(text.contains("\u212a") | text.contains("\u0130"), lower_ascii(text)).otherwise(F.lower(text))
+    return F.array_remove(F.split(small, SEPARATORS), "")
 
 
 def _starts(words: Column, phrase: str) -> Column:
