@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+_paths: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a temporary folder is made and set."""
+    """spark.checkpoint.dir; where it is unset and all tasks run in this process, as in tests, a temporary folder is made and set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = now.get() if now.isDefined() else tempfile.mkdtemp(prefix="checkpoint-")
+        if now.isDefined():
+            found = now.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            found = tempfile.mkdtemp(prefix="checkpoint-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -24,7 +33,28 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Deletes written tables that nothing will read again."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t._written_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def mark() -> int:
+    """A point in time, for ``discard_since``."""
+    return len(_paths)
+
+
+def discard_since(spark: SparkSession, when: int, keep: DataFrame) -> None:
+    """Deletes all tables written since then but one; their readers must be done."""
+    discard(spark, *(p for p in _paths[when:] if p != keep._written_at))
+    _paths[when:] = [keep._written_at]
 
 
 def lower_ascii(text: Column) -> Column:

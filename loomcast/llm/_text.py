@@ -16,16 +16,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one numpy pass works on (a single longer text is still taken whole).
-CHUNK_BYTES = 1 << 19
+#: Bytes and rows of text that one numpy pass works on (a single longer text is still taken whole).
+CHUNK_BYTES, CHUNK_ROWS = 1 << 19, 256
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = {"n": 0}
+#: Bytes that share one running sum; a long text is hashed in segments of so many bytes.
+_SEGMENT = 1 << 19
+_powers: dict[str, np.ndarray] = {}
 
 
-def bounded_batches(spark) -> None:
-    """Keeps Arrow batches between the JVM and Python small, so that very long texts cannot pile up in one."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+def small(batches, column: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most about ``CHUNK_BYTES`` of text in a column and ``CHUNK_ROWS`` rows, without a copy.
+
+    Spark bounds the batches it sends by bytes (spark.sql.execution.arrow.maxBytesPerBatch); what is made of one text or batch is bounded here.
+    """
+    for b in batches:
+        for at, end, *_ in chunks(b.column(column)):
+            yield b.slice(at, end - at)
 
 
 def released(run):
@@ -60,11 +67,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows (first, end, bytes, offsets) of at most about ``limit`` bytes each."""
+    """Runs of rows (first, end, bytes, offsets) of at most about ``limit`` bytes and ``CHUNK_ROWS`` rows each."""
     raw, off = utf8(column)
     n, at = len(off) - 1, 0
     while at < n:
-        end = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
+        end = min(max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1), at + CHUNK_ROWS)
         yield at, end, raw[off[at] : off[end]], off[at : end + 1] - off[at]
         at = end
 
@@ -114,15 +121,14 @@ def words(mapped: np.ndarray, off: np.ndarray) -> Words:
     return Words(start, np.flatnonzero(last) + 1, np.searchsorted(start, off))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers["n"] < n:
-        size = max(n, CHUNK_BYTES)
+def _power() -> tuple[np.ndarray, np.ndarray]:
+    """Powers up to ``_SEGMENT``, and inverse ones: a fixed table, however long a text is."""
+    if not _powers:
         for name, p in (("up", _P), ("down", _P_INV)):
-            steps = np.full(size, p, np.uint64)
+            steps = np.full(_SEGMENT + 1, p, np.uint64)
             steps[0] = 1
             _powers[name] = np.multiply.accumulate(steps)
-        _powers["n"] = size
-    return _powers["up"][:n], _powers["down"]
+    return _powers["up"], _powers["down"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -136,13 +142,43 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(mapped: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans that depend on their bytes alone, by differences of one prefix polynomial."""
-    up, down = _power(len(mapped) + 1)
-    total = np.zeros(len(mapped) + 1, np.uint64)
-    np.cumsum((mapped.astype(np.uint64) + np.uint64(1)) * up[: len(mapped)], out=total[1:])
+    """64-bit hashes of byte spans that depend on their bytes alone, by differences of a prefix polynomial. Starts are in order."""
+    out = np.zeros(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        low = int(start[at])
+        stop = max(at + 1, int(np.searchsorted(start, low + _SEGMENT // 2)))
+        most = int(end[at:stop].max()) - low
+        if most > _SEGMENT:  # a span longer than half a segment: taken alone, the others before or after it
+            long = at + int(np.argmax(end[at:stop] - low > _SEGMENT))
+            if long > at:
+                stop, most = long, int(end[at:long].max()) - low
+            else:
+                out[at] = _long_hash(mapped[low : end[at]])
+                at += 1
+                continue
+        out[at:stop] = _hashes(mapped[low : low + most], start[at:stop] - low, end[at:stop] - low)
+        at = stop
+    return out
+
+
+def _hashes(part: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    up, down = _power()
+    total = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def _long_hash(span: np.ndarray) -> np.uint64:
+    """The same polynomial for one span over ``_SEGMENT`` bytes, segment by segment."""
+    up, _ = _power()
+    total = 0
+    for k in range(0, len(span), _SEGMENT):
+        part = span[k : k + _SEGMENT].astype(np.uint64) + np.uint64(1)
+        total += int((part * up[: len(part)]).sum(dtype=np.uint64)) * pow(int(_P), k, 1 << 64)
+    return mix(np.array([(total + len(span)) % (1 << 64)], np.uint64))[0]
+
+
 def byte_ngrams(raw: np.ndarray, n: int) -> np.ndarray:
     """A hash for the n bytes that start at each position, n at most 8; the last n-1 positions are left out."""
     m = len(raw) - n + 1
@@ -158,6 +194,9 @@ def byte_ngrams(raw: np.ndarray, n: int) -> np.ndarray:
 
 
 def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums of values[bounds[i]:bounds[i+1]], 0 for empty rows."""
-    total = np.concatenate(([0.0], np.cumsum(values, dtype=np.float64)))
-    return total[bounds[1:]] - total[bounds[:-1]]
+    """Sums of values[bounds[i]:bounds[i+1]], 0 for empty rows; equal rows have equal sums wherever they stand."""
+    out = np.zeros(len(bounds) - 1)
+    full = np.flatnonzero(np.diff(bounds) > 0)
+    if len(full):
+        out[full] = np.add.reduceat(values.astype(np.float64), bounds[:-1][full])
+    return out

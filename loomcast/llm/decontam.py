@@ -4,11 +4,13 @@ A shard is a run of documents of about ``SHARD_BYTES`` in one partition. Its wor
 over them: suffix order, Burrows-Wheeler transform, wavelet matrix for rank and access, and every ``SAMPLE_STEP``-th
 suffix position. All benchmark windows are searched backwards at once; each occurrence is located by walking to the next
 sampled position; the covered words are merged to removal spans. Words outside the benchmark's vocabulary part the text, and
-stretches between them that are shorter than the shortest window are not indexed: no occurrence can lie there.
+stretches between them that are shorter than the shortest window are not indexed: no occurrence can lie there. So a shard's index answers
+the benchmark that it was made for, not any other.
 
 Defined cases: null and empty texts have no words and no hits; null or wordless items have no window; an item id that
-occurs twice counts once; repeated rows give repeated results; extra columns are ignored; empty tables give an empty result
-or no hits; a benchmark over ``MAX_BENCHMARK_BYTES`` is searched in parts, one pass over the documents for each.
+occurs twice counts once; the windows of items with a null id hit, but such items are not counted or listed; repeated rows give repeated results;
+a very long text is a shard of its own; extra columns are ignored; empty tables give an empty result or no hits; a benchmark over ``MAX_BENCHMARK_BYTES`` is searched
+in parts, one pass over the documents for each.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from loomcast.llm import _text
 from loomcast.llm._tables import free_name, row_key, written
 
-WINDOW, SHARD_BYTES, SAMPLE_STEP, MAX_BENCHMARK_BYTES = 13, 32 << 20, 8, 32 << 20
+WINDOW, SHARD_BYTES, SAMPLE_STEP, MAX_BENCHMARK_BYTES = 13, 32 << 20, 8, 16 << 20
 
 
 class WaveletMatrix:
@@ -107,7 +109,7 @@ class FMIndex:
             live = live[(low[live] < high[live]) & (lengths[live] >= back)]
             if not len(live):
                 break
-            c = patterns[live, -back]
+            c = patterns[live, -back].astype(np.int64)
             both = self.tree.rank(np.concatenate((c, c)), np.concatenate((low[live], high[live])))
             low[live], high[live] = self.first[c] + both[: len(c)], self.first[c] + both[len(c) :]
         return low, high
@@ -127,33 +129,45 @@ class FMIndex:
 
 
 class Benchmark:
-    """The distinct windows of all items as rows of word numbers, and the items of each window."""
+    """The distinct windows of all items as rows of word numbers, and the items of each window, in a few arrays.
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        numbers: dict[int, int] = {}
-        windows: dict[tuple, set] = {}
-        for item, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
+    Made once, on the driver, from at most ``MAX_BENCHMARK_BYTES`` of items; workers get the arrays.
+    """
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
+        hashes, counts = [], []
+        for _, _, raw, off in _text.chunks(pa.array([t for _, t in items], pa.string())):
             mapped = _text.ALNUM[raw]
-            w = _text.words(mapped, np.array([0, len(raw)]))
-            ids = [numbers.setdefault(int(h), len(numbers) + 1) for h in _text.span_hashes(mapped, w.start, w.end)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                windows.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.size = len(numbers)
-        hashes = np.array(list(numbers), np.uint64)
-        by = np.argsort(hashes)
-        self.hashes, self.ids = hashes[by], by + 1
+            w = _text.words(mapped, off)
+            hashes.append(_text.span_hashes(mapped, w.start, w.end))
+            counts.append(w.counts)
+        words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        self.hashes, numbers = np.unique(words, return_inverse=True)
+        self.size, self.ids = len(self.hashes), np.arange(1, len(self.hashes) + 1)
         self.near = np.zeros(1 << 16, bool)
-        self.near[(hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
-        self.lengths = np.array([len(w) for w in windows], np.int64)
-        self.patterns = np.zeros((len(windows), window), np.int64)
-        for i, w in enumerate(windows):
-            self.patterns[i, window - len(w) :] = w
-        self.items = sorted({i for s in windows.values() for i in s})
+        self.near[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
+        # a row a window: right-aligned, with zeros before the words of an item shorter than a window
+        padded = np.concatenate((np.zeros(window, np.int32), numbers.astype(np.int32) + 1))
+        ends = np.concatenate(([0], np.cumsum(n)))
+        own = np.maximum(n - window + 1, 1) * (n > 0)
+        item = np.repeat(np.arange(len(n)), own)
+        last = np.minimum(ends[item] + window, ends[item + 1]) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        rows = np.lib.stride_tricks.sliding_window_view(padded, window)[last] if len(item) else np.zeros((0, window), np.int32)
+        length = np.minimum(n[item], window)
+        rows = np.where(np.arange(window) >= window - length[:, None], rows, 0).astype(np.int32)
+        key = np.ascontiguousarray(rows).view(np.dtype((np.void, 4 * window))).ravel()
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        self.patterns, self.lengths = rows[first], length[first].astype(np.int64)
+        self.least = int(self.lengths.min()) if len(first) else 0
+        # the items of each window; an item of null id has windows, but no name
+        self.items = sorted({str(i) for i, _ in items if i is not None})
         rank = {x: k for k, x in enumerate(self.items)}
-        self.owner_at = np.concatenate(([0], np.cumsum([len(s) for s in windows.values()]))).astype(np.int64)
-        self.owners = np.array([rank[i] for s in windows.values() for i in sorted(s)], np.int64)
-        self.least = int(self.lengths.min()) if len(windows) else 0
+        names = np.array([-1 if i is None else rank[str(i)] for i, _ in items], np.int64)
+        named = names[item] >= 0
+        pair = np.unique(which.ravel()[named] * max(1, len(self.items)) + names[item][named])
+        self.owners = pair % max(1, len(self.items))
+        self.owner_at = np.searchsorted(pair // max(1, len(self.items)), np.arange(len(first) + 1))
 
     def numbered(self, hashes: np.ndarray) -> np.ndarray:
         """The word numbers, 0 for words that no item has."""
@@ -241,10 +255,10 @@ _STATE = "doc_id long, text string, n_words long, spans array<array<long>>, item
 
 
 def _pass(documents: DataFrame, items: list, window: int) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(items)
+    shared = documents.sparkSession.sparkContext.broadcast(Benchmark(items, window))  # arrays of a bounded benchmark, read once by each worker
 
     def run(batches):
-        bench, shard, held = Benchmark(shared.value, window), None, []
+        bench, shard, held = shared.value, None, []
 
         def flush():
             at = 0
@@ -259,7 +273,7 @@ def _pass(documents: DataFrame, items: list, window: int) -> DataFrame:
                         r["items"] = sorted({*r["items"], *names})
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r["n_words"] for r in part], pa.int64()), pa.array([r["spans"] for r in part], pa.list_(pa.list_(pa.int64()))), pa.array([r["items"] for r in part], pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "items"])
 
-        for b in batches:
+        for b in _text.small(batches, 1):
             shard = shard or Shard(bench)
             for _, _, raw, off in _text.chunks(b.column(1)):
                 shard.add(raw, off)
@@ -279,8 +293,7 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_b
     The benchmark goes to every executor, ``max_bytes`` of it at most at a time: a larger one is taken in parts by a hash
     of its ids, and the state between two passes is written to the shared folder.
     """
-    _text.bounded_batches(documents.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     parts = int(size // max_bytes) + 1
     out = documents.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
@@ -315,14 +328,14 @@ def brute_force(documents: list, items: list, window: int = WINDOW) -> list:
     for i, t in items:
         w = tokens(t)
         for k in range(max(1, len(w) - window + 1) if w else 0):
-            wins.setdefault(tuple(w[k : k + window]), set()).add(str(i))
+            wins.setdefault(tuple(w[k : k + window]), set()).update([] if i is None else [str(i)])
     sizes = sorted({len(w) for w in wins})
     out = []
     for d, t in documents:
         w, hit, names = tokens(t), set(), set()
         for n in sizes:
             for k in range(len(w) - n + 1):
-                if own := wins.get(tuple(w[k : k + n])):
+                if (own := wins.get(tuple(w[k : k + n]))) is not None:
                     hit.update(range(k, k + n))
                     names |= own
         out.append((d, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
@@ -339,3 +352,19 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_
         bad = F.broadcast(bad)
     both = documents.withColumn(mine, row_key(F.col("text")))
     return both.join(bad, both["doc_id"].eqNullSafe(bad[d]) & (both[mine] == bad[k]), "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+
+
+_SQL_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS ws FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS} AS ws FROM benchmark),
+windows AS (SELECT DISTINCT item, least(len(ws), {WINDOW}) AS n, list_slice(ws, k, k + least(len(ws), {WINDOW}) - 1) AS w
+  FROM (SELECT item, ws, unnest(range(1, CAST(greatest(len(ws) - {WINDOW} + 1, 1) AS BIGINT) + 1)) AS k FROM items WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT r, ws, n, unnest(range(1, CAST(len(ws) - n + 2 AS BIGINT))) AS k FROM docs, sizes WHERE len(ws) >= n),
+found AS (SELECT r, k, p.n, item FROM places p JOIN windows w ON w.n = p.n AND w.w = list_slice(p.ws, k, k + p.n - 1)),
+hits AS (SELECT r, count(DISTINCT word) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS word FROM found) GROUP BY r),
+named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM found GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
+"""

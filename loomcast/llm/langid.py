@@ -6,8 +6,9 @@ follow-the-regularised-leader under elastic-net penalties; a temperature is then
 kept aside. Document frequencies are counted over all rows that may be learnt from, the weights are fitted on a bounded
 sample of them.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0; repeated rows give repeated results; extra
-columns are ignored; an empty table, or one in which no language is known, gives ``und`` throughout.
+Defined cases: null texts and texts without a letter are ``und`` with score 0; equal texts give equal results, wherever they stand; very long
+texts are read whole; languages of equal score go by their name; extra columns are ignored; an empty table, or one in which no language is known,
+gives ``und`` throughout; more than ``MAX_LABELS`` languages are refused.
 """
 
 from __future__ import annotations
@@ -77,7 +78,8 @@ class LanguageModel:
         return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
 
     def logits(self, counts: np.ndarray) -> np.ndarray:
-        return self.vectors(counts) @ self.weights + self.bias
+        # row by row: a product of matrices may round a row differently by its neighbours
+        return np.array([v @ self.weights for v in self.vectors(counts)]).reshape(len(counts), -1) + self.bias
 
     def predict(self, raw: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray]:
         counts, has = frequencies(raw, off)
@@ -139,19 +141,17 @@ def train(sample: list[tuple[str, str]], df: np.ndarray, n: int, seed: int = 11)
 
 def fit(documents: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Learns from text and lang of the rows that meet ``allowed``; at most ``per_language`` rows of each language."""
-    _text.bounded_batches(documents.sparkSession)
     sample, _ = labelled_sample(documents, None, "lang", allowed, per_language)
     return train(sample, *document_frequencies(documents.where(allowed)))
 
 
 def predict(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score) of every row; one map over the table."""
-    _text.bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in _text.small(batches, 1):
             names, scores = [], []
             for _, _, raw, off in _text.chunks(b.column(1), CHUNK):
                 a, s = m.predict(raw, off)

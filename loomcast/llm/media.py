@@ -5,7 +5,8 @@ transform; the strongest bin of each frame and band is a peak; peaks are paired
 stored as a time-coded number: frame << 32 | first bin << 20 | second bin << 8 | frames between.
 
 Defined cases: null and empty texts are a payload of 64 zero bytes (silence has no peaks); equal texts give equal values;
-repeated rows give repeated results; extra columns are ignored; long texts are transformed block by block.
+repeated rows give repeated results; of equally strong bins the lowest is the peak; extra columns are ignored; very long texts are transformed
+block by block; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -88,10 +89,8 @@ _DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 def media_columns(documents: DataFrame, keep_media: bool = True, keep_fingerprint: bool = True) -> DataFrame:
     """The digest columns of every row, its ``fingerprint`` (array of long) and the WAV file in ``media`` unless told otherwise."""
-    _text.bounded_batches(documents.sparkSession)
-
     def run(batches):
-        for b in batches:
+        for b in _text.small(batches, 1):
             rows = [row(t) for t in b.column(1).to_pylist()]
             cols = [b.column(0)]
             for name, kind in (("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())):

@@ -2,20 +2,26 @@
 
 A text's set is its distinct shingles of ``WORDS`` words (hashed to 64 bits). Texts with equal sets are one class, and a class has ``TOKENS``
 minwise tokens: token i is (i, the least i-th hash of the set). Independent trees branch the classes recursively: a node selects
-``BRANCHES`` token numbers by its own hash, and a class goes to the child of each selected token that it has, so that two classes
-share a child with their similarity as probability. Nodes of at most ``SMALL`` classes are compared exhaustively; larger ones branch again,
-down to ``DEPTH``. There, a node of over ``BLOCK`` classes goes as a whole to the full comparison: no pair of it is lost. Two classes of similarity 0.8 meet in a leaf with a
-probability of over 1 - 1e-6 if their nodes get small at the first level, and over 0.999 if they go on to the last.
+token numbers by its own hash, and a class goes to the child of each selected token that it has, so that two classes share a child with
+their similarity as probability. Nodes of at most ``SMALL`` classes are compared exhaustively; larger ones branch again, each to ``BRANCHES``
+tokens. From level ``DEPTH`` on, nodes of at most ``BLOCK`` classes are compared, and larger ones branch to one token or, a quarter of them, to two:
+1.25 on average, so that a pair of similarity 0.8 keeps one common node on average while the number of rows grows slowly. A node that
+keeps ``STUCK`` of its parent's classes holds near-equal ones that no token parts: it goes as a whole to the full comparison, as do the last level's nodes
+over ``BLOCK``: no pair of them is lost. Two classes of similarity 0.8 meet in a leaf with a probability of over 1 - 1e-6 if their nodes get small
+at the first level, and over 0.999 if they go on.
 
 Comparison estimates the similarity from the tokens; what it lets through (``ESTIMATE``, four standard errors below the threshold) makes
 a forest of candidate links for each leaf, and the forests' components are candidate groups. A group's texts meet once: all pairs that
 the estimate lets through and that no link connects yet are compared on full sets, in memory, and only links that span the group's
-components come out. A group over ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles is split into blocks, and every pair of blocks is a task.
+components come out. A group over ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles is compared in two steps. First it is split into blocks, each a task
+with the group's ``PIVOTS`` pivots added, so that copies of one text come together with one copy of each text sent. Then only the classes
+outside the group's largest component still have open pairs: they, in blocks, meet every block of the group, each such pair of blocks in a task of its own.
 Components come from repeated least labels with shortcuts; no link or component leaves the executors.
 
 Defined cases: null, empty and wordless texts have empty sets and link with nothing; rows of null id have kept false; in
 ``without_copies`` one of them stays where no row of their component has an id; rows of equal id are separate rows with the same id, of which
-``without_copies`` keeps those of one text (rows equal in id and text stay together); repeated rows are exact copies; extra columns are ignored; an empty table gives an empty result. Class ids are 64-bit
+``without_copies`` keeps those of one text (rows equal in id and text stay together); repeated rows are exact copies; very long texts are read
+whole, and one over the bounds of a block is a block of its own; extra columns are ignored; an empty table gives an empty result. Class ids are 64-bit
 hashes of the set.
 """
 
@@ -23,13 +29,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from loomcast.llm import _text
-from loomcast.llm._tables import free_name, row_key, written
+from loomcast.llm._tables import discard, free_name, row_key, written
 
 WORDS, PERCENT = 4, 80
 TOKENS, TREES, BRANCHES, DEPTH, SMALL, BLOCK, BLOCK_SHINGLES, ESTIMATE = 64, 6, 2, 3, 64, 4096, 4_000_000, 0.6
+MOST_LEVELS, STUCK, PIVOTS = 16, 0.9, 8
 MAX_BROADCAST_ROWS = 500_000
 _SALTS = _text.mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _MULTIPLY = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -53,10 +60,9 @@ def shingles(raw: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.n
             if len(own) > 1:
                 own = own[np.append(True, own[1:] != own[:-1])]
         elif z > a:
-            total = np.uint64(z - a)
-            for x in h[a:z]:
-                total = _text.mix(np.array([total * _MULTIPLY[1] + x], np.uint64))[0]
-            own = np.array([total], np.uint64)
+            own = np.array([z - a], np.uint64)
+            for k in range(a, z):
+                own = _text.mix(own * _MULTIPLY[1] + h[k : k + 1])
         else:
             continue
         out.append(own)
@@ -88,10 +94,8 @@ def _tokens(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def signatures(documents: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, key, n_shingles, class, tokens) of every row; class null for empty sets."""
-    _text.bounded_batches(documents.sparkSession)
-
     def run(batches):
-        for b in batches:
+        for b in _text.small(batches, 2):
             n, c, t = [], [], []
             for _, _, raw, off in _text.chunks(b.column(2)):
                 sets, bounds = shingles(raw, off, words)
@@ -117,32 +121,40 @@ def _children(nodes: np.ndarray, tokens: np.ndarray, draw: np.ndarray) -> np.nda
     return _text.mix(nodes * _MULTIPLY[0] + value * _MULTIPLY[3] + number.astype(np.uint64) + np.uint64(1)).view(np.int64)
 
 
-def _branch(rows: DataFrame, root: bool) -> DataFrame:
-    """(class, node) of all children of (class, n, tokens, node); the root level starts all trees."""
+def _branch(rows: DataFrame, level: int) -> DataFrame:
+    """(class, node, above) of all children of (class, tokens, node, size); level 0 starts all trees. ``above``: the size of the node above."""
 
     def run(batches):
         for b in batches:
             tokens = _rows(b.column(1))
-            for start in range(TREES) if root else (0,):
-                nodes = np.full(len(tokens), _SALTS[start], np.uint64) if root else b.column(2).to_numpy().view(np.uint64)
+            for start in range(TREES) if level == 0 else (0,):
+                nodes = np.full(len(tokens), _SALTS[start], np.uint64) if level == 0 else b.column(2).to_numpy().view(np.uint64)
+                above = pa.array(np.zeros(len(tokens), np.int64)) if level == 0 else b.column(3)
                 for k in range(BRANCHES):
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_children(nodes, tokens, np.uint64(k + 1)), pa.int64())], names=["class", "node"])
+                    # from level DEPTH on, only a quarter of the nodes go to more than one child
+                    taken = np.ones(len(tokens), bool) if level < DEPTH or k == 0 else _text.mix(nodes ^ _MULTIPLY[4]) % np.uint64(4) == 0
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_children(nodes, tokens, np.uint64(k + 1)), pa.int64()), above], names=["class", "node", "above"]).filter(pa.array(taken))
 
-    return rows.select("class", "tokens", *([] if root else ["node"])).mapInArrow(_text.released(run), "class long, node long")
+    return rows.select("class", "tokens", *([] if level == 0 else ["node", "size"])).mapInArrow(_text.released(run), "class long, node long, above long")
 
 
 def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(class, node): the members of all leaves to compare, of two classes or more each; and (class, node) of the last level's larger nodes."""
-    rows, out, large = _branch(classes, True), None, None
-    for depth in range(1, DEPTH + 1):
-        rows = written(rows.distinct() if depth > 1 else rows)
+    """(class, node): the members of all leaves to compare, of two classes or more each; and (class, node) of the larger nodes that no token parts."""
+    out = large = None
+    rows = _branch(classes, 0)
+    for level in range(1, MOST_LEVELS + 1):
+        rows = written(rows.distinct() if level > 1 else rows)
         sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         met = rows.join(sizes, "node")
-        fits = F.col("size") <= (BLOCK if depth == DEPTH else SMALL)
-        small, large = met.where(fits).select("class", "node"), met.where(~fits).select("class", "node")
+        fits = F.col("size") <= (SMALL if level < DEPTH else BLOCK)
+        whole = F.lit(level == MOST_LEVELS) | (F.lit(level >= DEPTH) & (F.col("size") >= STUCK * F.col("above")))
+        small, stuck = met.where(fits).select("class", "node"), met.where(~fits & whole).select("class", "node")
         out = small if out is None else out.unionByName(small)
-        if depth < DEPTH:
-            rows = _branch(large.join(classes, "class"), False)
+        large = stuck if large is None else large.unionByName(stuck)
+        open_ = met.where(~fits & ~whole)
+        if level == MOST_LEVELS or (level >= DEPTH and open_.isEmpty()):
+            break
+        rows = _branch(open_.join(classes, "class"), level)
     return out, large
 
 
@@ -254,18 +266,28 @@ def confirmed(groups: DataFrame, words: int = WORDS) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(class, label) of every class in a link (a, b): the least class that it reaches. Labels only fall, so that the rounds end."""
+    spark = links.sparkSession
     edges = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "class"))
+    before = labels
     while True:
         near = edges.join(labels.withColumnRenamed("class", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         least = labels.join(near.withColumnRenamed("a", "class"), "class").select("class", "label", F.least("label", "near").alias("to"))
         jump = labels.select(F.col("class").alias("to"), F.col("label").alias("further"))
         moved = written(least.join(jump, "to", "left").select("class", F.col("label").alias("was"), F.least("to", F.coalesce("further", "to")).alias("label")))
-        labels = moved.select("class", "label")
+        discard(spark, before)
+        labels, before = moved.select("class", "label"), moved
         if moved.where("label <> was").isEmpty():
+            discard(spark, edges)
             return labels
 
 
+def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One text of each class in ``wanted`` (class, doc_id, key and more), with its other columns."""
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_ROWS else wanted  # a few numbers a row, counted
+    return documents.select("doc_id", row_key(F.col("text")).alias("key"), "text").join(wanted, ["doc_id", "key"]).dropDuplicates(["class"])
+
+
 def linked_classes(documents: DataFrame, rows: DataFrame, words: int = WORDS) -> DataFrame:
     """(class, label): the components of all classes with a link; rows: written signatures."""
     first = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
@@ -276,14 +298,41 @@ def linked_classes(documents: DataFrame, rows: DataFrame, words: int = WORDS) ->
     groups = components(candidates(members).unionByName(stars(large)).distinct()).withColumnRenamed("label", "group").join(classes.select("class", "doc_id", "key", "n"), "class")
     groups = written(groups)
     sizes = groups.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "group").select("class", "doc_id", "key", "group", "blocks", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"))
-    placed = written(placed)
-    wanted = F.broadcast(placed) if placed.count() <= MAX_BROADCAST_ROWS else placed  # a few numbers a row, counted
-    texts = documents.select("doc_id", row_key(F.col("text")).alias("key"), "text").join(wanted, ["doc_id", "key"]).dropDuplicates(["class"])
-    # a group over the bounds is compared block against block, each pair of blocks in a task of its own
-    with_block = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.xxhash64("group", F.least(x, F.col("block")), F.greatest(x, F.col("block"))))
-    tasks = texts.select("class", "text", F.explode(F.when(F.col("blocks") == 1, F.array("group")).otherwise(with_block)).alias("task"))
-    return components(confirmed(tasks, words))
+    placed = written(groups.join(sizes, "group").select("class", "doc_id", "key", "group", "blocks", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block")))
+    links = written(confirmed(_first_tasks(_texts(documents, placed), placed), words))
+    if placed.where("blocks > 1").isEmpty():
+        return components(links)
+    more = confirmed(_open_tasks(documents, placed, components(links)), words)
+    return components(links.unionByName(more).distinct())
+
+
+def _first_tasks(texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """(class, text, task): groups, or their blocks; a group's pivots, those of least hash, go to all its blocks."""
+    # partial lists of PIVOTS classes are merged: no task holds a group
+    drawn = placed.where("blocks > 1").select("group", "class", F.xxhash64("class", F.lit(5)).alias("draw"))
+    ranked = drawn.withColumn("part", F.pmod("draw", F.lit(64)))
+    for key in (["group", "part"], ["group"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("draw", "class"))).where(F.col("rank") <= PIVOTS)
+    pivots = ranked.select("class", F.lit(True).alias("pivot"))
+    rows = texts.join(pivots, "class", "left")
+    blocks = F.when(F.col("blocks") == 1, F.array("group")).when(F.col("pivot"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.xxhash64("group", x))).otherwise(F.array(F.xxhash64("group", "block")))
+    return rows.select("class", "text", F.explode(blocks).alias("task"))
+
+
+def _open_tasks(documents: DataFrame, placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(class, text, task) of the pairs that blocks and pivots leave open: classes outside a group's largest component against all of it."""
+    split = placed.where("blocks > 1").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    split = written(split)
+    counted = split.groupBy("group", "label").agg(F.count("*").alias("n"))
+    largest = counted.groupBy("group").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    open_ = written(split.join(largest.where("all > most"), "group").select("class", "doc_id", "key", "group", "blocks", "block", (F.col("label") != F.col("largest")).alias("outside"), F.ceil((F.col("all") - F.col("most")) * F.col("blocks") / F.col("all")).cast("int").alias("parts")))
+    texts = _texts(documents, open_)
+    part = F.pmod(F.xxhash64("class", F.lit(3)), F.col("parts")).cast("int")
+    # a class outside is in its part with every block; any class is in its block with every part
+    rows = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.xxhash64("group", x, part))
+    columns = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.xxhash64("group", "block", x))
+    tasks = F.array_distinct(F.when(F.col("outside"), F.concat(rows, columns)).otherwise(columns))
+    return texts.select("class", "text", F.explode(tasks).alias("task"))
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS) -> DataFrame:
@@ -310,3 +359,19 @@ def without_copies(documents: DataFrame, words: int = WORDS) -> DataFrame:
     stay = least.unionByName(judged.where("label is null").select("doc_id", "key").distinct()).select(F.col("doc_id").alias(d), F.col("key").alias(k)).distinct()
     both = documents.withColumn(mine, row_key(F.col("text")))
     return both.join(stay, both["doc_id"].eqNullSafe(stay[d]) & (both[mine] == stay[k]), "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])
+
+
+#: The exact join: all pairs of sets that share a shingle, counted; the trees must find every link of it.
+ORACLE_SQL = f"""
+WITH RECURSIVE docs AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(ws) >= {WORDS} THEN list_sort(list_distinct(list_transform(range(1, CAST(len(ws) - {WORDS} + 2 AS BIGINT)), lambda k: array_to_string(list_slice(ws, k, k + {WORDS} - 1), ' '))))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s FROM docs),
+classes AS MATERIALIZED (SELECT row_number() OVER () AS c, s, len(s) AS n, min(doc_id) AS least FROM sets WHERE len(s) > 0 GROUP BY s),
+postings AS MATERIALIZED (SELECT c, n, unnest(s) AS g FROM classes),
+links AS MATERIALIZED (SELECT a.c AS a, b.c AS b FROM postings a JOIN postings b ON a.g = b.g AND a.c < b.c AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n) GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT c, c AS t FROM classes UNION SELECT r.c, b FROM reach r JOIN edges e ON e.a = r.t),
+least AS (SELECT r.c, min(t.least) AS component_id FROM reach r JOIN classes t ON t.c = r.t GROUP BY r.c)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(coalesce(component_id, d.doc_id) = d.doc_id, false) AS kept
+FROM sets d LEFT JOIN classes k ON k.s = d.s LEFT JOIN least USING (c)
+"""

@@ -9,7 +9,8 @@ No piece has a space mark after another character, and none has a newline, so a
 by one, and parts met before come from a bounded memory; where a vocabulary does otherwise, texts are searched whole.
 
 Defined cases: null gives null ids and text, empty text gives no ids; decode(encode(x)) is x for every x, also if x has the
-space mark U+2581 itself (it becomes byte pieces); repeated rows give repeated results; extra columns are ignored.
+space mark U+2581 itself (it becomes byte pieces); of segmentations with equal scores the one with the longer last piece wins; very long texts are
+read whole, part by part; repeated rows give repeated results; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -147,15 +148,24 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
+_codec: list = [None, None]
+
+
+def codec_of(shared) -> Codec:
+    """A worker's codec of a broadcast vocabulary: made once, not in every task."""
+    if _codec[0] is not shared.value:
+        _codec[:] = shared.value, Codec(shared.value)
+    return _codec[1]
+
+
 def encode(documents: DataFrame, vocabulary_path: str) -> DataFrame:
     """(doc_id, ids, n_pieces, round_trip) of every row; round_trip: decoding the ids gives the text."""
     spark = documents.sparkSession
-    _text.bounded_batches(spark)
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))  # some ten thousand pieces
 
     def run(batches):
-        codec = Codec(shared.value)
-        for b in batches:
+        codec = codec_of(shared)
+        for b in _text.small(batches, 1):
             flat, ends, missing, same = [], [0], [], []
             for t in b.column(1).to_pylist():
                 ids = codec.encode(t or "")
@@ -172,11 +182,10 @@ def encode(documents: DataFrame, vocabulary_path: str) -> DataFrame:
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids)."""
     spark = encoded.sparkSession
-    _text.bounded_batches(spark)
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches):
-        codec = Codec(shared.value)
+        codec = codec_of(shared)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else codec.decode(x) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 

@@ -5,9 +5,9 @@ vectors, kind by kind, and a softmax over it gives the class. Vectors and output
 stochastic gradient descent on a bounded sample. Scoring uses that the network is linear up to the softmax: each bucket's
 vector is multiplied with the output weights once, and a document's score is an average of numbers.
 
-Defined cases: null and empty texts, and texts of white space alone, score by the bias alone; repeated rows give repeated
-results; extra columns are ignored; an empty table gives an empty result; without labels of both classes every score is the
-known class's (0.5 with none).
+Defined cases: null and empty texts, and texts of white space alone, score by the bias alone (white space by its n-grams, too); equal texts have
+equal scores, wherever they stand; very long texts are read whole, in the fit too as long as they fit in ``SAMPLE_BYTES``; equal class scores give
+0.5; extra columns are ignored; an empty table gives an empty result; without labels of both classes every score is the known class's (0.5 with none).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from loomcast.llm import _text
-from loomcast.llm._sampling import SAMPLE_PER_LABEL, SAMPLE_TEXT_BYTES, labelled_sample
+from loomcast.llm._sampling import SAMPLE_BYTES, SAMPLE_PER_LABEL, labelled_sample
 
 BUCKETS, NGRAM, DIM, EPOCHS, RATE = 1 << 15, 3, 8, 8, 1.0
 _WORDS = _text.byte_table(lambda b: b == 0x20 or 9 <= b <= 13, lower=False)
@@ -30,8 +30,13 @@ def features(raw: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndar
     h = _text.span_hashes(mapped, w.start, w.end)
     again = np.zeros(len(h), np.int64)
     again[1:] = h[1:] == h[:-1]
+    again[w.bounds[:-1][w.counts > 0]] = 0  # a text's first word
     grams = _text.byte_ngrams(raw, NGRAM)
-    return [((h % BUCKETS).astype(np.int64), w.bounds), ((grams % np.uint32(BUCKETS)).astype(np.int64) + BUCKETS, np.minimum(off, len(grams))), (again + 2 * BUCKETS, w.bounds)]
+    whole = np.ones(len(raw) + NGRAM, bool)
+    for k in range(1, NGRAM):  # not over two texts
+        whole[off[1:] - k] = False
+    own = np.flatnonzero(whole[: len(grams)])
+    return [((h % BUCKETS).astype(np.int64), w.bounds), ((grams[own] % np.uint32(BUCKETS)).astype(np.int64) + BUCKETS, np.searchsorted(own, off)), (again + 2 * BUCKETS, w.bounds)]
 
 
 class QualityModel:
@@ -86,19 +91,18 @@ def train(sample: list[tuple[str, int]], counts: dict, seed: int = 7) -> Quality
     return QualityModel((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0] + shift))
 
 
-def fit(documents: DataFrame, labels: DataFrame, allowed: Column, label: str = "quality", per_label: int = SAMPLE_PER_LABEL, text_bytes: int = SAMPLE_TEXT_BYTES) -> QualityModel:
-    """Learns from at most ``per_label`` labelled rows of each class that meet ``allowed``."""
-    return train(*labelled_sample(documents, labels, label, allowed, per_label, text_bytes))
+def fit(documents: DataFrame, labels: DataFrame, allowed: Column, label: str = "quality", per_label: int = SAMPLE_PER_LABEL, total_bytes: int = SAMPLE_BYTES) -> QualityModel:
+    """Learns from at most ``per_label`` labelled rows of each class that meet ``allowed``, of ``total_bytes`` in all."""
+    return train(*labelled_sample(documents, labels, label, allowed, per_label, total_bytes))
 
 
 def score(documents: DataFrame, model: QualityModel) -> DataFrame:
     """(doc_id, score) of every row; one map over the table, no shuffle."""
-    _text.bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast((model.logit, model.bias))
 
     def run(batches):
         m = QualityModel(*shared.value)
-        for b in batches:
+        for b in _text.small(batches, 1):
             out = [m.score(raw, off) for _, _, raw, off in _text.chunks(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["doc_id", "score"])
 
@@ -107,13 +111,12 @@ def score(documents: DataFrame, model: QualityModel) -> DataFrame:
 
 def keep_good(documents: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
     """The documents, all columns, whose score is at least ``least``."""
-    _text.bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast((model.logit, model.bias))
     at = documents.columns.index("text")
 
     def run(batches):
         m = QualityModel(*shared.value)
-        for b in batches:
+        for b in _text.small(batches, at):
             out = [m.score(raw, off) for _, _, raw, off in _text.chunks(b.column(at))]
             yield b.filter(pa.array(np.concatenate(out) >= least if out else np.zeros(0, bool)))
 

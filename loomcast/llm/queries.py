@@ -44,7 +44,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(_read(spark, sf_dir, "documents"), keep_media=False, keep_fingerprint=False)
+    return media.media_columns(_read(spark, sf_dir, "documents"), keep_media=False)
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_personal_data": pii.ORACLE_SQL, "op4_license_scan": licenses.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_minhash_near_dedup": near_dup.ORACLE_SQL, "op3_personal_data": pii.ORACLE_SQL, "op4_license_scan": licenses.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL, "op7_benchmark_decontamination": decontam.ORACLE_SQL}

@@ -8,8 +8,9 @@ that agree more than their accuracies explain. Its posteriors are the labels tha
 and patterns is trained on (logistic loss, follow-the-regularised-leader).
 
 Defined cases: null, empty and wordless texts score as a text without any term; without labels of both classes only the fixed
-list and the patterns vote; repeated rows give repeated results; extra columns are ignored; an empty table gives an
-empty result.
+list and the patterns vote; equal texts have equal scores, wherever they stand; very long texts are read whole, in the fit too as long as they
+fit in ``SAMPLE_BYTES``; terms that stand out equally go by their hash; extra columns are ignored; an empty table gives an empty result.
+Near copies in the sample are learnt from once (``without_copies``); all rows are scored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 
 from loomcast.llm import _text
 from loomcast.llm._linear import FTRL
-from loomcast.llm._sampling import SAMPLE_TEXT_BYTES, labelled_sample
+from loomcast.llm._sampling import SAMPLE_BYTES, labelled_sample
 
 TERMS, SINGLE, GROUPS, BEGINNINGS, LEAST_LLR, LEAST_SHARE = 3000, 48, 12, (4, 5, 6), 12.0, 0.92
 #: Clean texts outnumber toxic ones in the sample, so that chance seldom puts a term into toxic texts alone.
@@ -213,18 +214,18 @@ def train(sample: list[tuple[str, int]], counts: dict, seed: int = 5) -> Toxicit
     return ToxicityModel(hashes, w[:-1], float(w[-1]))
 
 
-def fit(documents: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", per_label: int | dict = SAMPLE, text_bytes: int = SAMPLE_TEXT_BYTES) -> ToxicityModel:
-    return train(*labelled_sample(documents, labels, label, allowed, per_label, text_bytes))
+def fit(documents: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", per_label: int | dict = SAMPLE, total_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
+    """Learns from at most ``per_label`` labelled rows of each class that meet ``allowed``, of ``total_bytes`` in all; near copies among them count once."""
+    return train(*labelled_sample(documents, labels, label, allowed, per_label, total_bytes))
 
 
 def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, score) of every row; one map over the table, no shuffle."""
-    _text.bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in _text.small(batches, 1):
             out = [m.score(raw, off) for _, _, raw, off in _text.chunks(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["doc_id", "score"])
 
