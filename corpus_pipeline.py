@@ -1,7 +1,7 @@
 """Text cleaning for training data, as stages over the documents table.
 
 Each stage works on all rows that the one before kept, and drops or changes rows; the last one turns texts to piece ids. A stage's output
-is written and read again before the next, so a lost executor costs one stage at most.
+is written and read again before the next, so a lost executor costs one stage at most; what a stage wrote on its way is deleted then.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomcast.llm import decontam, line_dedup, near_dup, pieces, quality
 from loomcast.llm._sampling import remainder
-from loomcast.llm._tables import written
+from loomcast.llm._tables import discard_since, mark, written
 from loomcast.llm.queries import PIECE_MODEL
 
 
@@ -49,7 +49,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        began = mark()
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = written(docs)
+            discard_since(spark, began, keep=docs)
     return docs
