@@ -39,9 +39,9 @@ def derivatives(design: DataFrame, horizon: int, orders: int) -> DataFrame:
 def season(panel: DataFrame, length: int) -> DataFrame:
     """Adds season (1..length) and its sine and cosine; the largest observed season is a full turn."""
     numbered = panel.withColumn("season", F.pmod("season_index", F.lit(length)) + 1)
-    top = numbered.agg(F.max("season")).first()[0] or 1  # one number
-    angle = F.lit(2 * math.pi) * F.col("season") / F.lit(float(top))
-    return numbered.withColumns({"sin_season": F.sin(angle), "cos_season": F.cos(angle)})
+    top = numbered.agg(F.max("season").cast("double").alias("_top"))  # one row, worked out in the job that uses it
+    angle = F.lit(2 * math.pi) * F.col("season") / F.col("_top")
+    return numbered.join(F.broadcast(top)).withColumns({"sin_season": F.sin(angle), "cos_season": F.cos(angle)}).drop("_top")
 
 
 def tail_split(rows: DataFrame, k: int) -> DataFrame:
@@ -82,8 +82,10 @@ def kfold(rows: DataFrame, folds: int, seed: int = 10, by_series: bool = True) -
 def series_means(train: DataFrame, column: str = "lag_1", zero: str = "mean") -> DataFrame:
     """(series, mean_series); a zero mean becomes the mean of all series' means, or 1."""
     means = train.groupBy("series").agg(F.avg(column).alias("m"))
-    other = F.lit(1.0) if zero == "one" else F.lit((means.agg(F.avg("m")).first()[0]))
-    return means.select("series", F.when(F.col("m") == 0, other).otherwise(F.col("m")).alias("mean_series"))
+    if zero == "one":
+        return means.select("series", F.when(F.col("m") == 0, F.lit(1.0)).otherwise(F.col("m")).alias("mean_series"))
+    other = means.agg(F.avg("m").alias("other"))  # one row
+    return means.join(F.broadcast(other)).select("series", F.when(F.col("m") == 0, F.col("other")).otherwise(F.col("m")).alias("mean_series"))
 
 
 def scale(rows: DataFrame, scales: DataFrame, columns: list[str], by: str = "mean_series") -> DataFrame:
@@ -92,12 +94,13 @@ def scale(rows: DataFrame, scales: DataFrame, columns: list[str], by: str = "mea
 
 
 def unscale(rows: DataFrame, columns: list[str], integer: bool = False, by: str = "mean_series") -> DataFrame:
-    """Multiplies back; ``integer`` rounds half to even and clips at 0."""
-    def unscaled(c: str) -> Column:
-        x = F.col(c) * F.col(by)
-        return F.greatest(F.rint(x), F.lit(0.0)) if integer else x
+    """Multiplies back and makes forecasts of it, as ``evaluated`` does."""
+    return evaluated(rows.withColumns({c: F.col(c) * F.col(by) for c in columns}), columns, integer)
 
-    return rows.withColumns({c: unscaled(c) for c in columns})
+
+def evaluated(rows: DataFrame, columns: list[str], integer: bool = False) -> DataFrame:
+    """Forecasts as they are judged: never below 0, and with ``integer`` rounded half to even."""
+    return rows.withColumns({c: F.greatest(F.rint(c) if integer else F.col(c), F.lit(0.0)) for c in columns})
 
 
 def seasonal_scale(panel: DataFrame, drop_last: int, season_length: int, fallback: bool = True) -> DataFrame:

@@ -1,7 +1,8 @@
 """Estimators over panels in DataFrames: a supervised panel, and tree, boosting and forest models with one interface.
 
 ``PanelData`` declares lags, horizon, derivatives and penalties once. ``TreeModel`` grows on the cluster, one histogram job a level,
-at any size. ``BoostedModel`` and ``ForestModel`` fit in tasks on arrays, so a panel larger than ``MAX_CELLS`` numbers is refused.
+at any size. ``BoostedModel`` and ``ForestModel`` have two tiers: "arrays" fits in tasks, with bins of its own at each node; "cluster" grows over
+DataFrames of any size, with global bins. "auto" takes arrays up to ``MAX_CELLS`` numbers. No model is fitted on the driver.
 """
 
 from __future__ import annotations
@@ -97,11 +98,22 @@ class _Model:
         if not n:
             raise ValueError("no rows to fit on")
         if n * len(columns) > MAX_CELLS:
-            raise ValueError(f"{n} rows of {len(columns)} numbers don't fit the array tier; TreeModel has no such limit")
+            raise ValueError(f"{n} rows of {len(columns)} numbers don't fit the array tier; the cluster tier has no such limit")
         f = rows.select("series", "index", *columns).toPandas().sort_values(["series", "index"])
         self._order = f[["series", "index"]].reset_index(drop=True)
         return f[self.data.features].to_numpy(float), f[self.data.labels].to_numpy(float), np.array(self.data.groups), np.array(self.data.weights(self.decay))
 
+    def _on_cluster(self, rows: DataFrame, tier: str) -> bool:
+        if tier not in ("auto", "arrays", "cluster"):
+            raise ValueError(f"tier: {tier}")
+        return tier == "cluster" or (tier == "auto" and rows.count() * (len(self.data.features) + len(self.data.labels)) > MAX_CELLS)
+
+    def _objective(self) -> tree.Objective:
+        return tree.Objective(self.data.labels, self.data.groups, self.data.weights(self.decay), list(self.objective_weights))
+
+    def _growth(self, **more) -> tree.Growth:
+        return tree.Growth(self.max_depth, self.bins, self.min_leaf, self.how, **more)
+
     def _applied(self, rows: DataFrame, predict) -> DataFrame:
         """rows with ``pred``; one map over Arrow batches, no shuffle."""
         features, h = self.data.features, self.data.horizon
@@ -171,11 +183,21 @@ class _Model:
 
 @dataclass
 class TreeModel(_Model):
+    row_share: float = 1.0
+    feature_share: float = 1.0
+    by_node: bool = True
+    gain_threshold: float = 0.0
+    weight_mode: str = "fixed"
+    alpha: float = 1.0
+    seed: int = 10
     nodes: list[tree.Node] = field(default_factory=list)
 
     def fit(self, rows: DataFrame) -> TreeModel:
-        objective = tree.Objective(self.data.labels, self.data.groups, self.data.weights(self.decay), list(self.objective_weights))
-        self.nodes = tree.grow(rows, self.data.features, objective, self.max_depth, self.bins, self.min_leaf, self.how)
+        data, edges = tree.prepared(rows, self.data.features, self.data.labels, self.bins, ["series", "index"])
+        growth = self._growth(row_share=self.row_share, feature_share=self.feature_share, by_node=self.by_node, gain_threshold=self.gain_threshold, weight_mode=self.weight_mode, alpha=self.alpha)
+        self.nodes = tree.grow_many(data, edges, self._objective(), growth, [self.seed], ["series", "index"])[0]
+        if not self.nodes[0].n:
+            raise ValueError("no rows to fit on")
         return self
 
     def predict(self, rows: DataFrame, depth: int = 99, leaf_id: bool = False) -> DataFrame:
@@ -198,6 +220,7 @@ class BoostedModel(_Model):
     metric: str = "mse"
     min_delta: float = 0.0
     refit_on_full: bool = False
+    tier: str = "auto"
     model: kernel.Boosted | None = None
 
     def fit(self, rows: DataFrame, scales: DataFrame | None = None) -> BoostedModel:
@@ -208,6 +231,8 @@ class BoostedModel(_Model):
         """
         if self.metric not in ("mse", "mase") or (self.metric == "mase" and scales is None):
             raise ValueError("metric: mse, or mase with scales")
+        if self._on_cluster(rows, self.tier):
+            return self._fit_cluster(rows, scales)
         x, y, groups, weights = self._arrays(rows)
         held = None
         if self.eval_k:
@@ -215,10 +240,27 @@ class BoostedModel(_Model):
             held = ((g.cumcount(ascending=False) < self.eval_k) & (g["index"].transform("size") > self.eval_k)).to_numpy()
         p = kernel.Params(self.max_depth, self.min_leaf, self.bins, self.bagging_fraction, self.feature_fraction, True, self.how, self.objective_weights)
         by_row = None if scales is None else self._by_series(scales, "scale")
-        self.model = kernel.boost(x, y, groups, weights, p, self.n_estimators, self.rate, self.seed, held, self.patience, self.metric, by_row, self.min_delta)
+        fit = lambda **options: kernel.boost_in_task(rows.sparkSession, x, y, groups, weights, p, rate=self.rate, seed=self.seed, **options)
+        self.model = fit(rounds=self.n_estimators, eval_rows=held, patience=self.patience, metric=self.metric, scales=by_row, min_delta=self.min_delta)
         if self.eval_k and self.refit_on_full:
-            again = kernel.boost(x, y, groups, weights, p, len(self.model.trees) - 1, self.rate, self.seed)
-            self.model = kernel.Boosted(again.trees, self.rate, self.model.history)
+            self.model = kernel.Boosted(fit(rounds=len(self.model.trees) - 1).trees, self.rate, self.model.history)
+        return self
+
+    def _fit_cluster(self, rows: DataFrame, scales: DataFrame | None) -> BoostedModel:
+        key, carried = ["series", "index"], ["series", "index"]
+        if self.eval_k:
+            rows, carried = design.holdout(rows, self.eval_k), [*carried, "is_eval"]
+        if scales is not None:
+            rows, carried = rows.drop("scale").join(scales.select("series", "scale"), "series", "left"), [*carried, "scale"]
+        data, edges = tree.prepared(rows, self.data.features, self.data.labels, self.bins, carried, held="is_eval" if self.eval_k else None, raw=True)
+        growth = self._growth(row_share=self.bagging_fraction, feature_share=self.feature_fraction)
+        fit = lambda rounds, held: tree.boost(data, edges, self._objective(), growth, rounds, self.rate, kernel.tree_seeds(self.seed, rounds + 1), key, held, self.patience, self.metric, "scale" if scales is not None else None, self.min_delta)
+        found = fit(self.n_estimators, "is_eval" if self.eval_k else None)
+        trees = found.trees
+        if self.eval_k and self.refit_on_full:
+            data, edges = tree.prepared(rows, self.data.features, self.data.labels, self.bins, carried, raw=True)
+            trees = fit(len(found.trees) - 1, None).trees
+        self.model = kernel.Boosted([kernel.of_nodes(t) for t in trees], self.rate, found.history)
         return self
 
     def predict(self, rows: DataFrame, n_tree: int | None = None) -> DataFrame:
@@ -239,10 +281,20 @@ class ForestModel(_Model):
     bagging_fraction: float = 1.0
     feature_fraction: float = 1.0
     seed: int = 10
+    tier: str = "auto"
+    keep_loss: bool = False
     trees: list[kernel.Tree] = field(default_factory=list)
+    fitted: DataFrame | None = None
 
     def fit(self, rows: DataFrame) -> ForestModel:
-        """One tree a task; the forest does not depend on the number of tasks."""
+        """One tree a task, or on the cluster all trees together; the forest does not depend on the number of tasks."""
+        self.fitted = rows if self.keep_loss else None
+        if self._on_cluster(rows, self.tier):
+            data, edges = tree.prepared(rows, self.data.features, self.data.labels, self.bins, ["series", "index"])
+            growth = self._growth(row_share=self.bagging_fraction, feature_share=self.feature_fraction)
+            grown = tree.grow_many(data, edges, self._objective(), growth, kernel.tree_seeds(self.seed, self.n_estimators), ["series", "index"])
+            self.trees = [kernel.of_nodes(t) for t in grown]
+            return self
         p = kernel.Params(self.max_depth, self.min_leaf, self.bins, self.bagging_fraction, self.feature_fraction, True, self.how, self.objective_weights)
         self.trees = kernel.trees_of(kernel.forest(rows.sparkSession, *self._arrays(rows), p, self.n_estimators, self.seed))
         return self
@@ -252,3 +304,15 @@ class ForestModel(_Model):
             raise RuntimeError("not fitted")
         shared = rows.sparkSession.sparkContext.broadcast(self.trees)
         return self._applied(rows, lambda x: kernel.forest_predict(shared.value, x, n_tree))
+
+    def get_loss(self) -> DataFrame:
+        """(h, mse) of the fitted rows; kept with ``keep_loss`` only."""
+        if self.fitted is None:
+            raise RuntimeError("losses are kept with keep_loss only")
+        return self.score(self.predict(self.fitted))
+
+    def get_pred_df(self) -> DataFrame:
+        """The fitted rows with ``pred``; kept with ``keep_loss`` only."""
+        if self.fitted is None:
+            raise RuntimeError("predictions are kept with keep_loss only")
+        return self.predict(self.fitted)

@@ -58,6 +58,9 @@ class Tree:
         return self.means[self.leaf(x, max_depth)]
 
 
+NOISE = 1e-12
+
+
 def greedy_bins(v: np.ndarray, bins: int) -> np.ndarray:
     """Ends (exclusive) of the bins in the sorted values ``v``."""
     n, need = len(v), len(v) // bins
@@ -97,23 +100,26 @@ def _split(x, y, groups, weights, group_weights, p: Params, features):
         left = np.cumsum(y[order], axis=0)[ends - 1]
         c = ends[:, None]
         g = (left * left / c + (total - left) ** 2 / (n - c) - base) * weights
-        gains.append(np.stack([g[:, groups == k].sum(axis=1) for k in np.unique(groups)], axis=1))
+        by_group = np.stack([g[:, groups == k].sum(axis=1) for k in np.unique(groups)], axis=1)
+        # what is left of a difference of larger numbers: noise of the arithmetic, at any scale of the labels
+        gains.append(np.where(by_group > NOISE * np.array([(base * weights)[groups == k].sum() for k in np.unique(groups)]), by_group, 0.0))
         cells += [(f, 0.5 * (v[e - 1] + v[e])) for e in ends]
     if not cells:
         return None
-    g = np.round(np.concatenate(gains), 12)
+    g = np.concatenate(gains)
     w = np.asarray(group_weights[: g.shape[1]], float)
+    top = g.max(axis=0)
+    share = np.round(g / np.where(top > 0, top, np.inf), 12)  # gains tie relative to the node's largest
     if g.shape[1] == 1:
-        best = int(g[:, 0].argmax())
+        best = int(share[:, 0].argmax())
     elif p.how == "rank":
-        ranks = np.argsort(np.argsort(-g, axis=0, kind="stable"), axis=0, kind="stable")
+        ranks = np.argsort(np.argsort(-share, axis=0, kind="stable"), axis=0, kind="stable")
         best = int((ranks @ w).argmin())
     else:
-        top = g.max(axis=0)
-        best = int((g / np.where(top >= 1e-12, top, np.inf) @ w).argmax())
+        best = int((share @ w).argmax())
     if p.gain_threshold > 0:
         within = np.array([((y[:, groups == k] ** 2).sum(axis=0) - base[groups == k]) @ weights[groups == k] for k in np.unique(groups)])
-        share = np.clip(g[best] / np.maximum(within, 1e-12), 0, 1)
+        share = np.clip(np.divide(g[best], within, out=np.zeros_like(within), where=within > 0), 0, 1)
         if share @ w / max(w.sum(), 1e-12) < p.gain_threshold:
             return None
     return cells[best]
@@ -184,12 +190,22 @@ def forest(spark: SparkSession, x, y, groups, weights, p: Params, n_trees: int,
 
 def trees_of(nodes: DataFrame) -> list[Tree]:
     """Fitted trees, in order of id, of a table of nodes."""
+    return _trees(nodes.toPandas())
+
+
+def _trees(nodes: pd.DataFrame) -> list[Tree]:
     out = []
-    for _, f in nodes.orderBy("tree_id", "node_id").toPandas().groupby("tree_id"):
+    for _, f in nodes.sort_values(["tree_id", "node_id"]).groupby("tree_id"):
         out.append(Tree(f["feature"].to_numpy(), np.nan_to_num(f["threshold"].to_numpy(float)), f["left"].to_numpy(), f["right"].to_numpy(), f["n"].to_numpy(), f["depth"].to_numpy(), np.stack(f["means"].map(np.asarray))))
     return out
 
 
+def of_nodes(nodes: list) -> Tree:
+    """A tree grown on the cluster, as arrays."""
+    column = lambda name, kind: np.array([getattr(x, name) for x in nodes], kind)
+    return Tree(column("feature", np.int64), np.array([x.threshold or 0.0 for x in nodes]), column("left", np.int64), column("right", np.int64), column("n", np.int64), column("depth", np.int64), np.stack([np.asarray(x.means) for x in nodes]))
+
+
 def forest_predict(trees: list[Tree], x: np.ndarray, n_trees: int | None = None) -> np.ndarray:
     """The mean over the first ``n_trees`` trees."""
     some = trees[:n_trees]
@@ -247,6 +263,20 @@ def boost(x, y, groups, weights, p: Params, rounds: int = 100, rate: float = 0.0
     return Boosted(trees[: best_at + 2] if eval_rows is not None else trees, rate, history)
 
 
+def boost_in_task(spark: SparkSession, x, y, groups, weights, p: Params, **options) -> Boosted:
+    """``boost`` as a task's work: the driver sends the arrays and gets the trees."""
+    shared = spark.sparkContext.broadcast((x, y, groups, weights, p, options))
+
+    def run(batches):
+        for _ in batches:
+            *data, options = shared.value
+            m = boost(*data, **options)
+            yield pd.concat([_frame(t, i).assign(rate=m.rate, history=[m.history] * len(t.feature)) for i, t in enumerate(m.trees)])
+
+    nodes = spark.range(1).repartition(1).mapInPandas(run, f"{_NODES}, rate double, history array<double>").toPandas()
+    return Boosted(_trees(nodes), float(nodes["rate"][0]), [float(v) for v in nodes["history"][0]])
+
+
 def absolute(y: np.ndarray, pred: np.ndarray) -> np.ndarray:
     return np.abs(y - pred).mean(axis=1)
 

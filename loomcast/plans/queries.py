@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from loomcast.functions import metrics, stats
 from loomcast.operators import binning, design, kernel, tree
+from loomcast.operators.estimators import MAX_CELLS
 from loomcast.sources import tsf
 from loomcast.sources.panels import PANELS, panel, panel_sql, read
 
@@ -331,10 +332,18 @@ def supervised(spark, sf_dir, name="pm", lags=3, horizon=3) -> DataFrame:
     return design.derivatives(scaled, horizon, 1)
 
 
-_SUP = f"""{PM}, {_design_sql('pm', 3, 3, ', season_index')}, q AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY index DESC) AS r FROM d),
-m AS (SELECT series, avg(lag_1) AS mean_series FROM q WHERE r > 3 GROUP BY series), t AS (SELECT max(season_index % 12 + 1) AS top FROM pm),
-x AS (SELECT series, index, r, mean_series, {', '.join(f'round({c} / mean_series, 6) AS {c}' for c in (*_FEATURES, *_LABELS[:3]))}, round(sin(2 * pi() * (season_index % 12 + 1) / top), 6) AS sin_season, round(cos(2 * pi() * (season_index % 12 + 1) / top), 6) AS cos_season FROM q JOIN m USING (series), t),
-u AS (SELECT *, ahead_1 - ahead_0 AS der_1_ahead_1, ahead_2 - ahead_1 AS der_1_ahead_2 FROM x WHERE r > 3)"""
+def sup_sql(name: str, lags: int = 3, horizon: int = 3) -> str:
+    """The tables of ``supervised``: q (unscaled), x (scaled, with r from the series' end) and u, its training rows."""
+    length = PANELS[name][6]
+    scaled = ", ".join(f"round({c} / mean_series, 6) AS {c}" for c in (*[f"lag_{k}" for k in range(1, lags + 1)], *[f"ahead_{k}" for k in range(horizon)]))
+    angle = f"2 * pi() * (season_index % {length} + 1) / top"
+    return f"""{panel_sql(name)}, {_design_sql(name, lags, horizon, ', season_index')}, q AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY index DESC) AS r FROM d),
+m0 AS (SELECT series, avg(lag_1) AS m FROM q WHERE r > {horizon} GROUP BY series), m AS (SELECT series, CASE WHEN m = 0 THEN (SELECT avg(m) FROM m0) ELSE m END AS mean_series FROM m0), t AS (SELECT max(season_index % {length} + 1) AS top FROM {name}),
+x AS (SELECT series, index, r, mean_series, {scaled}, round(sin({angle}), 6) AS sin_season, round(cos({angle}), 6) AS cos_season FROM q JOIN m USING (series), t),
+u AS MATERIALIZED (SELECT *, {', '.join(f'ahead_{k} - ahead_{k - 1} AS der_1_ahead_{k}' for k in range(1, horizon))} FROM x WHERE r > {horizon})"""
+
+
+_SUP = sup_sql("pm")
 _LONG = " UNION ALL ".join(f"SELECT {i} AS p, {f} AS v FROM u" for i, f in enumerate(_FEATURES))
 _HIST = f"{_SUP}, {_greedy_sql(_LONG, _BINS)}, hh AS (SELECT b.p, b.bin, count(*) AS n, {', '.join(f'sum({x}) AS s_{x}' for x in _LABELS)} FROM b JOIN u ON (CASE b.p WHEN 0 THEN lag_1 WHEN 1 THEN lag_2 ELSE lag_3 END) BETWEEN b.bin_min AND b.bin_max GROUP BY b.p, b.bin)"
 
@@ -390,15 +399,111 @@ def tree_depth1_nodes(spark, sf_dir):
     return tree.nodes_frame(spark, nodes).select("node_id", "depth", "n", "feature", F.round("threshold", 6).alias("threshold"), F.round(F.col("means")[0], 6).alias("mean_0"))
 
 
-@query()
+def bins_sql(source: str, bins: int) -> str:
+    """Greedy bins ``b``, one recursive step for each bin: the first end of equal values with enough rows since the last bin."""
+    return f"""c AS (SELECT p, v, count(*) AS n FROM ({source}) GROUP BY p, v),
+o AS MATERIALIZED (SELECT p, v, sum(n) OVER w AS cum, lead(v) OVER w AS nxt, sum(n) OVER (PARTITION BY p) AS total, min(v) OVER (PARTITION BY p) AS least FROM c WINDOW w AS (PARTITION BY p ORDER BY v)),
+e AS MATERIALIZED (SELECT * FROM o WHERE nxt IS NULL OR nxt - v > 1e-7),
+g AS (SELECT DISTINCT p, -1 AS bin, {{'cum': CAST(0 AS HUGEINT), 'v': NULL::DOUBLE, 'nxt': least}} AS e, NULL::DOUBLE AS lo, CAST(0 AS HUGEINT) AS n, total FROM o UNION ALL
+ SELECT p, bin + 1, e2, e.nxt, e2.cum - e.cum, total FROM (SELECT g.p, g.bin, g.e, g.total, min({{'cum': e.cum, 'v': e.v, 'nxt': e.nxt}}) AS e2 FROM g JOIN e ON e.p = g.p AND e.cum > g.e.cum AND (e.nxt IS NULL OR (g.bin < {bins - 2} AND e.cum - g.e.cum >= g.total // {bins}))
+  WHERE g.e.nxt IS NOT NULL GROUP BY g.p, g.bin, g.e, g.total)),
+b AS MATERIALIZED (SELECT p, CAST(bin AS INTEGER) AS bin, lo AS bin_min, e.v AS bin_max, CAST(n AS BIGINT) AS n FROM g WHERE bin >= 0)"""
+
+
+def tree_sql(pre: str, source: str, features: list[str], objective: tree.Objective, depth: int, min_leaf: int, allowed: list[int] | None = None) -> str:
+    """Tables {pre}nodes and {pre}leaves (the rows of ``source`` with their node) of a tree over bins ``b``: a level is a group of tables."""
+    labels, groups = objective.labels, sorted(set(objective.groups))
+    value = lambda p: "CASE " + p + "".join(f" WHEN {i} THEN {f}" for i, f in enumerate(features)) + " END"
+    gain = lambda x, w: f"{w!r} * (l_{x} * l_{x} / c + (a_{x} - l_{x}) * (a_{x} - l_{x}) / (t - c) - a_{x} * a_{x} / t)"
+    gains = ", ".join(" + ".join(gain(x, w) for x, k, w in zip(labels, objective.groups, objective.weights, strict=True) if k == g) + f" AS gain_{g}" for g in groups)
+    score = " + ".join(f"{w!r} * coalesce(gain_{g} / nullif(max(gain_{g}) OVER (PARTITION BY node), 0), 0)" for g, w in zip(groups, objective.group_weights, strict=False))
+    means = ", ".join(f"avg({x}) AS m_{x}" for x in labels)
+    some = "" if allowed is None else f"AND b.p IN ({', '.join(map(str, allowed))}) "
+    out, count = [f"{pre}a0 AS MATERIALIZED (SELECT *, 0 AS node, true AS live FROM {source})"], "1"
+    for k in range(depth):
+        out.append(f"""{pre}s{k} AS (SELECT node, p, bin, sum(n) OVER w AS c, sum(n) OVER (PARTITION BY node, p) AS t, lead(bin) OVER (PARTITION BY node, p ORDER BY bin) AS nb, {', '.join(f'sum(s_{x}) OVER w AS l_{x}, sum(s_{x}) OVER (PARTITION BY node, p) AS a_{x}' for x in labels)}
+ FROM (SELECT node, b.p, b.bin, count(*) AS n, {', '.join(f'sum({x}) AS s_{x}' for x in labels)} FROM {pre}a{k} JOIN b ON {value('b.p')} BETWEEN b.bin_min AND b.bin_max {some}WHERE live GROUP BY ALL) WINDOW w AS (PARTITION BY node, p ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+{pre}w{k} AS MATERIALIZED (SELECT node, w.p, 0.5 * (x.bin_max + y.bin_min) AS threshold, CAST({count} + 2 * (row_number() OVER (ORDER BY node) - 1) AS INTEGER) AS lft FROM (
+  SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(score, 9) DESC, p, bin) AS k FROM (SELECT *, {score} AS score FROM (SELECT node, p, bin, nb, {gains} FROM {pre}s{k} WHERE nb IS NOT NULL AND c >= {min_leaf} AND t - c >= {min_leaf}))) w
+ JOIN b x ON x.p = w.p AND x.bin = w.bin JOIN b y ON y.p = w.p AND y.bin = w.nb WHERE k = 1),
+{pre}a{k + 1} AS MATERIALIZED (SELECT a.* EXCLUDE (node, live), CASE WHEN w.node IS NULL THEN a.node WHEN {value('w.p')} < threshold THEN lft ELSE lft + 1 END AS node, live AND w.node IS NOT NULL AS live FROM {pre}a{k} a LEFT JOIN {pre}w{k} w ON w.node = a.node AND live)""")
+        count += f" + 2 * (SELECT count(*) FROM {pre}w{k})"
+    levels = [f"SELECT node AS node_id, {k} AS depth, count(*) AS n, {means} FROM {pre}a{k} WHERE live GROUP BY node" for k in range(depth + 1)]
+    splits = " UNION ALL ".join(f"SELECT * FROM {pre}w{k}" for k in range(depth))
+    out.append(f"{pre}nodes AS MATERIALIZED (SELECT l.*, CAST(coalesce(p, -1) AS INTEGER) AS feature, threshold, coalesce(lft, -1) AS lft FROM ({' UNION ALL '.join(levels)}) l LEFT JOIN ({splits}) w ON w.node = node_id), {pre}leaves AS (SELECT * FROM {pre}a{depth})")
+    return ",\n".join(out)
+
+
+_SHOWN = "node_id, depth, n, feature, round(threshold, 6) AS threshold, lft AS child, round(m_ahead_0, 6) AS mean_0, round(m_der_1_ahead_1, 6) AS mean_3"
+
+
+def _shown(spark, nodes: list[tree.Node], *more) -> DataFrame:
+    return tree.nodes_frame(spark, nodes).select(*more, "node_id", "depth", "n", "feature", F.round("threshold", 6).alias("threshold"), F.col("left").alias("child"), F.round(F.col("means")[0], 6).alias("mean_0"), F.round(F.col("means")[3], 6).alias("mean_3"))
+
+
+def _grown_sql(name: str, bins: int, depth: int, min_leaf: int) -> str:
+    return f"WITH RECURSIVE {sup_sql(name)}, {bins_sql(_LONG, bins)}, {tree_sql('g0', 'u', _FEATURES, _objective(), depth, min_leaf)}"
+
+
+@query(f"{_grown_sql('pm', _BINS, 3, _LEAF)} SELECT {_SHOWN} FROM g0nodes")
 def tree_depth3_nodes(spark, sf_dir):
-    return tree.nodes_frame(spark, tree.grow(supervised(spark, sf_dir).where("NOT is_test"), _FEATURES, _objective(), 3, _BINS, _LEAF))
+    return _shown(spark, tree.grow(supervised(spark, sf_dir).where("NOT is_test"), _FEATURES, _objective(), 3, _BINS, _LEAF))
 
 
-@query()
+@query(f"{_grown_sql('pu', 16, 4, 20)} SELECT {_SHOWN} FROM g0nodes")
 def tree_pu_nodes(spark, sf_dir):
     """The panel that grows with the data."""
-    return tree.nodes_frame(spark, tree.grow(supervised(spark, sf_dir, "pu", 3, 3).where("NOT is_test"), _FEATURES, _objective(), 4, 16, 20))
+    return _shown(spark, tree.grow(supervised(spark, sf_dir, "pu", 3, 3).where("NOT is_test"), _FEATURES, _objective(), 4, 16, 20))
+
+
+_KEY, _SHARE, _SEEDED = ["series", "index"], 0.7, [101, 102, 103, 104, 105, 106]
+
+
+def _forest_sql() -> str:
+    """Six trees of depth two, each on the rows and the two features that its seed draws."""
+    parts = []
+    for t, seed in enumerate(_SEEDED):
+        drawn = np.random.RandomState(seed).permutation(len(_FEATURES))[:2].tolist()
+        rows = f"(SELECT * FROM u WHERE CAST('0x' || substr(md5(series || ':' || CAST(index AS VARCHAR) || ':{seed}'), 1, 8) AS BIGINT) < {int(_SHARE * 2**32)})"
+        parts.append(tree_sql(f"f{t}", rows, _FEATURES, _objective(), 2, 20, drawn))
+    every = " UNION ALL ".join(f"SELECT {t} AS tree, {_SHOWN} FROM f{t}nodes" for t in range(len(_SEEDED)))
+    return f"WITH RECURSIVE {sup_sql('pu')}, {bins_sql(_LONG, 16)}, {', '.join(parts)} {every}"
+
+
+@query(_forest_sql())
+def forest_pu_nodes(spark, sf_dir):
+    """A forest on the cluster: all trees share each level's job."""
+    data, edges = tree.prepared(supervised(spark, sf_dir, "pu", 3, 3).where("NOT is_test"), _FEATURES, _LABELS, 16, _KEY)
+    growth = tree.Growth(2, 16, 20, row_share=_SHARE, feature_share=0.5, by_node=False)
+    frames = [_shown(spark, nodes, F.lit(t).alias("tree")) for t, nodes in enumerate(tree.grow_many(data, edges, _objective(), growth, _SEEDED, _KEY))]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+_RATE = 0.1
+
+
+def _boost_sql() -> str:
+    """A first tree of depth one, then two of depth two on the residuals of all labels."""
+    parts, source = [], "u"
+    for k in range(3):
+        parts.append(tree_sql(f"r{k}", source, _FEATURES, _objective(), 2 if k else 1, 20))
+        by = "" if k == 0 else f"{_RATE} * "
+        parts.append(f"res{k} AS (SELECT series, index, {', '.join(_FEATURES)}, {', '.join(f'{x} - {by}m_{x} AS {x}' for x in _LABELS)} FROM r{k}leaves JOIN r{k}nodes ON node_id = node)")
+        source = f"res{k}"
+    every = " UNION ALL ".join(f"SELECT {k} AS tree, {_SHOWN} FROM r{k}nodes" for k in range(3))
+    return f"WITH RECURSIVE {sup_sql('pu')}, {bins_sql(_LONG, 16)}, {', '.join(parts)} {every}"
+
+
+@query(_boost_sql())
+def boost_pu_nodes(spark, sf_dir):
+    """Boosting on the cluster: residual columns, a job a level."""
+    data, edges = tree.prepared(supervised(spark, sf_dir, "pu", 3, 3).where("NOT is_test"), _FEATURES, _LABELS, 16, _KEY, raw=True)
+    found = tree.boost(data, edges, _objective(), tree.Growth(2, 16, 20), 2, _RATE, [0, 0, 0], _KEY)
+    frames = [_shown(spark, nodes, F.lit(k).alias("tree")) for k, nodes in enumerate(found.trees)]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
 #: A fixed tree for the prediction queries.
@@ -443,9 +548,17 @@ def leaf_stats(spark, sf_dir):
 # --- kernels: many small models -----------------------------------------------------------------------------------------------------
 
 
+def _fitting(rows: DataFrame) -> pd.DataFrame:
+    """A table as arrays, if it is counted to fit a task."""
+    n = rows.count() * len(rows.columns)
+    if n > MAX_CELLS:
+        raise ValueError(f"{n} numbers don't fit the array tier")
+    return rows.toPandas()
+
+
 def _arrays(spark, sf_dir, name="pm", lags=6, horizon=3):
     """(frame, x, y, groups) of a panel that fits the driver and a task; bounded by the panels' few series."""
-    f = supervised(spark, sf_dir, name, lags, horizon).toPandas().sort_values(["series", "index"]).reset_index(drop=True)
+    f = _fitting(supervised(spark, sf_dir, name, lags, horizon)).sort_values(["series", "index"]).reset_index(drop=True)
     labels = [*[f"ahead_{k}" for k in range(horizon)], *[f"der_1_ahead_{k}" for k in range(1, horizon)], "sin_season", "cos_season"]
     groups = np.array([0] * horizon + [1] * (horizon - 1) + [2, 2])
     return f, f[[f"lag_{k}" for k in range(1, lags + 1)]].to_numpy(), f[labels].to_numpy(), groups
@@ -488,8 +601,8 @@ def _boost(spark, sf_dir, **kw):
     p = kernel.Params(max_depth=4, row_share=0.8, feature_share=0.5, group_weights=(1.0, 0.5, 0.2))
     test = f["is_test"].to_numpy()
     ev = f.groupby("series").cumcount(ascending=False).to_numpy() < 6
-    m = kernel.boost(x[~test], y[~test], groups, np.ones(len(groups)), p, rounds=60, eval_rows=ev[~test], scales=np.ones((~test).sum()), **kw)
-    return f, x, m
+    options = dict(kw, rounds=60, eval_rows=ev[~test], scales=np.ones((~test).sum()))
+    return f, x, kernel.boost_in_task(spark, x[~test], y[~test], groups, np.ones(len(groups)), p, **options)
 
 
 @query()
@@ -536,8 +649,8 @@ def cv_variant_pick(spark, sf_dir):
 def _study_panel(spark, sf_dir, name) -> tuple[pd.DataFrame, int]:
     """A panel of few series, with the season's sine and cosine, and the season's length; as in ``_arrays``, it fits the driver and a task."""
     length = PANELS[name][6]
-    f = design.season(panel(spark, sf_dir, name), length).select("series", "index", "y", "sin_season", "cos_season").toPandas()
-    return f.sort_values(["series", "index"]).reset_index(drop=True), length
+    f = design.season(panel(spark, sf_dir, name), length).select("series", "index", "y", "sin_season", "cos_season")
+    return _fitting(f).sort_values(["series", "index"]).reset_index(drop=True), length
 
 
 def _windows(f: pd.DataFrame, lags: int, horizon: int, hold: int) -> dict[str, np.ndarray]:
@@ -761,6 +874,14 @@ def top_gap_per_dataset(spark, sf_dir):
     return _rounded(out).orderBy("gap", "series").limit(3)
 
 
+_FLAGSHIP = f"""{_grown_sql('ph', 16, 2, 10)}, tst AS (SELECT * FROM x WHERE r <= 3),
+w1 AS (SELECT t.*, CASE WHEN n.feature = -1 THEN 0 WHEN (CASE n.feature WHEN 0 THEN lag_1 WHEN 1 THEN lag_2 ELSE lag_3 END) < n.threshold THEN n.lft ELSE n.lft + 1 END AS n1 FROM tst t JOIN g0nodes n ON n.node_id = 0),
+w2 AS (SELECT t.*, CASE WHEN n.feature = -1 THEN n1 WHEN (CASE n.feature WHEN 0 THEN lag_1 WHEN 1 THEN lag_2 ELSE lag_3 END) < n.threshold THEN n.lft ELSE n.lft + 1 END AS n2 FROM w1 t JOIN g0nodes n ON n.node_id = n1),
+er AS (SELECT series, avg(mean_series * (abs(m_ahead_0 - ahead_0) + abs(m_ahead_1 - ahead_1) + abs(m_ahead_2 - ahead_2)) / 3) AS mae FROM w2 JOIN g0nodes n ON n.node_id = n2 GROUP BY series),
+{_scale_sql(True).replace('FROM pm', 'FROM ph').replace(f'lag(y, {S})', 'lag(y, 24)').replace(f'r > {H}', 'r > 3')}
+SELECT series, round(mae, 6) AS mae, round(mae / nullif(scale, 0), 6) AS mase FROM er JOIN sc USING (series)"""
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events to an hourly panel, a design matrix, a two-level tree over level, derivative and season, and its MASE by series."""
     rows = supervised(spark, sf_dir, "ph", 3, 3)
@@ -768,7 +889,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = tree.predict(rows.where("is_test"), nodes, _FEATURES)
     scales = design.seasonal_scale(panel(spark, sf_dir, "ph"), 3, 24)
     errors = F.aggregate(F.array(*[F.abs(F.col("pred")[h] - F.col(f"ahead_{h}")) for h in range(3)]), F.lit(0.0), lambda a, e: a + e) / 3
-    return test.withColumn("e", errors * F.col("mean_series")).groupBy("series").agg(F.avg("e").alias("mae")).join(scales, "series").select("series", "mae", F.try_divide("mae", "scale").alias("mase"))
+    return test.withColumn("e", errors * F.col("mean_series")).groupBy("series").agg(F.avg("e").alias("mae")).join(scales, "series").select("series", F.round("mae", 6).alias("mae"), F.round(F.try_divide("mae", "scale"), 6).alias("mase"))
 
 
-QUERIES["flagship_tree"] = flagship
+QUERIES["flagship_tree"], ORACLES["flagship_tree"] = flagship, _FLAGSHIP

@@ -26,13 +26,10 @@ def dense_panel(rows: DataFrame, series: str, ts: str, value: str, unit: str, dr
     extra = [] if covariate is None else [F.col(covariate).cast("decimal(18,2)").alias("c")]
     base = rows.select(F.col(series).cast("string").alias("series"), F.date_trunc(unit, ts).cast("timestamp_ntz").alias("timestamp"), F.col(value).cast("decimal(18,2)").alias("v"), *extra).where("series is not null and timestamp is not null")
     sums = base.groupBy("series", "timestamp").agg(F.sum("v").cast("double").alias("y"), *[F.sum("c").cast("double").alias("cov") for _ in extra])
-    low, high = base.agg(F.min("timestamp"), F.max("timestamp")).first()
-    if low is None:
-        spine = base.select("series", "timestamp").limit(0)
-    else:
-        step = F.expr(f"interval 1 {unit}")
-        stop = F.lit(high).cast("timestamp_ntz") - step if drop_last else F.lit(high).cast("timestamp_ntz")
-        spine = base.select("series").distinct().select("series", F.explode(F.sequence(F.lit(low).cast("timestamp_ntz"), stop, step)).alias("timestamp"))
+    step = F.expr(f"interval 1 {unit}")
+    ends = base.agg(F.min("timestamp").alias("low"), (F.max("timestamp") - step if drop_last else F.max("timestamp")).alias("high"))  # one row
+    times = F.when(F.col("high") >= F.col("low"), F.sequence(F.col("low"), F.col("high"), step))
+    spine = base.select("series").distinct().join(F.broadcast(ends)).select("series", F.explode(times).alias("timestamp"))
     own = W.partitionBy("series").orderBy("timestamp")
     filled = spine.join(sums, ["series", "timestamp"], "left")
     columns = [F.coalesce("y", F.lit(0.0)).alias("y"), *[F.coalesce("cov", F.lit(0.0)).alias("cov") for _ in extra]]

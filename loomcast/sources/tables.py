@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,14 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    context = spark.sparkContext._jsc.sc()
+    """spark.checkpoint.dir; a temporary folder only where that is unset and all tasks run in this process, as in tests."""
+    found, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir().get()
+        if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="checkpoint-"))
+    return found or context.getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -50,10 +50,10 @@ def pending(tasks: DataFrame, path: str, keys: list[str]) -> DataFrame:
 
 
 def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
-    """The table at ``path``; computed and written there if it is not there yet."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        compute().write.parquet(path)
+    """The table at ``path``; computed and written there if it is not there yet, or was not written to its end."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -138,13 +138,14 @@ def test_bins_of_nothing(spark):
     assert binning.greedy_bins(empty, 8, fold_limit=-1).count() == 0
 
 
-def test_deep_levels_by_join_equal_nested_cases(spark, monkeypatch):
+def test_walked_levels_equal_nested_cases(spark):
+    """Rows found by walking down the tables of splits are those that nested cases give, level by level."""
     x, y = _data()
     rows = spark.createDataFrame([(*map(float, a), *map(float, b)) for a, b in zip(x, y, strict=True)], "f0 double, f1 double, f2 double, a double, b double, c double")
     objective = tree.Objective(["a", "b", "c"], [0, 1, 1], [1.0, 1.0, 1.0], [1.0, 0.5])
-    plain = tree.grow(rows, ["f0", "f1", "f2"], objective, 4, 16, 5)
-    monkeypatch.setattr(tree, "CASE_SPLITS", 1)
-    joined = tree.grow(rows, ["f0", "f1", "f2"], objective, 4, 16, 5)
-    assert len(plain) > 15 and [(n.node_id, n.n, n.feature, n.threshold, n.left) for n in plain] == [(n.node_id, n.n, n.feature, n.threshold, n.left) for n in joined]
-    leaves = tree.predict(rows, plain, ["f0", "f1", "f2"]).groupBy("node_id").count().collect()
-    assert {(r["node_id"], r["count"]) for r in leaves} == {(n.node_id, n.n) for n in plain if n.threshold is None}
+    nodes = tree.grow(rows, ["f0", "f1", "f2"], objective, 4, 16, 5)
+    for depth in range(5):
+        found = {r.node: (r["count"], r["avg(a)"]) for r in rows.groupBy(tree.leaf(nodes, ["f0", "f1", "f2"], depth).alias("node")).agg(F.count("*").alias("count"), F.avg("a")).collect()}
+        ends = {n.node_id: n for n in nodes if n.depth == depth or (n.depth < depth and n.feature < 0)}
+        assert set(found) == set(ends) and all(found[i][0] == n.n and abs(found[i][1] - n.means[0]) < 1e-9 for i, n in ends.items())
+    assert max(n.depth for n in nodes) == 4
