@@ -9,6 +9,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 
+#: The studentised range at 0.05 over the root of two, for 2 to 10 methods.
+CRITICAL = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164}
+
+
+def band(ranks: DataFrame, n: int) -> DataFrame:
+    """(method, mean_rank, in_band): whether a method is within the critical distance of the best over ``n`` datasets."""
+    every = ranks.agg(F.min("mean_rank").alias("best"), F.count("*").alias("k"))  # one row
+    q = F.element_at(F.create_map(*[F.lit(x) for kv in CRITICAL.items() for x in kv]), F.col("k").cast("int"))
+    cd = q * F.sqrt(F.col("k") * (F.col("k") + 1) / F.lit(6.0 * n))
+    return ranks.join(F.broadcast(every)).select("method", "mean_rank", (F.col("mean_rank") <= F.col("best") + cd).alias("in_band"))
+
+
+def sign_counts(slopes: DataFrame) -> DataFrame:
+    """(n_neg, n_pos, p): how many slopes are below 0 and how many are not, and the exact two-sided binomial p."""
+    n = slopes.agg(F.count_if(F.col("slope") < 0).alias("a"), F.count_if(F.col("slope") >= 0).alias("b")).first()  # two numbers
+    return slopes.sparkSession.createDataFrame([(n["a"], n["b"], sign_test(n["b"], n["a"]) if n["a"] + n["b"] else None)], "n_neg long, n_pos long, p double")
+
+
 def average_ranks(long: DataFrame) -> DataFrame:
     """(method, mean_rank) of (dataset, method, value) rows; equal values share their mean rank."""
     own = W.partitionBy("dataset").orderBy("value")

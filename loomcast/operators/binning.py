@@ -97,6 +97,15 @@ def equal_width(values: DataFrame, bins: int, by: str = "p", value: str = "v") -
     return values.join(ends, by).select(by, value, F.least(F.coalesce(b, F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin"))
 
 
+def equal_width_edges(values: DataFrame, bins: int, by: str = "p", value: str = "v") -> DataFrame:
+    """(by, bin, bin_min, bin_max, n) of all bins of equal width; an empty one has the edges of its left neighbour. A constant is one bin."""
+    counts = equal_width(values, bins, by, value).groupBy(by, "bin").agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"), F.count("*").alias("n"))
+    several = counts.groupBy(by).agg((F.max("hi") > F.min("lo")).alias("several"))
+    every = several.select(by, F.explode(F.when(F.col("several"), F.sequence(F.lit(0), F.lit(bins - 1))).otherwise(F.array(F.lit(0)))).alias("bin"))
+    before = W.partitionBy(by).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    return every.join(counts, [by, "bin"], "left").select(by, "bin", F.last("lo", ignorenulls=True).over(before).alias("bin_min"), F.last("hi", ignorenulls=True).over(before).alias("bin_max"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def qcut(values: DataFrame, levels: int, value: str = "v") -> DataFrame:
     """(value, code): quantile classes with equal edges merged; a constant has one class."""
     edges = values.agg(F.percentile(value, F.array(*[F.lit(i / levels) for i in range(levels + 1)]))).first()[0]  # levels + 1 numbers

@@ -29,7 +29,7 @@ def lag_lead(panel: DataFrame, lags: int, horizon: int, complete: bool = True, d
 
 
 def derivatives(design: DataFrame, horizon: int, orders: int) -> DataFrame:
-    """Adds der_i_ahead_a: the i-th difference along the horizon."""
+    """Adds der_i_ahead_a: the i-th difference along the horizon. For as many orders as steps or more, ask for horizon + orders steps."""
     for i in range(1, orders + 1):
         before = (lambda a: f"ahead_{a}") if i == 1 else (lambda a, i=i: f"der_{i - 1}_ahead_{a}")
         design = design.withColumns({f"der_{i}_ahead_{a}": F.col(before(a)) - F.col(before(a - 1)) for a in range(i, horizon)})
@@ -103,6 +103,14 @@ def evaluated(rows: DataFrame, columns: list[str], integer: bool = False) -> Dat
     return rows.withColumns({c: F.greatest(F.rint(c) if integer else F.col(c), F.lit(0.0)) for c in columns})
 
 
+def normalized(rows: DataFrame, train: DataFrame, columns: list[str], external: list[str]) -> DataFrame:
+    """rows with ``columns`` divided by their series' mean lag_1 of the training rows (a mean of 0 counts as 1), and each ``external`` one by its own mean."""
+    means = train.groupBy("series").agg(F.avg("lag_1").alias("_mean"), *[F.avg(c).alias(f"{c}_mean") for c in external])
+    out = rows.join(means.withColumn("_mean", F.when(F.col("_mean") == 0, F.lit(1.0)).otherwise(F.col("_mean"))), "series")
+    out = out.withColumns({c: F.col(c) / F.col("_mean") for c in columns} | {c: F.try_divide(F.col(c), F.col(f"{c}_mean")) for c in external})
+    return out.drop("_mean", *[f"{c}_mean" for c in external])
+
+
 def seasonal_scale(panel: DataFrame, drop_last: int, season_length: int, fallback: bool = True) -> DataFrame:
     """(series, scale): mean absolute seasonal difference without the last rows; the lag-1 one where it is 0 or missing."""
     kept = panel.withColumn("_r", F.row_number().over(back())).where(F.col("_r") > drop_last)

@@ -33,8 +33,8 @@ class PanelData:
     extra: tuple[str, ...] = ()
 
     def __post_init__(self):
-        if self.lags < 1 or self.horizon < 1 or not 0 <= self.n_derivative < self.horizon:
-            raise ValueError("lags and horizon are at least 1, n_derivative below the horizon")
+        if self.lags < 1 or self.horizon < 1 or self.n_derivative < 0:
+            raise ValueError("lags and horizon are at least 1, n_derivative at least 0")
         if self.penalties and self.season_length is None and set(self.penalties) & {"sin_season", "cos_season"}:
             raise ValueError("seasonal penalties need season_length")
 
@@ -46,9 +46,14 @@ class PanelData:
     def targets(self) -> list[str]:
         return [f"ahead_{k}" for k in range(self.horizon)]
 
+    @property
+    def steps(self) -> int:
+        """Steps ahead that the derivatives are made of: more than the horizon where that has too few for their order."""
+        return self.horizon + (self.n_derivative if self.n_derivative >= self.horizon else 0)
+
     @property
     def derivative_names(self) -> list[str]:
-        return [f"der_{i}_ahead_{a}" for i in range(1, self.n_derivative + 1) for a in range(i, self.horizon)]
+        return [f"der_{i}_ahead_{a}" for i in range(1, self.n_derivative + 1) for a in range(i, self.steps)]
 
     @property
     def labels(self) -> list[str]:
@@ -62,7 +67,7 @@ class PanelData:
         return [names.index(k) for k in kinds]
 
     def weights(self, decay: float | None) -> list[float]:
-        orders = [w for i in range(1, self.n_derivative + 1) for w in design.decay_weights(self.horizon - i, decay)]
+        orders = [w for i in range(1, self.n_derivative + 1) for w in design.decay_weights(self.steps - i, decay)]
         return [*design.decay_weights(self.horizon, decay), *orders, *[1.0] * len(self.penalties)]
 
     def transform(self, panel: DataFrame, inference: bool = False) -> DataFrame:
@@ -71,8 +76,8 @@ class PanelData:
         keep = tuple(dict.fromkeys([*self.extra, *self.penalties]))
         if inference:
             return design.lag_lead(rows, self.lags, 0, keep=keep).dropna(subset=self.features)
-        out = design.derivatives(design.lag_lead(rows, self.lags, self.horizon, keep=keep), self.horizon, self.n_derivative)
-        return out.dropna(subset=[*self.features, *self.labels])
+        out = design.derivatives(design.lag_lead(rows, self.lags, self.steps, keep=keep), self.steps, self.n_derivative)
+        return out.dropna(subset=[*self.features, *self.labels]).select("series", "index", *keep, *[f"lag_{k}" for k in range(1, self.lags + 1)], *self.targets, *self.derivative_names)
 
 
 @dataclass

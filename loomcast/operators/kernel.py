@@ -163,6 +163,20 @@ def fit_tree(x: np.ndarray, y: np.ndarray, groups: np.ndarray, weights: np.ndarr
     return Tree(*[np.array(v) for v in c[:6]], np.stack(c[6]))
 
 
+def drawn_features(seed: int, width: int, n: int, calls: int = 1) -> list[list[int]]:
+    """``calls`` draws of n of ``width`` features without repetition: a Mersenne twister seeded by a number, and the first n steps of a shuffle each."""
+    twister = np.random.MT19937()
+    twister._legacy_seeding(seed)
+    out = []
+    for _ in range(calls):
+        pool = list(range(width))
+        for i, r in enumerate(twister.random_raw(n).tolist()):
+            j = i + r % (width - i)
+            pool[i], pool[j] = pool[j], pool[i]
+        out.append(pool[:n])
+    return out
+
+
 def tree_seeds(seed: int, n: int) -> list[int]:
     return [int(s.generate_state(1, np.uint32)[0]) for s in np.random.SeedSequence(seed).spawn(n)]
 

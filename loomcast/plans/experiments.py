@@ -160,21 +160,6 @@ def baseline_wins(spark, sf_dir):
     return n.join(s, "series").groupBy(F.when(F.col("s") < F.col("n"), "snaive").when(F.col("s") > F.col("n"), "naive").otherwise("tie").alias("best")).agg(F.count("*").alias("n"))
 
 
-_WINS = f"w AS (SELECT a.method, CAST(a.value AS DOUBLE) / CAST(b.value AS DOUBLE) AS ratio FROM {Q._RESSQL.replace('AS t', 'AS a')} JOIN {Q._RESSQL.replace('AS t', 'AS b')} ON a.dataset = b.dataset AND b.method = 'dt' WHERE a.method <> 'dt')"
-
-
-@query(f"WITH {_WINS} SELECT coalesce(method, 'OVERALL') AS method, CAST(count(*) FILTER (ratio < 1) AS BIGINT) AS wins, count(*) AS n, round(avg(ratio), 6) AS mean_ratio FROM w GROUP BY ROLLUP (method)")
-def win_counts(spark, sf_dir):
-    """Wins over the base method and mean ratios to it, by method and over all."""
-    rel = stats.relative_to_base(Q._results(spark), "dt").where("method <> 'dt'").withColumn("ratio", 1 + F.col("rel_pct") / 100)
-    return Q._rounded(rel.rollup("method").agg(F.count_if(F.col("ratio") < 1).alias("wins"), F.count("*").alias("n"), F.avg("ratio").alias("mean_ratio")).withColumn("method", F.coalesce("method", F.lit("OVERALL"))))
-
-
-@query()
-def typeset_rows(spark, sf_dir):
-    return tables.table_lines(stats.wide(Q._results(spark), ["dt", "gbt", "rf"]), "dataset", ["dt", "gbt", "rf"])
-
-
 # --- synthetic study ----------------------------------------------------------------------------------------------------------------
 
 _STUDY = {"mDT_base": (1.0, 0.0), "mDT_deriv": (1.0, 0.5)}

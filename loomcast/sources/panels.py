@@ -10,6 +10,8 @@ PANELS = {
     "pd": ("events", "event_type", "ts", "value", "day", False, 7, 3, 5),
     "pm": ("orders", "o_orderpriority", "o_orderdate", "o_totalprice", "month", True, 12, 6, 15),
     "pu": ("lineitem", "l_suppkey", "l_shipdate", "l_extendedprice", "month", True, 12, 6, 12),
+    "pq": ("orders", "o_orderpriority", "o_orderdate", "o_totalprice", "quarter", True, 4, 2, 4),
+    "py": ("lineitem", "l_returnflag", "l_shipdate", "l_extendedprice", "year", False, 1, 1, 2),
     "pw": ("lineitem", "l_returnflag", "l_shipdate", "l_extendedprice", "week", True, 52, 4, 6),
 }
 
@@ -26,7 +28,7 @@ def dense_panel(rows: DataFrame, series: str, ts: str, value: str, unit: str, dr
     extra = [] if covariate is None else [F.col(covariate).cast("decimal(18,2)").alias("c")]
     base = rows.select(F.col(series).cast("string").alias("series"), F.date_trunc(unit, ts).cast("timestamp_ntz").alias("timestamp"), F.col(value).cast("decimal(18,2)").alias("v"), *extra).where("series is not null and timestamp is not null")
     sums = base.groupBy("series", "timestamp").agg(F.sum("v").cast("double").alias("y"), *[F.sum("c").cast("double").alias("cov") for _ in extra])
-    step = F.expr(f"interval 1 {unit}")
+    step = F.expr("interval 3 month" if unit == "quarter" else f"interval 1 {unit}")
     ends = base.agg(F.min("timestamp").alias("low"), (F.max("timestamp") - step if drop_last else F.max("timestamp")).alias("high"))  # one row
     times = F.when(F.col("high") >= F.col("low"), F.sequence(F.col("low"), F.col("high"), step))
     spine = base.select("series").distinct().join(F.broadcast(ends)).select("series", F.explode(times).alias("timestamp"))

@@ -49,6 +49,22 @@ def pending(tasks: DataFrame, path: str, keys: list[str]) -> DataFrame:
     return tasks.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
 
 
+def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Adds the rows whose keys a log at ``path`` does not have; a run that was stopped goes on where it was."""
+    pending(rows, path, keys).write.mode("append").parquet(path)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """A few rows, such as best parameters, as JSON lines in one file."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_list(rows: DataFrame, column: str, path: str, by: str | None = None) -> None:
+    """The values of a column, in order, each followed by a tab, as one line of text (one for each ``by``)."""
+    line = F.concat(F.array_join(F.sort_array(F.collect_list(F.col(column).cast("string"))), "\t"), F.lit("\t")).alias("value")
+    (rows.groupBy(by) if by else rows.groupBy()).agg(line).select("value").write.mode("overwrite").text(path)
+
+
 def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
     """The table at ``path``; computed and written there if it is not there yet, or was not written to its end."""
     done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

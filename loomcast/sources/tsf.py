@@ -54,11 +54,12 @@ def read_tsf(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return rows.select(*[kinds[k](F.col("cells")[i]).alias(n) for i, (n, k) in enumerate(attributes)], known.alias("series_value")), meta
 
 
-def write_tsf(panel: DataFrame, path: str, frequency: str, horizon: int) -> None:
-    """Writes (series, index, y) rows as one text directory; header and data are parts of it."""
+def write_tsf(panel: DataFrame, path: str, frequency: str, horizon: int, start: bool = False) -> None:
+    """Writes (series, index, y) rows as one text directory; header and data are parts of it. ``start``: with each series' first timestamp."""
     spark = panel.sparkSession
-    head = ["@attribute series_name string", f"@frequency {frequency}", f"@horizon {horizon}", "@missing true", "@equallength false", "@data"]
-    rows = panel.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("index", "y"))).alias("v")).select(F.concat("series", F.lit(":"), F.array_join(F.transform("v", lambda s: F.coalesce(s["y"].cast("string"), F.lit("?"))), ",")).alias("value"))
+    head = ["@attribute series_name string", *["@attribute start_timestamp date"] * start, f"@frequency {frequency}", f"@horizon {horizon}", "@missing true", "@equallength false", "@data"]
+    first = [F.date_format(F.min("timestamp"), "yyyy-MM-dd HH-mm-ss").alias("first")] if start else [F.lit(None).cast("string").alias("first")]
+    rows = panel.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("index", "y"))).alias("v"), *first).select(F.concat("series", F.coalesce(F.concat(F.lit(":"), "first"), F.lit("")), F.lit(":"), F.array_join(F.transform("v", lambda s: F.coalesce(s["y"].cast("string"), F.lit("?"))), ",")).alias("value"))
     spark.createDataFrame([(x,) for x in head], "value string").coalesce(1).write.mode("overwrite").text(path)
     rows.write.mode("append").text(path)
 

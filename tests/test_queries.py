@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from loomcast.plans import experiments  # noqa: F401  registers its queries
+from loomcast.plans import experiments, reports  # noqa: F401  register their queries
 from loomcast.plans import queries as P
 
 SF = "/root/testdata/sf0.001"
