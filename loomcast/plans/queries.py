@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomcast.functions import metrics
 from loomcast.operators import binning, design, kernel, tree
 from loomcast.operators.estimators import MAX_CELLS
-from loomcast.sources import tsf
+from loomcast.sources import generated, tsf
 from loomcast.sources.panels import PANELS, panel, panel_sql, read
 
 QUERIES: dict = {}
@@ -748,22 +748,7 @@ def noise_sensitivity(spark, sf_dir, lags=5, horizon=3):
 
 @query()
 def synthetic_panel(spark, sf_dir):
-    """Seasonal autoregressions, weekly modes, trends and noise: 200 seeded series, each made in a task."""
-    kinds = [("A", 80), ("B", 60), ("C", 40), ("D", 20)]
-    tasks = _values(spark, [(k, i, 2026 + 1000 * n + i) for n, (k, c) in enumerate(kinds) for i in range(c)], "kind string, i int, seed long")
-
-    def run(batches):
-        for b in batches:
-            for r in b.itertuples():
-                g, t = np.random.default_rng(r.seed), np.arange(280)
-                e = g.normal(0, 1, 280)
-                ar = np.zeros(280)
-                for k in range(1, 280):
-                    ar[k] = 0.6 * ar[k - 1] + e[k]
-                y = {"A": 10 + 3 * np.sin(2 * np.pi * t / 7) + ar, "B": 10 + 4 * g.permutation(7)[t % 7] / 7 + 0.3 * ar, "C": 5 + 0.05 * t + ar, "D": 10 + ar}[r.kind]
-                yield pd.DataFrame({"series": f"{r.kind}_{r.i}", "index": t.astype(np.int64), "y": y, "season_index": t.astype(np.int64)})
-
-    return tasks.repartition(8, "kind", "i").mapInPandas(run, "series string, index long, y double, season_index long")
+    return generated.synthetic_panel(spark)
 
 
 @query(f"WITH {PM}, {PD} SELECT 'm' AS kind, series, index, y FROM pm UNION ALL SELECT 'd', series, index, y FROM pd")

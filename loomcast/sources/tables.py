@@ -59,6 +59,17 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_csv_file(rows: DataFrame, folder: str, name: str) -> None:
+    """A few rows as one CSV file of a given name."""
+    spark, path = rows.sparkSession, rows.sparkSession._jvm.org.apache.hadoop.fs.Path
+    part = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    rows.coalesce(1).write.csv(part, header=True)
+    files = path(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    written = next(s.getPath() for s in files.listStatus(path(part)) if s.getPath().getName().startswith("part-"))
+    files.rename(written, path(f"{folder}/{name}"))
+    files.delete(path(part), True)
+
+
 def write_list(rows: DataFrame, column: str, path: str, by: str | None = None) -> None:
     """The values of a column, in order, each followed by a tab, as one line of text (one for each ``by``)."""
     line = F.concat(F.array_join(F.sort_array(F.collect_list(F.col(column).cast("string"))), "\t"), F.lit("\t")).alias("value")
