@@ -52,22 +52,31 @@ def _weights(decay: float) -> np.ndarray:
     return np.array([*design.decay_weights(3, decay), *design.decay_weights(2, decay), 1.0, 1.0])
 
 
+#: Depths that a sweep's deep trees are scored at.
+_DEPTHS = [1, 2, 3, 4, 6, 8]
+
+
+def _half_smape(y: np.ndarray, pred: np.ndarray) -> np.ndarray:
+    return 100 * (np.abs(pred - y) / (np.maximum(np.abs(y) + np.abs(pred) + 0.5, 0.5) / 2)).mean(axis=1)
+
+
 def _sweep(key: str, cells: list[dict], error=None) -> None:
     def f(spark, sf_dir):
         frame, x, y, groups = Q._arrays(spark, sf_dir, "pd", 5, 3)
         test = frame["is_test"].to_numpy()
-        return kernel.grid(spark, x, y, groups, [(np.flatnonzero(~test), np.flatnonzero(test))], cells, [1, 2, 3, 4, 5, 6, 7, 8, 10, 12], 3, np.ones(len(x)), kernel.Params(min_leaf=3), _weights, error=error).drop("fold")
+        return Q.shown_log(kernel.grid(spark, x, y, groups, [(np.flatnonzero(~test), np.flatnonzero(test))], cells, _DEPTHS, 3, np.ones(len(x)), kernel.Params(min_leaf=3), _weights, error=error))
 
     f.__name__ = key
     f.__doc__ = "Train and test errors by one parameter and depth, the others fixed."
-    query()(f)
+    plain = {} if error is None else {"error": "100 * (" + " + ".join(f"abs(m_ahead_{k} - ahead_{k}) / (greatest(abs(ahead_{k}) + abs(m_ahead_{k}) + 0.5, 0.5) / 2)" for k in range(3)) + ") / 3"}
+    query(Q.grid_sql("pd", 5, cells, [("r > 3", "r <= 3")], _DEPTHS, 3, **plain))(f)
 
 
+# fixed values: the grids of the sweeps
 _sweep("sweep_beta", [{"decay": 1.0, "lam": 0.0, "beta": b} for b in (0.0, 0.1, 0.2, 0.5, 1.0)])
 _sweep("sweep_lambda", [{"decay": 1.0, "lam": a, "beta": 0.0} for a in (0.0, 0.1, 0.2, 0.5, 1.0)])
 _sweep("sweep_decay", [{"decay": d, "lam": 0.2, "beta": 0.0} for d in (1.0, 0.75, 0.5, 0.25, 0.0)])
-
-_sweep("sweep_decay_msmape", [{"decay": d, "lam": 0.2, "beta": 0.0} for d in (1.0, 0.75, 0.5, 0.25, 0.0)], lambda y, pred: 100 * (np.abs(pred - y) / (np.maximum(np.abs(y) + np.abs(pred) + 0.5, 0.5) / 2)).mean(axis=1))
+_sweep("sweep_decay_msmape", [{"decay": d, "lam": 0.2, "beta": 0.0} for d in (1.0, 0.75, 0.5, 0.25, 0.0)], _half_smape)
 
 _FORECAST = "variant string, family string, series string, index long, h int, actual double, pred double, n_trees int"
 

@@ -427,11 +427,64 @@ def tree_sql(pre: str, source: str, features: list[str], objective: tree.Objecti
     return ",\n".join(out)
 
 
-_SHOWN = "node_id, depth, n, feature, round(threshold, 6) AS threshold, lft AS child, round(m_ahead_0, 6) AS mean_0, round(m_der_1_ahead_1, 6) AS mean_3"
+def local_tree_sql(pre: str, source: str, features: list[str], labels: list[str], groups: list[int], group_weights: tuple, depth: int, min_leaf: int, bins: int, threshold: float = 0.0, label_weights: list[float] | None = None, train: str = "true") -> str:
+    """Tables {pre}nodes and {pre}a0.. (rows with their node at each level) of a tree with greedy bins made anew at every node from its own rows.
+
+    Rows that do not meet ``train`` are led down the tree, but do not grow it.
+    """
+    kinds = sorted(set(groups))
+    of = {g: [x for x, h in zip(labels, groups, strict=True) if h == g] for g in kinds}
+    value = lambda p: "CASE " + p + "".join(f" WHEN {i} THEN {f}" for i, f in enumerate(features)) + " END"
+    weight = dict(zip(labels, label_weights or [1.0] * len(labels), strict=True))
+    gain = lambda x: f"{weight[x]!r} * (e.l_{x} * e.l_{x} / e.cum + (e.a_{x} - e.l_{x}) * (e.a_{x} - e.l_{x}) / (e.total - e.cum) - e.a_{x} * e.a_{x} / e.total)"
+    gains = ", ".join(" + ".join(map(gain, own)) + f" AS gain_{g}" for g, own in of.items())
+    varied = ", ".join(" + ".join(f"{weight[x]!r} * (e.q_{x} - e.a_{x} * e.a_{x} / e.total)" for x in own) + f" AS v_{g}" for g, own in of.items())
+    weights = dict(zip(kinds, group_weights, strict=False))
+    score = " + ".join(f"{weights[g]!r} * coalesce(gain_{g} / nullif(max(gain_{g}) OVER (PARTITION BY node), 0), 0)" for g in kinds)
+    explained = "(" + " + ".join(f"{weights[g]!r} * least(1.0, greatest(0.0, gain_{g} / nullif(v_{g}, 0)))" for g in kinds) + f") / {sum(weights.values())!r}"
+    means = ", ".join(f"avg({x}) AS m_{x}" for x in labels)
+    out, count = [f"{pre}a0 AS MATERIALIZED (SELECT *, 0 AS node, true AS live FROM {source})"], "1"
+    for k in range(depth):
+        t = f"{pre}_{k}"
+        out.append(f"""{t}c AS (SELECT node, p, v, count(*) AS n, {', '.join(f'sum({x}) AS s_{x}, sum({x} * {x}) AS z_{x}' for x in labels)} FROM ({' UNION ALL '.join(f'SELECT *, {i} AS p, {f} AS v FROM {pre}a{k} WHERE live AND ({train})' for i, f in enumerate(features))}) GROUP BY ALL),
+{t}o AS (SELECT node, p, v, CAST(sum(n) OVER w AS BIGINT) AS cum, lead(v) OVER (PARTITION BY node, p ORDER BY v) AS nxt, CAST(sum(n) OVER h AS BIGINT) AS total, max(v) OVER h - min(v) OVER h AS span, {', '.join(f'sum(s_{x}) OVER w AS l_{x}, sum(s_{x}) OVER h AS a_{x}, sum(z_{x}) OVER h AS q_{x}' for x in labels)}
+ FROM {t}c WINDOW w AS (PARTITION BY node, p ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), h AS (PARTITION BY node, p)),
+{t}e AS MATERIALIZED (SELECT *, least({bins}, total // {min_leaf}) AS bins FROM {t}o WHERE span >= 1e-7 AND total >= {2 * min_leaf} AND (nxt IS NULL OR nxt - v > 1e-7)),
+{t}g AS (SELECT DISTINCT node, p, -1 AS bin, CAST(0 AS BIGINT) AS at, false AS ended FROM {t}e UNION ALL
+ SELECT g.node, g.p, g.bin + 1, min(e.cum), arg_min(e.nxt IS NULL, e.cum) FROM {t}g g JOIN {t}e e ON e.node = g.node AND e.p = g.p AND e.cum > g.at AND (e.nxt IS NULL OR (g.bin < e.bins - 2 AND e.cum - g.at >= e.total // e.bins)) WHERE NOT g.ended GROUP BY g.node, g.p, g.bin, g.at),
+{t}x AS (SELECT e.node, e.p, e.cum, 0.5 * (e.v + e.nxt) AS threshold, {gains}, {varied} FROM {t}g g JOIN {t}e e ON e.node = g.node AND e.p = g.p AND e.cum = g.at WHERE e.nxt IS NOT NULL AND e.cum >= {min_leaf} AND e.total - e.cum >= {min_leaf}),
+{pre}w{k} AS MATERIALIZED (SELECT node, p, threshold, CAST({count} + 2 * (row_number() OVER (ORDER BY node) - 1) AS INTEGER) AS lft FROM (
+  SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(score, 9) DESC, p, cum) AS k FROM (SELECT *, {score} AS score FROM {t}x)) WHERE k = 1 AND coalesce({explained}, 0) >= {threshold!r}),
+{pre}a{k + 1} AS MATERIALIZED (SELECT a.* EXCLUDE (node, live), CASE WHEN w.node IS NULL THEN a.node WHEN {value('w.p')} < threshold THEN lft ELSE lft + 1 END AS node, live AND w.node IS NOT NULL AS live FROM {pre}a{k} a LEFT JOIN {pre}w{k} w ON w.node = a.node AND live)""")
+        count += f" + 2 * (SELECT count(*) FROM {pre}w{k})"
+    levels = [f"SELECT node AS node_id, {k} AS depth, count(*) AS n, {means} FROM {pre}a{k} WHERE live AND ({train}) GROUP BY node" for k in range(depth + 1)]
+    splits = " UNION ALL ".join(f"SELECT * FROM {pre}w{k}" for k in range(depth))
+    out.append(f"{pre}nodes AS MATERIALIZED (SELECT l.*, CAST(coalesce(p, -1) AS INTEGER) AS feature, threshold, coalesce(lft, -1) AS lft FROM ({' UNION ALL '.join(levels)}) l LEFT JOIN ({splits}) w ON w.node = node_id)")
+    return ",\n".join(out)
+
+
+def grid_sql(name: str, lags: int, cells: list[dict], folds: list[tuple[str, str]], depths: list[int], min_leaf: int, error: str = "(abs(ahead_0 - m_ahead_0) + abs(ahead_1 - m_ahead_1) + abs(ahead_2 - m_ahead_2)) / 3") -> str:
+    """The log of a grid as ``kernel.grid`` makes it: a tree for each cell and fold (conditions for its training and its test rows), scored at every depth."""
+    parts, out = [], []
+    for i, c in enumerate(cells):
+        weights = [*design.decay_weights(3, c["decay"]), *design.decay_weights(2, c["decay"]), 1.0, 1.0]
+        for k, (train, test) in enumerate(folds):
+            pre = f"c{i}_{k}"
+            parts.append(local_tree_sql(pre, "every", [f"lag_{x}" for x in range(1, lags + 1)], _LABELS, [0, 0, 0, 1, 1, 2, 2], (1.0, c["lam"], c["beta"]), max(depths), min_leaf, 32, 0.0, weights, train))
+            out += [f"SELECT {k} AS fold, {d} AS depth, {c['decay']!r}::DOUBLE AS decay, {c['lam']!r}::DOUBLE AS lam, {c['beta']!r}::DOUBLE AS beta, round(avg({error}) FILTER ({train}) + 1e-9, 6) AS train_error, round(avg({error}) FILTER ({test}) + 1e-9, 6) AS test_error FROM {pre}a{d} JOIN {pre}nodes ON node_id = node" for d in depths]
+    return f"WITH RECURSIVE {sup_sql(name, lags)}, every AS MATERIALIZED (SELECT *, ahead_1 - ahead_0 AS der_1_ahead_1, ahead_2 - ahead_1 AS der_1_ahead_2 FROM x), {', '.join(parts)} {' UNION ALL '.join(out)}"
+
+
+def shown_log(log: DataFrame) -> DataFrame:
+    return log.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("train_error", "test_error")})
+
+
+#: Values of six digits have means and middles that end in a 5: a small number more keeps them from being rounded either way.
+_SHOWN = "node_id, depth, n, feature, round(threshold + 1e-9, 6) AS threshold, lft AS child, round(m_ahead_0 + 1e-9, 6) AS mean_0, round(m_der_1_ahead_1 + 1e-9, 6) AS mean_3"
 
 
 def _shown(spark, nodes: list[tree.Node], *more) -> DataFrame:
-    return tree.nodes_frame(spark, nodes).select(*more, "node_id", "depth", "n", "feature", F.round("threshold", 6).alias("threshold"), F.col("left").alias("child"), F.round(F.col("means")[0], 6).alias("mean_0"), F.round(F.col("means")[3], 6).alias("mean_3"))
+    return tree.nodes_frame(spark, nodes).select(*more, "node_id", "depth", "n", "feature", F.round(F.col("threshold") + 1e-9, 6).alias("threshold"), F.col("left").alias("child"), F.round(F.col("means")[0] + 1e-9, 6).alias("mean_0"), F.round(F.col("means")[3] + 1e-9, 6).alias("mean_3"))
 
 
 def _grown_sql(name: str, bins: int, depth: int, min_leaf: int) -> str:
@@ -563,17 +616,26 @@ def _forecast_frame(spark, f, pred, horizon=3) -> DataFrame:
     return spark.createDataFrame(out, "series string, index long, h int, actual double, pred double")
 
 
-@query()
+def _local_sql(depth: int, threshold: float, rows: str) -> str:
+    grown = local_tree_sql("k", rows, [f"lag_{k}" for k in range(1, 7)], _LABELS, [0, 0, 0, 1, 1, 2, 2], (1.0, 0.5, 0.2), depth, 5, 32, threshold)
+    return f"WITH RECURSIVE {sup_sql('pm', 6)}, every AS (SELECT *, ahead_1 - ahead_0 AS der_1_ahead_1, ahead_2 - ahead_1 AS der_1_ahead_2 FROM x), {grown} SELECT {_SHOWN} FROM knodes"
+
+
+def _shown_rows(nodes: DataFrame) -> DataFrame:
+    return nodes.select("node_id", "depth", "n", "feature", F.round(F.col("threshold") + 1e-9, 6).alias("threshold"), F.col("left").alias("child"), F.round(F.col("means")[0] + 1e-9, 6).alias("mean_0"), F.round(F.col("means")[3] + 1e-9, 6).alias("mean_3"))
+
+
+@query(_local_sql(4, 0.0, "u"))
 def kernel_tree_nodes(spark, sf_dir):
     f, x, y, groups = _arrays(spark, sf_dir)
     train = ~f["is_test"].to_numpy()
-    return kernel.forest(spark, x[train], y[train], groups, np.ones(len(groups)), kernel.Params(max_depth=4, group_weights=(1.0, 0.5, 0.2)), 1)
+    return _shown_rows(kernel.forest(spark, x[train], y[train], groups, np.ones(len(groups)), kernel.Params(max_depth=4, group_weights=(1.0, 0.5, 0.2)), 1))
 
 
-@query()
+@query(_local_sql(8, 0.005, "every"))
 def gain_pruned_tree(spark, sf_dir):
     f, x, y, groups = _arrays(spark, sf_dir)
-    return kernel.forest(spark, x, y, groups, np.ones(len(groups)), kernel.Params(max_depth=8, gain_threshold=0.005, group_weights=(1.0, 0.5, 0.2)), 1)
+    return _shown_rows(kernel.forest(spark, x, y, groups, np.ones(len(groups)), kernel.Params(max_depth=8, gain_threshold=0.005, group_weights=(1.0, 0.5, 0.2)), 1))
 
 
 @query()
@@ -610,13 +672,15 @@ def gbt_early_stop_history(spark, sf_dir):
     return _values(spark, [(i, float(v)) for i, v in enumerate(m.history)], "iteration int, loss double")
 
 
-@query()
+_GRID = [{"decay": d, "lam": a, "beta": b} for d in (1.0, 0.5) for a in (0.5, 0.0) for b in (0.2, 0.0)]
+
+
+@query(grid_sql("pd", 5, _GRID, [(f"r > {(3 - k) * 3}", f"(r - 1) // 3 = {2 - k}") for k in range(3)], [2, 4], 3))
 def cv_grid_log(spark, sf_dir):
     f, x, y, groups = _arrays(spark, sf_dir, "pd", 5, 3)
     r = f.groupby("series").cumcount(ascending=False).to_numpy()
     folds = [(np.flatnonzero(r >= (3 - k) * 3), np.flatnonzero(r // 3 == 2 - k)) for k in range(3)]
-    cells = [{"decay": d, "lam": a, "beta": b} for d in (1.0, 0.5) for a in (0.5, 0.0) for b in (0.2, 0.0)]
-    return kernel.grid(spark, x, y, groups, folds, cells, [2, 4], 3, np.ones(len(x)), kernel.Params(min_leaf=3), lambda d: np.array([*design.decay_weights(3, d), *design.decay_weights(2, d), 1, 1]))
+    return shown_log(kernel.grid(spark, x, y, groups, folds, _GRID, [2, 4], 3, np.ones(len(x)), kernel.Params(min_leaf=3), lambda d: np.array([*design.decay_weights(3, d), *design.decay_weights(2, d), 1, 1])))
 
 
 def _study_panel(spark, sf_dir, name) -> tuple[pd.DataFrame, int]:
