@@ -149,8 +149,11 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> np.ndarray
     """
     n, m = votes.shape
     for_, against = (votes == 1).astype(float), (votes == 0).astype(float)
-    q = (for_.sum(1) + 0.5 * prior) / (for_.sum(1) + against.sum(1) + 0.5)
-    weight = np.ones(m)
+    # voters that all but repeat each other share one voice from the start
+    centred = np.concatenate((for_ - for_.mean(0), against - against.mean(0))) if n else np.zeros((1, m))
+    scale = np.sqrt((centred * centred).sum(0)) + 1e-9
+    weight = 1 / np.maximum((np.clip(centred.T @ centred / np.outer(scale, scale), 0, None) ** 4).sum(1), 1.0)
+    q = ((for_ * weight).sum(1) + 0.5 * prior) / ((for_ * weight).sum(1) + (against * weight).sum(1) + 0.5)
     for _ in range(rounds):
         rates = []
         for c in (1 - q, q):

@@ -268,3 +268,35 @@ def test_wav_files_can_be_read_by_others(tmp_path):
     (tmp_path / "x.wav").write_bytes(media.write_wav(media.to_payload("some text")))
     with wave.open(str(tmp_path / "x.wav")) as w:
         assert (w.getnchannels(), w.getsampwidth(), w.readframes(w.getnframes())) == (1, 1, media.to_payload("some text"))
+
+
+def test_toxicity_score_equals_plain_sum():
+    """Weights of the terms and patterns of a text, found by loops over its words."""
+    rng = np.random.default_rng(4)
+    h = lambda w: int(toxicity._hash([w])[0])
+    salt = dict(zip(toxicity.BEGINNINGS, (int(s) for s in toxicity._SALT[1:]), strict=True))
+    listed = ["awful", "idiot", "you", "über"]
+    terms = np.array([*map(h, listed), h("hate") ^ salt[4], h("stupi") ^ salt[5]], np.uint64)
+    m = toxicity.ToxicityModel(terms, rng.normal(size=len(terms) + 4), -0.2)
+    order = {int(x): k for k, x in enumerate(np.sort(terms))}
+    texts = ["You IDIOT, you are awful", "hateful stupidity über alles", "", "a plain text", "idiot one two three four you", None, "you are not an idiot hated"]
+    got = m.score(*_text.utf8(pa.array(texts)))
+    for t, g in zip(texts, got, strict=True):
+        w = [x for x in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))]
+        seen = {h(x) for x in w} | {h(x.encode()[:k].decode("utf-8", "ignore")) ^ salt[k] for x in w for k in toxicity.BEGINNINGS if len(x.encode()) > k and len(x.encode()[:k].decode("utf-8", "ignore").encode()) == k}
+        found = [order[x] for x in seen if x in order]
+        insults, second = [i for i, x in enumerate(w) if x in toxicity.INSULTS], [i for i, x in enumerate(w) if x in toxicity.SECOND_PERSON]
+        flags = [bool(insults), any(0 < abs(i - j) <= 3 for i in insults for j in second), len(found) >= 3, not found]
+        z = m.bias + sum(m.weights[k] for k in found) + sum(m.weights[len(terms) + k] for k, f in enumerate(flags) if f)
+        assert abs(g - 1 / (1 + math.exp(-z))) < 1e-9, t
+
+
+def test_label_model_finds_accuracies_and_discounts_copies():
+    """Posteriors of votes of known quality: better than the best voter, and a voter that is there five times counts less than five."""
+    rng = np.random.default_rng(6)
+    y = rng.random(3000) < 0.3
+    good = [np.where(rng.random(3000) < 0.85, y, ~y).astype(np.int8) for _ in range(4)]
+    poor = np.where(rng.random(3000) < 0.55, y, ~y).astype(np.int8)
+    votes = np.stack([*good, *[poor] * 5], axis=1)
+    q = toxicity.label_model(votes, 0.3)
+    assert ((q > 0.5) == y).mean() > max((g == y).mean() for g in good) and ((votes.mean(axis=1) > 0.5) == y).mean() < ((q > 0.5) == y).mean()
