@@ -131,7 +131,9 @@ def _core(value: Column) -> Column:
 def candidates(found: DataFrame, secrets: tuple[str, ...] = SECRETS) -> DataFrame:
     """(doc_id, key, start, end, instance, secret, left, right) of the candidates."""
     rows = found.select("doc_id", "key", F.explode("other").alias("e")).select("doc_id", "key", "e.start", "e.value", "e.left", "e.right", _core(F.col("e.value")).alias("instance"))
-    rows = rows.where(F.col("instance").rlike("[A-Za-z0-9]"))
+    # a number of a card's length with a wrong check digit is known not to be one, also where the fixed pattern ran it together with another
+    wrong = F.when(F.col("instance").rlike("^[0-9]{14,19}$"), ~_luhn(F.col("instance"))).otherwise(False)
+    rows = rows.where(F.col("instance").rlike("[A-Za-z0-9]") & ~wrong)
     start = F.col("start") + F.length(F.regexp_extract("value", "^[^A-Za-z0-9+]*", 0))
     low = lower_ascii(F.col("instance"))
     secret = low.rlike("|".join(secrets)) & low.rlike("[a-z]")
@@ -194,6 +196,10 @@ p{k} AS MATERIALIZED (SELECT pattern, kind, support / (degree + 1) AS confidence
 i{k} AS MATERIALIZED (SELECT instance, kind, max(score) AS score FROM (SELECT instance, kind, 1 - exp(sum(ln(1 - confidence))) AS score FROM edges JOIN p{k} USING (pattern) GROUP BY ALL UNION ALL FROM i0) GROUP BY ALL)"""
 
 
+def _sql_luhn(digits: str) -> str:
+    return f"list_sum(list_transform(string_split(reverse({digits}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INTEGER) WHEN CAST(c AS INTEGER) > 4 THEN 2 * CAST(c AS INTEGER) - 9 ELSE 2 * CAST(c AS INTEGER) END)) % 10 = 0"
+
+
 def _sql_kind(kind: str, rank: int, rx: str) -> str:
     return f"SELECT r, {rank} AS rank, '{kind}' AS kind, regexp_extract_all(t, '{rx}') AS m, string_split_regex(t, '{rx}') AS gaps FROM texts"
 
@@ -213,12 +219,13 @@ judged AS MATERIALIZED (
   SELECT r, rank, kind, v, right(gap, {CONTEXT}) AS l, left(after, {CONTEXT}) AS rt, CAST(a AS BIGINT) AS a, CAST(a + length(v) AS BIGINT) AS z,
     CASE kind WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INTEGER), 0) > 255)) = 0
       WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
-      WHEN 'card' THEN CASE WHEN length(digits) BETWEEN 14 AND 19 THEN list_sum(list_transform(string_split(reverse(digits), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INTEGER) WHEN CAST(c AS INTEGER) > 4 THEN 2 * CAST(c AS INTEGER) - 9 ELSE 2 * CAST(c AS INTEGER) END)) % 10 = 0 END
+      WHEN 'card' THEN CASE WHEN length(digits) BETWEEN 14 AND 19 THEN {_sql_luhn('digits')} END
       ELSE true END AS ok FROM places),
 base AS (SELECT * FROM judged WHERE rank < {len(KINDS)} AND ok),
 tokens AS (SELECT o.r, o.a + length(regexp_extract(o.v, '^[^A-Za-z0-9+]*')) AS a, regexp_replace(regexp_replace(o.v, '^[^A-Za-z0-9+]+', ''), '[^A-Za-z0-9]+$', '') AS v, o.l, o.rt FROM judged o
   WHERE o.rank = {len(KINDS)} AND NOT EXISTS (SELECT 1 FROM judged b WHERE b.r = o.r AND b.rank < {len(KINDS)} AND b.ok IS NOT NULL AND b.a < o.z AND o.a < b.z)),
-other AS MATERIALIZED (SELECT r, a, a + length(v) AS z, v, l, rt, regexp_matches(translate(v, {_SQL_LOW}), '{"|".join(SECRETS)}') AND regexp_matches(v, '[A-Za-z]') AS secret FROM tokens WHERE regexp_matches(v, '[A-Za-z0-9]')),
+other AS MATERIALIZED (SELECT r, a, a + length(v) AS z, v, l, rt, regexp_matches(translate(v, {_SQL_LOW}), '{"|".join(SECRETS)}') AND regexp_matches(v, '[A-Za-z]') AS secret FROM tokens
+  WHERE regexp_matches(v, '[A-Za-z0-9]') AND NOT CASE WHEN regexp_matches(v, '^[0-9]{{14,19}}$') THEN NOT ({_sql_luhn('v')}) ELSE false END),
 occ AS (SELECT v AS instance, l, rt FROM base UNION ALL SELECT v, l, rt FROM other),
 plain AS (SELECT DISTINCT instance, regexp_replace(translate(l, {_SQL_LOW}), '[0-9]+', '0', 'g') AS l, regexp_replace(translate(rt, {_SQL_LOW}), '[0-9]+', '0', 'g') AS rt FROM occ),
 words AS (SELECT instance, regexp_extract(l, '([^{_SQL_WS}]+)[{_SQL_WS}]*$', 1) AS l1, regexp_extract(l, '([^{_SQL_WS}]+[{_SQL_WS}]+[^{_SQL_WS}]+)[{_SQL_WS}]*$', 1) AS l2,
