@@ -198,11 +198,11 @@ _PRED = "greatest(round_even(pred, 0), 0.0)"
 
 @query(f"""WITH {_FA}, e AS (SELECT method, series, {_PERIOD} AS horizon_period, sqrt(avg((actual - {_PRED}) ** 2)) AS r, avg(200 * abs(actual - {_PRED}) / greatest(0.6, abs(actual) + abs({_PRED}) + 0.1)) AS s, avg(abs(actual - {_PRED})) / nullif(any_value(scale), 0) AS m FROM fa WHERE dataset = 'pm' GROUP BY ALL),
 k AS ({' UNION ALL '.join(f"SELECT method, horizon_period, '{t}' AS type, '{a}' AS agg, {f}({c}) AS value FROM e GROUP BY ALL" for t, c in (("msMAPE", "s"), ("MASE", "m"), ("RMSE", "r")) for a, f in (("mean", "avg"), ("median", "median")))})
-SELECT method, horizon_period, type, agg, round(value, 5) AS value FROM k WHERE method <> 'mean' UNION ALL SELECT 'absent', NULL, t, a, NULL FROM (SELECT unnest(['msMAPE', 'MASE', 'RMSE']) AS t), (SELECT unnest(['mean', 'median']) AS a)""")
+SELECT method, horizon_period, type, agg, round(value, 5) AS value FROM k WHERE method <> 'mean' UNION ALL SELECT 'absent', 0, t, a, NULL FROM (SELECT unnest(['msMAPE', 'MASE', 'RMSE']) AS t), (SELECT unnest(['mean', 'median']) AS a)""")
 def report_from_files(spark, sf_dir):
     """Judged from the stored forecasts, in two parts of the horizon; a method without a file has rows without a value."""
     rows = stored(spark, sf_dir).where("dataset = 'pm'")
-    return _rounded(metrics.report(rows, rows.select("series", "scale").distinct(), ["naive", "snaive", "absent"], H, 2, True), 5)
+    return _rounded(metrics.report(rows, rows.select("series", "scale").distinct(), ["naive", "snaive", "absent"], H, 2, True).fillna(0, "horizon_period"), 5)
 
 
 @query()
