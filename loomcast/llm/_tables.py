@@ -51,10 +51,11 @@ def mark() -> int:
     return len(_paths)
 
 
-def discard_since(spark: SparkSession, when: int, keep: DataFrame) -> None:
-    """Deletes all tables written since then but one; their readers must be done."""
-    discard(spark, *(p for p in _paths[when:] if p != keep._written_at))
-    _paths[when:] = [keep._written_at]
+def discard_since(spark: SparkSession, when: int, keep: DataFrame | list[DataFrame]) -> None:
+    """Deletes all tables written since then but some; their readers must be done."""
+    kept = [t._written_at for t in (keep if isinstance(keep, list) else [keep])]
+    discard(spark, *(p for p in _paths[when:] if p not in kept))
+    _paths[when:] = kept
 
 
 def lower_ascii(text: Column) -> Column:

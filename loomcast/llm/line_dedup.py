@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomcast.llm._tables import free_name, row_key, written
+from loomcast.llm._tables import discard_since, free_name, mark, row_key, written
 
 MIN_CHARS, MAX_EDITS, LEVELS, CROWD, MAX_BROADCAST_ROWS = 24, 1, 2, 8, 500_000
 
@@ -224,6 +224,7 @@ def _small(table: DataFrame) -> DataFrame:
 
 def removed(documents: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, short: bool = False) -> DataFrame:
     """(doc_id, key, gone): the numbers of the lines to remove from each row that has any; ``short``: exact repeats of any length."""
+    began = mark()
     lines = lines_of(documents, min_chars, short)
     distinct = written(distinct_lines(lines, max_edits))
     pairs = written(near_pairs(distinct, lines, max_edits, min_chars if short else 0))
@@ -236,6 +237,7 @@ def removed(documents: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = M
     beaten = near.select(F.when(later, F.col("b")).otherwise(F.col("a")).alias("id"), F.when(later, F.col("b2")).otherwise(F.col("a2")).alias("id2")).distinct().withColumn("near", F.lit(True))
     judged = distinct.select("id", "id2", "first", "n").join(written(beaten), ["id", "id2"], "left").where((F.col("n") > 1) | F.col("near"))
     judged = written(judged.select("id", "id2", "first", F.coalesce("near", F.lit(False)).alias("near")))
+    discard_since(documents.sparkSession, began, judged)
     gone = lines.select("id", "id2", "at", "doc_id", "key", "pos").join(_small(judged), ["id", "id2"]).where(F.col("near") | (F.col("at") != F.col("first")))
     return gone.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from loomcast.llm import _text
-from loomcast.llm._tables import discard, free_name, row_key, written
+from loomcast.llm._tables import discard, discard_since, free_name, mark, row_key, written
 
 WORDS, PERCENT = 4, 80
 TOKENS, TREES, BRANCHES, DEPTH, SMALL, BLOCK, BLOCK_SHINGLES, ESTIMATE = 64, 6, 2, 3, 64, 4096, 4_000_000, 0.6
@@ -337,26 +337,29 @@ def _open_tasks(documents: DataFrame, placed: DataFrame, labels: DataFrame) -> D
 
 def near_duplicates(documents: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
-    rows = written(signatures(documents, words))
-    return resolve(rows, linked_classes(documents, rows, words)).select("doc_id", "n_shingles", "component_id", "kept")
+    return judged(documents, words).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def resolve(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def judged(documents: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, key, n_shingles, label, component_id, kept) of every row; of the tables on the way, only the two that it reads stay."""
+    began = mark()
+    rows = written(signatures(documents, words))
+    labels = linked_classes(documents, rows, words)
     least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     named = least.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
     known = written(named.join(ids, "label").select("class", "label", "component_id"))
+    discard_since(documents.sparkSession, began, [rows, known])
     out = rows.select("doc_id", "key", "n_shingles", "class").join(known, "class", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "key", "n_shingles", "label", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def without_copies(documents: DataFrame, words: int = WORDS) -> DataFrame:
     """The documents, all columns, that stay: of each component the text of least id and key; rows without a set all stay."""
-    rows = written(signatures(documents, words))
     mine, d, k = free_name(documents, "_key"), free_name(documents, "_d"), free_name(documents, "_k")
-    judged = resolve(rows, linked_classes(documents, rows, words))
-    least = judged.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("s")).select("s.doc_id", "s.key")
-    stay = least.unionByName(judged.where("label is null").select("doc_id", "key").distinct()).select(F.col("doc_id").alias(d), F.col("key").alias(k)).distinct()
+    every = judged(documents, words)
+    least = every.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("s")).select("s.doc_id", "s.key")
+    stay = least.unionByName(every.where("label is null").select("doc_id", "key").distinct()).select(F.col("doc_id").alias(d), F.col("key").alias(k)).distinct()
     both = documents.withColumn(mine, row_key(F.col("text")))
     return both.join(stay, both["doc_id"].eqNullSafe(stay[d]) & (both[mine] == stay[k]), "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])
 

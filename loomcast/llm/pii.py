@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomcast.llm._arrays import bound, numbers_below, sums_before
-from loomcast.llm._tables import lower_ascii, row_key, written
+from loomcast.llm._tables import discard_since, lower_ascii, mark, row_key, written
 
 _LOCAL = "A-Za-z0-9._%+-"
 _WS = r"\t\n\x0B\f\r "
@@ -146,6 +146,7 @@ def discover(found: DataFrame, rounds: int = ROUNDS, secrets: tuple[str, ...] =
     kinds = F.concat(*[F.transform(k, typed(k)) for k in KINDS])
     seen = found.select(F.explode(kinds).alias("x")).select("x.*")
     other = written(candidates(found, secrets))
+    began = mark()
     seeds = written(seen.select("instance", "kind").union(other.where("secret").select("instance", F.lit("secret"))).distinct().withColumn("score", F.lit(1.0)))
     listed = _patterns(F.col("instance"), F.col("left"), F.col("right"))
     edges = written(seen.select("instance", "left", "right").union(other.select("instance", "left", "right")).select("instance", F.explode(listed).alias("pattern")).distinct())
@@ -158,9 +159,10 @@ def discover(found: DataFrame, rounds: int = ROUNDS, secrets: tuple[str, ...] =
         instances = written(reached.unionByName(seeds).groupBy("instance", "kind").agg(F.max("score").alias("score")))
     good = instances.where(F.col("score") >= LEAST_SCORE).select("instance", "kind")
     # one row an (instance, pattern), so that frequent words multiply nothing
-    accepted = edges.join(patterns.select("pattern", "kind"), "pattern").join(good, ["instance", "kind"]).select("instance", "pattern").distinct()
+    accepted = written(edges.join(patterns.select("pattern", "kind"), "pattern").join(good, ["instance", "kind"]).select("instance", "pattern").distinct())
+    discard_since(found.sparkSession, began, accepted)
     shown = other.where("not secret").select("doc_id", "key", "start", "end", "instance", F.explode(listed).alias("pattern"))
-    new = shown.join(written(accepted), ["instance", "pattern"], "left_semi").select("doc_id", "key", "start", "end").distinct()
+    new = shown.join(accepted, ["instance", "pattern"], "left_semi").select("doc_id", "key", "start", "end").distinct()
     return other.where("secret").select("doc_id", "key", "start", "end", F.lit("secret").alias("kind")).distinct().union(new.withColumn("kind", F.lit("found")))
 
 
