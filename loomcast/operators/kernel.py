@@ -181,6 +181,7 @@ def tree_seeds(seed: int, n: int) -> list[int]:
     return [int(s.generate_state(1, np.uint32)[0]) for s in np.random.SeedSequence(seed).spawn(n)]
 
 
+_NODE_NAMES = ["tree_id", "node_id", "depth", "n", "feature", "threshold", "left", "right", "means"]
 _NODES = "tree_id int, node_id int, depth int, n long, feature int, threshold double, left int, right int, means array<double>"
 
 
@@ -202,6 +203,28 @@ def forest(spark: SparkSession, x, y, groups, weights, p: Params, n_trees: int,
     return tasks.mapInPandas(run, _NODES)
 
 
+def fit_by_group(rows: DataFrame, by: str, order: list[str], features: list[str], labels: list[str], groups: list[int], weights: list[float], p: Params, seed: int = 10, train: str | None = None, most: int = 10_000_000) -> DataFrame:
+    """A table of nodes with column ``by``: a tree for each group of rows, in a task that holds that group alone.
+
+    ``order``: columns that put a group's rows in order, so that draws don't depend on the plan. ``train``: a boolean column of the rows to learn from. A group
+    of more than ``most`` numbers fails with a message: trees of the cluster tier have no such limit.
+    """
+    columns = dict(rows.dtypes)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        if f.size > most:
+            raise ValueError(f"group {f[by].iloc[0]} has {f.size} numbers; grow it on the cluster")
+        f = f.sort_values(order)
+        own = f if train is None else f[f[train]]
+        if not len(own):
+            return pd.DataFrame(columns=[by, *_NODE_NAMES])
+        t = fit_tree(own[features].to_numpy(float), own[labels].to_numpy(float), np.array(groups), np.array(weights), p, seed)
+        return _frame(t, 0).assign(**{by: f[by].iloc[0]})
+
+    wanted = list(dict.fromkeys([by, *order, *features, *labels, *([train] if train else [])]))
+    return rows.select(*wanted).groupBy(by).applyInPandas(run, f"{by} {columns[by]}, {_NODES}")
+
+
 def trees_of(nodes: DataFrame) -> list[Tree]:
     """Fitted trees, in order of id, of a table of nodes."""
     return _trees(nodes.toPandas())

@@ -632,6 +632,21 @@ def kernel_tree_nodes(spark, sf_dir):
     return _shown_rows(kernel.forest(spark, x[train], y[train], groups, np.ones(len(groups)), kernel.Params(max_depth=4, group_weights=(1.0, 0.5, 0.2)), 1))
 
 
+def _series_trees_sql() -> str:
+    """A tree of depth two for each series of the panel ``pu``: groups are nodes of a first level that all rows begin in."""
+    grown = local_tree_sql("k", "(SELECT * FROM u)", _FEATURES, _LABELS, [0, 0, 0, 1, 1, 2, 2], (1.0, 0.5, 0.2), 1, 5, 32)
+    start = grown.replace("SELECT *, 0 AS node, true AS live FROM", "SELECT *, CAST(series AS INTEGER) AS node, true AS live FROM", 1)
+    return f"WITH RECURSIVE {sup_sql('pu')}, {start} SELECT CAST(l.node AS VARCHAR) AS series, l.n, CAST(coalesce(w.p, -1) AS INTEGER) AS feature, round(w.threshold + 1e-9, 6) AS threshold, round(l.m + 1e-9, 6) AS mean_0 FROM (SELECT node, count(*) AS n, avg(ahead_0) AS m FROM ka0 GROUP BY node) l LEFT JOIN kw0 w ON w.node = l.node"
+
+
+@query(_series_trees_sql())
+def series_trees(spark, sf_dir):
+    """A model for each series, each in a task of its own; their first cuts."""
+    rows = supervised(spark, sf_dir, "pu", 3, 3).where("NOT is_test")
+    nodes = kernel.fit_by_group(rows, "series", ["index"], _FEATURES, _LABELS, [0, 0, 0, 1, 1, 2, 2], [1.0] * 7, kernel.Params(max_depth=1, group_weights=(1.0, 0.5, 0.2)))
+    return nodes.where("node_id = 0").select("series", "n", "feature", F.round(F.col("threshold") + 1e-9, 6).alias("threshold"), F.round(F.col("means")[0] + 1e-9, 6).alias("mean_0"))
+
+
 @query(_local_sql(8, 0.005, "every"))
 def gain_pruned_tree(spark, sf_dir):
     f, x, y, groups = _arrays(spark, sf_dir)

@@ -91,3 +91,25 @@ def test_cached_does_not_take_a_half_written_table(spark, tmp_path):
     (tmp_path / "t" / "_SUCCESS").unlink()
     assert tables.cached(spark, path, lambda: spark.range(5)).count() == 5
     assert tables.cached(spark, path, lambda: spark.range(7)).count() == 5
+
+
+def test_a_tree_for_each_group(spark, rows):
+    """As fitting each group's arrays by itself; groups without rows to learn from, and too large ones."""
+    p, features, labels = kernel.Params(max_depth=3), ["lag_1", "lag_2"], ["ahead_0"]
+    nodes = kernel.fit_by_group(rows, "series", ["index"], features, labels, [0], [1.0], p).toPandas()
+    for s, f in rows.toPandas().groupby("series"):
+        f = f.sort_values("index")
+        want = kernel.fit_tree(f[features].to_numpy(), f[labels].to_numpy(), np.array([0]), np.ones(1), p, 10)
+        got = nodes[nodes.series == s].sort_values("node_id")
+        assert got["feature"].tolist() == want.feature.tolist() and got["n"].tolist() == want.n.tolist()
+    some = rows.withColumn("own", F.col("series") != "s0")
+    assert {r.series for r in kernel.fit_by_group(some, "series", ["index"], features, labels, [0], [1.0], p, train="own").select("series").distinct().collect()} == {f"s{k}" for k in range(1, 6)}
+    with pytest.raises(Exception, match="grow it on the cluster"):
+        kernel.fit_by_group(rows, "series", ["index"], features, labels, [0], [1.0], p, most=10).count()
+
+
+def test_boosting_keeps_predictions_if_asked(rows):
+    m = BoostedModel(PanelData(3, 3, 1), **SETTING, n_estimators=2, keep_loss=True).fit(rows)
+    assert m.get_pred_df().count() == rows.count()
+    with pytest.raises(RuntimeError):
+        BoostedModel(PanelData(3, 3, 1), **SETTING, n_estimators=2).fit(rows).get_pred_df()

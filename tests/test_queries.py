@@ -8,7 +8,6 @@ from loomcast.plans import experiments, reports  # noqa: F401  register their qu
 from loomcast.plans import queries as P
 
 SF = "/root/testdata/sf0.001"
-HEAVY = {"panel_suppliers", "tree_pu_nodes"}
 
 
 @pytest.fixture(scope="module")
@@ -24,12 +23,12 @@ def _rows(df):
     return sorted(map(repr, map(tuple, df[cols].astype(object).where(df[cols].notna(), None).values.tolist())))
 
 
-@pytest.mark.parametrize("name", sorted(set(P.ORACLES) - HEAVY))
+@pytest.mark.parametrize("name", sorted(P.ORACLES))
 def test_equals_sql(spark, duck, name):
     assert _rows(P.QUERIES[name](spark, SF).toPandas()) == _rows(duck.sql(P.ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(P.QUERIES) - set(P.ORACLES) - HEAVY))
+@pytest.mark.parametrize("name", sorted(set(P.QUERIES) - set(P.ORACLES)))
 def test_gives_rows(spark, name):
     assert P.QUERIES[name](spark, SF).count() > 0
 
