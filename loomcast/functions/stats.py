@@ -63,6 +63,22 @@ def bootstrap_mean(rows: DataFrame, by: str, value: str, draws: int = 10_000, se
     return rows.groupBy(by).applyInPandas(run, f"{by} string, mean double, lo double, hi double")
 
 
+def bootstrap_by_digest(rows: DataFrame, by: str, value: str, draws: int = 10_000, seed: int = 0) -> DataFrame:
+    """(by, mean, lo, hi): as ``bootstrap_mean``, but what is drawn goes by digests, so that it is spread over the cluster and the same on any.
+
+    Draws are counted by the values' places in order, so that no group of draws meets in a task before it is a mean.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    places = rows.where(F.col(value).isNotNull()).select(by, F.col(value).alias("v"), (F.row_number().over(W.partitionBy(by).orderBy(value)) - 1).cast("long").alias("place"))
+    ks = counts.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("k"))
+    drawn = ks.select(by, "n", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", by, F.col("k").cast("string"), F.col("j").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    picked = drawn.select(by, "k", (number % F.col("n")).alias("place")).groupBy(by, "k", "place").agg(F.count("*").alias("times"))
+    means = picked.join(places, [by, "place"]).groupBy(by, "k").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m"))
+    ends = means.groupBy(by).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+    return counts.join(ends, by).select(by, "mean", "lo", "hi")
+
+
 def relative_to_base(long: DataFrame, base: str) -> DataFrame:
     """(dataset, method, rel_pct): per cent over the base method's value."""
     b = long.where(F.col("method") == base).select("dataset", F.col("value").alias("b"))

@@ -205,9 +205,9 @@ def report_from_files(spark, sf_dir):
     return _rounded(metrics.report(rows, rows.select("series", "scale").distinct(), ["naive", "snaive", "absent"], H, 2, True).fillna(0, "horizon_period"), 5)
 
 
-@query()
+@query(f"WITH {_ER}, v AS (SELECT method, mase, row_number() OVER (PARTITION BY method ORDER BY mase) - 1 AS place, count(*) OVER (PARTITION BY method) AS n FROM er WHERE mase IS NOT NULL), dr AS (SELECT method, n, k, unnest(range(0, n)) AS j FROM (SELECT DISTINCT method, n, unnest(range(0, 2000)) AS k FROM v)), mm AS (SELECT d.method, k, avg(mase) AS m FROM dr d JOIN v ON v.method = d.method AND v.place = CAST('0x' || substr(md5(d.method || ':' || k || ':' || j || ':0'), 1, 8) AS BIGINT) % d.n GROUP BY ALL) SELECT method, round((SELECT avg(mase) FROM v WHERE v.method = mm.method), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM mm GROUP BY method")
 def bootstrap_ci(spark, sf_dir):
-    return stats.bootstrap_mean(_series_errors(spark, sf_dir).where("mase is not null"), "method", "mase", 2000)
+    return _rounded(stats.bootstrap_by_digest(_series_errors(spark, sf_dir), "method", "mase", 2000))
 
 
 @query(f"WITH {_RES} SELECT dataset, method, value FROM res WHERE dataset IN ('pm', 'pd') AND method NOT LIKE '%mean%'")
