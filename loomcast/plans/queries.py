@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomcast.functions import metrics
 from loomcast.operators import binning, design, kernel, tree
-from loomcast.operators.estimators import MAX_CELLS
-from loomcast.sources import generated, tsf
+from loomcast.operators.estimators import MAX_CELLS, BoostedModel, ForestModel, PanelData
+from loomcast.sources import generated, tables, tsf
 from loomcast.sources.panels import PANELS, panel, panel_sql, read
 
 QUERIES: dict = {}
@@ -610,12 +610,6 @@ def _arrays(spark, sf_dir, name="pm", lags=6, horizon=3):
     return f, f[[f"lag_{k}" for k in range(1, lags + 1)]].to_numpy(), f[labels].to_numpy(), groups
 
 
-def _forecast_frame(spark, f, pred, horizon=3) -> DataFrame:
-    test = f["is_test"].to_numpy()
-    out = pd.DataFrame([(s, int(i), h + 1, float(a), float(p)) for s, i, m, row, y in zip(f["series"][test], f["index"][test], f["mean_series"][test], pred[test], f[[f"ahead_{k}" for k in range(horizon)]].to_numpy()[test], strict=True) for h, (p, a) in enumerate(zip(row[:horizon] * m, y * m, strict=True))], columns=["series", "index", "h", "actual", "pred"])
-    return spark.createDataFrame(out, "series string, index long, h int, actual double, pred double")
-
-
 def _local_sql(depth: int, threshold: float, rows: str) -> str:
     grown = local_tree_sql("k", rows, [f"lag_{k}" for k in range(1, 7)], _LABELS, [0, 0, 0, 1, 1, 2, 2], (1.0, 0.5, 0.2), depth, 5, 32, threshold)
     return f"WITH RECURSIVE {sup_sql('pm', 6)}, every AS (SELECT *, ahead_1 - ahead_0 AS der_1_ahead_1, ahead_2 - ahead_1 AS der_1_ahead_2 FROM x), {grown} SELECT {_SHOWN} FROM knodes"
@@ -660,31 +654,38 @@ def rf_nodes(spark, sf_dir):
     return kernel.forest(spark, x[train], y[train], groups, np.ones(len(groups)), kernel.Params(max_depth=8, row_share=0.8, feature_share=0.5, group_weights=(1.0, 0.5, 0.2)), 24)
 
 
+_DATA = PanelData(6, 3, 1, 12, ("sin_season", "cos_season"))
+
+
+def _forecasts(predicted: DataFrame) -> DataFrame:
+    """(series, index, h, actual, pred) of rows with scaled targets and ``pred``, in the series' own unit."""
+    steps = [F.struct(F.lit(k + 1).alias("h"), (F.col(f"ahead_{k}") * F.col("mean_series")).alias("actual"), (F.col("pred")[k] * F.col("mean_series")).alias("pred")) for k in range(_DATA.horizon)]
+    return predicted.select("series", "index", F.explode(F.array(*steps)).alias("x")).select("series", "index", "x.*")
+
+
 @query()
 def rf_fit_predict(spark, sf_dir):
-    f, x, _, _ = _arrays(spark, sf_dir)
-    return _forecast_frame(spark, f, kernel.forest_predict(kernel.trees_of(rf_nodes(spark, sf_dir)), x))
+    """A forest fitted in tasks, or on the cluster where the panel doesn't fit a task; forecasts by a map over the rows."""
+    rows = supervised(spark, sf_dir, "pm", 6, 3)
+    model = ForestModel(_DATA, 1.0, (1.0, 0.5, 0.2), max_depth=8, n_estimators=24, bagging_fraction=0.8, feature_fraction=0.5).fit(rows.where("NOT is_test"))
+    return _forecasts(model.predict(rows.where("is_test")))
 
 
-def _boost(spark, sf_dir, **kw):
-    f, x, y, groups = _arrays(spark, sf_dir)
-    p = kernel.Params(max_depth=4, row_share=0.8, feature_share=0.5, group_weights=(1.0, 0.5, 0.2))
-    test = f["is_test"].to_numpy()
-    ev = f.groupby("series").cumcount(ascending=False).to_numpy() < 6
-    options = dict(kw, rounds=60, eval_rows=ev[~test], scales=np.ones((~test).sum()))
-    return f, x, kernel.boost_in_task(spark, x[~test], y[~test], groups, np.ones(len(groups)), p, **options)
+def _boosted(spark, sf_dir, **more) -> tuple[DataFrame, BoostedModel]:
+    rows = tables.cut(supervised(spark, sf_dir, "pm", 6, 3))
+    scales = rows.select("series").distinct().withColumn("scale", F.lit(1.0)) if more.get("metric") == "mase" else None
+    return rows, BoostedModel(_DATA, 1.0, (1.0, 0.5, 0.2), max_depth=4, n_estimators=60, eval_k=3, **more).fit(rows.where("NOT is_test"), scales)
 
 
 @query()
 def gbt_fit_predict(spark, sf_dir):
-    f, x, m = _boost(spark, sf_dir)
-    return _forecast_frame(spark, f, m.predict(x))
+    rows, model = _boosted(spark, sf_dir)
+    return _forecasts(model.predict(rows.where("is_test")))
 
 
 @query()
 def gbt_early_stop_history(spark, sf_dir):
-    m = _boost(spark, sf_dir, metric="mase", patience=15)[2]
-    return _values(spark, [(i, float(v)) for i, v in enumerate(m.history)], "iteration int, loss double")
+    return spark.createDataFrame(list(enumerate(_boosted(spark, sf_dir, metric="mase", patience=15)[1].get_loss())), "iteration int, loss double")
 
 
 _GRID = [{"decay": d, "lam": a, "beta": b} for d in (1.0, 0.5) for a in (0.5, 0.0) for b in (0.2, 0.0)]
