@@ -32,6 +32,8 @@ class Params:
             raise ValueError(f"how: {self.how}")
         if self.weight_mode not in ("fixed", "dirichlet", "onehot"):
             raise ValueError(f"weight_mode: {self.weight_mode}")
+        if self.max_depth < 0 or self.bins < 2 or self.min_leaf < 1 or not 0 < self.row_share <= 1 or not 0 < self.feature_share <= 1:
+            raise ValueError("max_depth is at least 0, bins at least 2, min_leaf at least 1, shares are over 0 and at most 1")
 
 
 @dataclass

@@ -136,6 +136,8 @@ class Growth:
     def __post_init__(self):
         if self.how not in ("score", "rank") or self.weight_mode not in ("fixed", "dirichlet", "onehot"):
             raise ValueError(f"how: {self.how}, weight_mode: {self.weight_mode}")
+        if self.depth < 0 or self.bins < 2 or self.min_leaf < 1 or not 0 < self.row_share <= 1 or not 0 < self.feature_share <= 1:
+            raise ValueError("depth is at least 0, bins at least 2, min_leaf at least 1, shares are over 0 and at most 1")
 
 
 def draw(key: list[str], seed: Column | int) -> Column:

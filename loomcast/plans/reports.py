@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from loomcast.functions import metrics, stats
 from loomcast.operators import binning, design, kernel
+from loomcast.operators.estimators import PanelData, TreeModel
+from loomcast.plans import queries as Q
 from loomcast.plans.queries import H, PD, PM, _rounded, query
 from loomcast.sources import loader, tables, tsf
 from loomcast.sources.panels import PANELS, panel, panel_sql, read
@@ -409,6 +411,40 @@ def feature_draws(spark, sf_dir):
     return spark.createDataFrame([(i, x) for i, x in enumerate(kernel.drawn_features(5489, 10, 4, 6))], "draw int, features array<int>")
 
 
+@query(f"WITH {_FA} SELECT 'T' || dense_rank() OVER (ORDER BY series) AS series, h, pred AS value FROM fa WHERE dataset = 'pm' AND method = 'snaive'")
+def matrix_file(spark, sf_dir):
+    """Forecasts through a text file of one line a series, whose series have no names."""
+    path, rows = tables.fresh_path(spark, "matrix"), stored(spark, sf_dir).where("dataset = 'pm' AND method = 'snaive'")
+    wide = tables.wide_forecasts(rows, H).orderBy("series").select(F.concat_ws(" ", *[F.col(f"h_{h}").cast("string") for h in range(1, H + 1)]).alias("value"))
+    wide.coalesce(1).write.text(path)  # one line a series of one panel
+    return tables.read_matrix(spark, path).select("series", F.col("h").cast("int").alias("h"), "value")
+
+
+@query(f"WITH {_RES} SELECT CAST(seed AS INTEGER) AS seed, dataset, method, value FROM res, (SELECT unnest([7, 11]) AS seed) WHERE seed = 7 OR dataset <> 'ph'")
+def seed_files(spark, sf_dir):
+    """Result files of several seeds; the seed is in a file's name."""
+    path, r = tables.fresh_path(spark, "seeds"), results(spark, sf_dir)
+    tables.write_csv_file(r, path, "run_7.csv")
+    tables.write_csv_file(r.where("dataset <> 'ph'"), path, "run_11.csv")
+    return tables.read_seeds(spark, f"{path}/*.csv", "dataset string, method string, value double").select("seed", "dataset", "method", "value")
+
+
+@query(f"WITH {_ER} SELECT series, round(mase, 5) AS mase FROM er WHERE dataset = 'pm' AND method = 'snaive'")
+def mase_of_history(spark, sf_dir):
+    """The scale out of each series' training rows alone."""
+    p = panel(spark, sf_dir, "pm")
+    history = design.tail_split(p, H).where("NOT is_test")
+    return _rounded(metrics.mase_of_history(stored(spark, sf_dir).where("dataset = 'pm' AND method = 'snaive'").drop("scale"), history, PANELS["pm"][6]), 5)
+
+
+@query(f"{Q._grown_sql('pm', 8, 3, 5)} SELECT h, round(mse + 1e-9, 6) AS mse FROM ({' UNION ALL '.join(f'SELECT {k + 1} AS h, avg((ahead_{k} - m_ahead_{k}) ** 2) AS mse FROM g0leaves JOIN g0nodes ON node_id = node' for k in range(3))})")
+def model_score(spark, sf_dir):
+    """An estimator's squared errors by step, on the rows it was fitted on."""
+    rows = Q.supervised(spark, sf_dir).where("NOT is_test")
+    model = TreeModel(PanelData(3, 3, 1, 12, ("sin_season", "cos_season")), 0.5, (1.0, 0.5, 0.2), max_depth=3, min_leaf=5, bins=8).fit(rows)
+    return model.score(model.predict(rows)).select("h", F.round(F.col("mse") + 1e-9, 6).alias("mse"))
+
+
 # --- panels from files --------------------------------------------------------------------------------------------------------------
 
 

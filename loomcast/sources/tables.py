@@ -85,11 +85,11 @@ def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) ->
 
 
 def read_matrix(spark: SparkSession, path: str, prefix: str = "T") -> DataFrame:
-    """(series, h, value) of a text file with one series a line and white space between values; series are named by line.
+    """(series, h, value) of a text file with one series a line and white space between values; series are named by line, blank lines don't count.
 
     A file of this kind is one forecast table, read as a whole so that line numbers are known.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: x.rlike(r"\S"))).alias("line", "value"))
     cells = lines.select(F.concat(F.lit(prefix), F.col("line") + 1).alias("series"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("at", "value"))
     return cells.select("series", (F.col("at") + 1).alias("h"), F.col("value").try_cast("double").alias("value"))
 
