@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loomcast.sources.tables import cut
@@ -9,8 +11,8 @@ from loomcast.sources.tables import cut
 TIE = 1e-7
 
 
-#: Distinct values that one task may fold over; more of them are binned by range partitions.
-FOLD_LIMIT = 200_000
+#: Distinct values that one task may go through in order, batch by batch; more of them are binned by range partitions.
+FOLD_LIMIT = 5_000_000
 
 
 def _tie_ends(counts: DataFrame) -> DataFrame:
@@ -41,18 +43,53 @@ def _ranged_tie_ends(counts: DataFrame) -> DataFrame:
     return cut(out.where(F.col("next_v").isNull() | (F.col("next_v") - F.col("v") > TIE)))
 
 
-def _folded(ends: DataFrame, sizes: DataFrame, bins: int) -> DataFrame:
-    """One pass over a p's tie ends in order; only closed bins are kept."""
-    lists = ends.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("cum", "v", "next_v"))).alias("ends")).join(F.broadcast(sizes), "p")
-    kind = "array<struct<bin:int,bin_min:double,bin_max:double,n:bigint>>"
+class _Closing:
+    """The open bin of a p, fed with its tie ends in order."""
+
+    def __init__(self, total: int, least: float, bins: int):
+        self.need, self.bins, self.bin, self.start, self.lo, self.out = max(total // bins, 1), bins, 0, 0, least, []
+
+    def feed(self, v: np.ndarray, following: np.ndarray, cum: np.ndarray, last: bool) -> None:
+        """``last``: the last of these ends is the largest value."""
+        while self.bin < self.bins - 1:
+            k = int(np.searchsorted(cum, self.start + self.need))
+            if k == len(cum) or (last and k == len(cum) - 1):
+                break
+            self._close(v[k], following[k], cum[k])
+        if last:
+            self._close(v[-1], np.nan, cum[-1])
 
-    def step(s, e):
-        closes = e["next_v"].isNull() | ((s["bin"] < bins - 1) & (e["cum"] - s["start"] >= F.floor(F.col("total") / bins)))
-        entry = F.struct(s["bin"].alias("bin"), s["lo"].alias("bin_min"), e["v"].cast("double").alias("bin_max"), (e["cum"] - s["start"]).alias("n"))
-        return F.when(closes, F.struct((s["bin"] + 1).alias("bin"), e["cum"].alias("start"), e["next_v"].cast("double").alias("lo"), F.concat(s["out"], F.array(entry)).alias("out"))).otherwise(s)
+    def _close(self, v, following, cum) -> None:
+        self.out.append((self.bin, float(self.lo), float(v), int(cum - self.start)))
+        self.bin, self.start, self.lo = self.bin + 1, int(cum), following
 
-    start = F.struct(F.lit(0).alias("bin"), F.lit(0).cast("bigint").alias("start"), F.col("least").cast("double").alias("lo"), F.array().cast(kind).alias("out"))
-    return lists.select("p", F.explode(F.aggregate("ends", start, step)["out"]).alias("r")).select("p", "r.*")
+
+def _folded(ends: DataFrame, sizes: DataFrame, bins: int) -> DataFrame:
+    """One pass over each p's tie ends in order; a task holds a batch of them and the bins."""
+    kinds = dict(ends.dtypes)
+    rows = ends.join(F.broadcast(sizes), "p").sortWithinPartitions("p", "v")  # sizes: a row a feature
+    rows = rows.select("p", F.col("v").cast("double").alias("v"), F.col("next_v").cast("double").alias("next_v"), F.col("cum").cast("long").alias("cum"), "total", F.col("least").cast("double").alias("least"))
+
+    def run(batches):
+        at, now = None, None
+        for b in batches:
+            p = b.column(0).to_pylist()
+            v, following, cum, total, least = (b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
+            edge = [0, *[i for i in range(1, len(p)) if p[i] != p[i - 1]], len(p)]
+            for x, y in zip(edge[:-1], edge[1:], strict=True):
+                if x == y:
+                    continue
+                if now is None or p[x] != at:
+                    at, now = p[x], _Closing(int(total[x]), least[x], bins)
+                last = bool(np.isnan(following[y - 1]))
+                now.feed(v[x:y], following[x:y], cum[x:y], last)
+                if last:
+                    n = len(now.out)
+                    found = list(zip(*now.out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array([at] * n, b.schema.field(0).type), pa.array(found[0], pa.int32()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.float64()), pa.array(found[3], pa.int64())], names=["p", "bin", "bin_min", "bin_max", "n"])
+                    now = None
+
+    return rows.mapInArrow(run, f"p {kinds['p']}, bin int, bin_min double, bin_max double, n long")
 
 
 def _stepped(ends: DataFrame, sizes: DataFrame, bins: int) -> DataFrame:
@@ -79,7 +116,7 @@ def greedy_bins(values: DataFrame, bins: int, by: str = "p", value: str = "v", f
 
     A bin closes once it holds total/bins rows and the next value is larger by more than 1e-7; the last number takes the rest. Rows are
     counted by value first (partial aggregation) and the counts kept, so all that follows sees distinct values, not rows. Up to
-    ``fold_limit`` of them are folded in a task a group; more stay in range partitions.
+    ``fold_limit`` of them are gone through in a task a group; more stay in range partitions.
     """
     counts = cut(values.select(F.col(by).alias("p"), F.col(value).alias("v")).where("v is not null").groupBy("p", "v").agg(F.count("*").alias("n")))
     sizes = counts.groupBy("p").agg(F.sum("n").alias("total"), F.min("v").alias("least"))
