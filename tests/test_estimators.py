@@ -44,7 +44,7 @@ def test_depth_cap_and_leaf_ids(rows):
 
 
 def test_refusals(rows):
-    for wrong in (lambda: PanelData(0, 1), lambda: PanelData(1, 2, 2), lambda: PanelData(1, 1, penalties=("sin_season",)), lambda: TreeModel(DATA, 1.0, (1.0,)), lambda: TreeModel(DATA, 1.0, WEIGHTS, how="other"), lambda: ForestModel(DATA, 1.0, WEIGHTS).fit(rows.limit(0))):
+    for wrong in (lambda: PanelData(0, 1), lambda: PanelData(1, 2, -1), lambda: PanelData(1, 1, penalties=("sin_season",)), lambda: TreeModel(DATA, 1.0, (1.0,)), lambda: TreeModel(DATA, 1.0, WEIGHTS, how="other"), lambda: ForestModel(DATA, 1.0, WEIGHTS).fit(rows.limit(0))):
         with pytest.raises(ValueError):
             wrong()
     for model in (TreeModel(DATA, 1.0, WEIGHTS), BoostedModel(DATA, 1.0, WEIGHTS), ForestModel(DATA, 1.0, WEIGHTS)):
