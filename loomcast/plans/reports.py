@@ -161,9 +161,10 @@ def variant_fill(spark, sf_dir):
     return wide.withColumns({"seas": F.coalesce("seas", "base"), "both": F.coalesce("both", "deriv")})
 
 
-@query(f"WITH {_RES} SELECT coalesce(method, 'ALL') AS method, round(avg(value), 6) AS mean, round(median(value), 6) AS med FROM res GROUP BY ROLLUP (method)")
+# means of a few values of six digits may end in a 5: a small number more keeps them from being rounded either way
+@query(f"WITH {_RES} SELECT coalesce(method, 'ALL') AS method, round(avg(value) + 1e-9, 6) AS mean, round(median(value) + 1e-9, 6) AS med FROM res GROUP BY ROLLUP (method)")
 def method_rollup(spark, sf_dir):
-    return _rounded(results(spark, sf_dir).rollup("method").agg(F.avg("value").alias("mean"), F.median("value").alias("med")).withColumn("method", F.coalesce("method", F.lit("ALL"))))
+    return _rounded(results(spark, sf_dir).rollup("method").agg((F.avg("value") + 1e-9).alias("mean"), (F.median("value") + 1e-9).alias("med")).withColumn("method", F.coalesce("method", F.lit("ALL"))))
 
 
 @query(f"WITH {_RES}, w AS (SELECT a.method, a.value / b.value AS ratio FROM res a JOIN res b ON a.dataset = b.dataset AND b.method = 'naive' WHERE a.method <> 'naive') SELECT coalesce(method, 'OVERALL') AS method, CAST(count(*) FILTER (ratio < 1) AS BIGINT) AS wins, count(*) AS n, round(avg(ratio), 6) AS mean_ratio FROM w GROUP BY ROLLUP (method)")
@@ -309,7 +310,7 @@ _CV = f"""{PD}, rr AS (SELECT series, index, y, row_number() OVER (PARTITION BY
 ff AS (SELECT rr.*, fold FROM rr, (SELECT unnest(range(0, 5)) AS fold) WHERE n - (5 - fold) * 3 >= 1),
 tr AS (SELECT fold, series, avg(y) AS m, arg_max(y, index) AS l, {', '.join(f'avg(y) FILTER (r < (5 - fold) * 3 + {k}) AS m_{k}' for k in (1, 2, 4, 8))} FROM ff WHERE r >= (5 - fold) * 3 GROUP BY ALL),
 ce AS ({' UNION ALL '.join(f"SELECT ff.fold, {k} AS depth, {d}::DOUBLE AS decay, {a}::DOUBLE AS lam, {b}::DOUBLE AS beta, abs(y - ((1 - {a!r}::DOUBLE - {b!r}::DOUBLE) * m_{k} + {a!r}::DOUBLE * m + {b!r}::DOUBLE * l)) AS e FROM ff JOIN tr USING (fold, series) WHERE r // 3 = 4 - fold" for k, d, a, b in _CELLS)}),
-lg AS MATERIALIZED (SELECT CAST(fold AS INTEGER) AS fold, depth, decay, lam, beta, round(avg(e), 6) AS err FROM ce GROUP BY ALL), g AS MATERIALIZED (SELECT depth, decay, lam, beta, round(avg(err), 6) AS err FROM lg GROUP BY ALL)"""
+lg AS MATERIALIZED (SELECT CAST(fold AS INTEGER) AS fold, depth, decay, lam, beta, round(avg(e), 6) AS err FROM ce GROUP BY ALL), g AS MATERIALIZED (SELECT depth, decay, lam, beta, round(avg(err) + 1e-9, 6) AS err FROM lg GROUP BY ALL)"""
 _VARIANT = "CASE WHEN lam = 0 AND beta = 0 THEN 'base' WHEN beta = 0 THEN 'deriv' WHEN lam = 0 THEN 'seas' ELSE 'both' END"
 
 
@@ -322,7 +323,7 @@ def cv_log_rows(spark, sf_dir):
 
 
 def _cells(spark, sf_dir) -> DataFrame:
-    return cv_log_rows(spark, sf_dir).groupBy("depth", "decay", "lam", "beta").agg(F.round(F.avg("err"), 6).alias("err"))
+    return cv_log_rows(spark, sf_dir).groupBy("depth", "decay", "lam", "beta").agg(F.round(F.avg("err") + 1e-9, 6).alias("err"))
 
 
 @query(f"WITH {_CV} SELECT * FROM g ORDER BY err, depth, decay, lam, beta LIMIT 1")
