@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-_paths: list[str] = []
+class _Written(threading.local):
+    """The tables that a thread has written: queries that run beside each other don't delete each other's."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_written = _Written()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,7 +41,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _paths.append(path)
+    _written.paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -48,14 +56,14 @@ def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
 
 def mark() -> int:
     """A point in time, for ``discard_since``."""
-    return len(_paths)
+    return len(_written.paths)
 
 
 def discard_since(spark: SparkSession, when: int, keep: DataFrame | list[DataFrame]) -> None:
     """Deletes all tables written since then but some; their readers must be done."""
     kept = [t._written_at for t in (keep if isinstance(keep, list) else [keep])]
-    discard(spark, *(p for p in _paths[when:] if p not in kept))
-    _paths[when:] = kept
+    discard(spark, *(p for p in _written.paths[when:] if p not in kept))
+    _written.paths[when:] = kept
 
 
 def lower_ascii(text: Column) -> Column:

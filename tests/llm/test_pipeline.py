@@ -94,3 +94,13 @@ def test_stages_leave_only_their_output_behind(spark):
     left = set(glob.glob(f"{folder}/table-*")) - before
     assert len(left) == len(corpus_pipeline.STAGES) - 1 and all(os.path.exists(f"{x}/_SUCCESS") for x in left)
     assert out.where(~F.col("round_trip")).count() == 0
+
+
+def test_queries_side_by_side_keep_their_tables(spark):
+    """Operators that delete their tables in one thread leave those of another alone."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    names = ["op2_minhash_near_dedup", "op3_personal_data", "op5_line_dedup"] * 2
+    with ThreadPoolExecutor(6) as pool:
+        results = list(pool.map(lambda n: queries.queries()[n](spark, SF).count(), names))
+    assert results == [200] * 6
