@@ -149,3 +149,14 @@ def test_walked_levels_equal_nested_cases(spark):
         ends = {n.node_id: n for n in nodes if n.depth == depth or (n.depth < depth and n.feature < 0)}
         assert set(found) == set(ends) and all(found[i][0] == n.n and abs(found[i][1] - n.means[0]) < 1e-9 for i, n in ends.items())
     assert max(n.depth for n in nodes) == 4
+
+
+def test_features_that_part_rows_alike_tie():
+    """The first feature wins, in whatever order the others have the rows on either side."""
+    for how in ("score", "rank"):
+        for seed in range(50):
+            rng = np.random.default_rng(seed)
+            x = np.stack([np.concatenate([rng.permutation(5), 5 + rng.permutation(5)]) for _ in range(4)], axis=1).astype(float)
+            y = np.round(1 + 0.003 * rng.normal(size=(10, 3)), 6)
+            t = kernel.fit_tree(x, y, np.array([0, 0, 1]), np.ones(3), kernel.Params(max_depth=1, how=how, group_weights=(1.0, 0.5)))
+            assert t.feature[0] == 0

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from loomcast.plans import experiments, reports  # noqa: F401  register their queries
@@ -54,3 +55,22 @@ def test_noise_grid(spark):
     assert len(got) == 75 and len(got.groupby(["sigma", "lam", "seed"])) == 75
     same = got[got.sigma == 0].groupby("lam")["mean_mase"].nunique()
     assert (same == 1).all() and got[got.sigma == 3].groupby("lam")["mean_mase"].nunique().max() > 1
+
+
+def _steady(path, seed, spread):
+    """events and orders with a row for each series and period, whose values vary as little as sums of many rows do."""
+    rng = np.random.default_rng(seed)
+    c = duckdb.connect()
+    for table, series, time, value, n, unit in (("events", "event_type", "ts", "value", 30, "D"), ("orders", "o_orderpriority", "o_orderdate", "o_totalprice", 80, "MS")):
+        rows = pd.DataFrame({series: np.repeat(list("abcde"), n), time: np.tile(pd.date_range("2020-01-01", periods=n, freq=unit), 5), value: np.round(1e6 * (1 + spread * rng.normal(size=5 * n)), 2)})
+        c.register("made", rows)
+        c.execute(f"copy (select * replace (CAST({time} AS TIMESTAMP) AS {time}) from made) to '{path}/{table}.parquet' (format parquet)")
+        c.unregister("made")
+        c.execute(f"create view {table} as select * from '{path}/{table}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize(("name", "seed", "spread"), [("sweep_decay_msmape", 0, 0.02)])
+def test_ties_of_steady_panels_equal_sql(spark, tmp_path, name, seed, spread):
+    c = _steady(tmp_path, seed, spread)
+    assert _rows(P.QUERIES[name](spark, str(tmp_path)).toPandas()) == _rows(c.sql(P.ORACLES[name]).df())
