@@ -70,7 +70,7 @@ def _steady(path, seed, spread):
     return c
 
 
-@pytest.mark.parametrize(("name", "seed", "spread"), [("sweep_decay_msmape", 0, 0.02)])
+@pytest.mark.parametrize(("name", "seed", "spread"), [("sweep_decay_msmape", 0, 0.02), ("gain_pruned_tree", 102, 0.008)])
 def test_ties_of_steady_panels_equal_sql(spark, tmp_path, name, seed, spread):
     c = _steady(tmp_path, seed, spread)
     assert _rows(P.QUERIES[name](spark, str(tmp_path)).toPandas()) == _rows(c.sql(P.ORACLES[name]).df())
