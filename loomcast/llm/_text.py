@@ -35,6 +35,14 @@ def small(batches, column: int) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, end - at)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def released(run):
     """Wraps an Arrow map so that its Python worker, which later tasks reuse, gives its memory back at a task's end."""
 
@@ -43,10 +51,7 @@ def released(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapped
 

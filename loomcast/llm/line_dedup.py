@@ -158,8 +158,10 @@ def _met(index: DataFrame, probe: DataFrame) -> DataFrame:
     return pairs.select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b"))
 
 
-def hot_keys(index: DataFrame) -> DataFrame:
-    return _small(written(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key")))
+def hot_keys(index: DataFrame) -> tuple[DataFrame, int]:
+    """The keys with more than ``CROWD`` indexed lines, and their number."""
+    found = written(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"))
+    return found, found.count()
 
 
 def branched(rows: DataFrame, max_edits: int) -> DataFrame:
@@ -189,37 +191,38 @@ def exhausted(rows: DataFrame, max_edits: int) -> DataFrame:
 
 
 def near_pairs(distinct: DataFrame, lines: DataFrame, max_edits: int, min_chars: int = 0) -> DataFrame:
-    """(a, b): hashes of distinct lines of at least ``min_chars`` that meet under a key; a < b."""
+    """(a, b): hashes of distinct lines of at least ``min_chars`` that meet under a key; a < b.
+
+    A key's hash holds all its segments, so that the keys of all rounds go in one table and meet in the same few joins: the driver's plan does not grow with the rounds.
+    """
     distinct = distinct.where(F.col("size") >= min_chars)
     shape = [(own, gap) for own, gap, *_ in chains(F.lit(""), F.lit(0), max_edits, LEVELS)]
     named = [c for c in distinct.columns if c[0] == "k"]
     n_own = sum(own for own, _ in shape)
     index = distinct.select("id", F.explode(F.array(*named[:n_own])).alias("key"))
     probe = distinct.select("id", F.explode(F.array(*named)).alias("key"))
-    hot = hot_keys(index)
-    met = [_met(index.join(hot, "key", "left_anti"), probe)]
-    ids = written(probe.join(hot, "key", "left_semi").select("id").distinct())
-    if not ids.isEmpty():
-        texts = lines.where(F.col("size") >= min_chars).join(_small(ids), "id", "left_semi").groupBy("id", "line").agg(F.min("at").alias("first"))
-        parts = [F.struct(F.lit(own).alias("own"), F.lit(gap).alias("gap"), key.alias("key"), rest.alias("rest"), size.cast("int").alias("size")) for own, gap, key, rest, size in chains(F.col("line"), F.length("line"), max_edits, LEVELS)]
-        rows = texts.select("id", "first", F.explode(F.array(*parts)).alias("x")).select("id", "first", "x.*")
-        while True:
-            rows = written(rows.join(hot, "key", "left_semi").select("id", "first", "own", "gap", "key", "rest", "size"))
-            if rows.isEmpty():
-                break
-            met.append(exhausted(rows.where(F.col("size") <= max_edits), max_edits))
-            rows = written(branched(rows.where(F.col("size") > max_edits), max_edits))
-            hot = hot_keys(rows.where("own"))
-            met.append(_met(rows.where("own").join(hot, "key", "left_anti"), rows))
-    out = met[0]
-    for more in met[1:]:
-        out = out.union(more)
-    return out.distinct()
-
-
-def _small(table: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if its rows (a few numbers each) are counted to be few enough."""
-    return F.broadcast(table) if table.count() <= MAX_BROADCAST_ROWS else table
+    hot, n_hot = hot_keys(index)
+    if not n_hot:
+        return _met(index, probe).distinct()
+    ids = written(probe.join(_small(hot, n_hot), "key", "left_semi").select("id").distinct())
+    texts = lines.where(F.col("size") >= min_chars).join(_small(ids), "id", "left_semi").groupBy("id", "line").agg(F.min("at").alias("first"))
+    parts = [F.struct(F.lit(own).alias("own"), F.lit(gap).alias("gap"), key.alias("key"), rest.alias("rest"), size.cast("int").alias("size")) for own, gap, key, rest, size in chains(F.col("line"), F.length("line"), max_edits, LEVELS)]
+    rows = texts.select("id", "first", F.explode(F.array(*parts)).alias("x")).select("id", "first", "x.*")
+    rows = written(rows.join(_small(hot, n_hot), "key", "left_semi").select("id", "first", "own", "gap", "key", "rest", "size"))
+    every_hot, n_every, last = hot, n_hot, rows.where(F.col("size") <= max_edits)
+    while n_hot:
+        rows = written(branched(rows.where(F.col("size") > max_edits).join(_small(hot, n_hot), "key", "left_semi"), max_edits))
+        hot, n_hot = hot_keys(rows.where("own"))
+        every_hot, n_every, last = every_hot.union(hot), n_every + n_hot, last.unionByName(rows.where(F.col("size") <= max_edits))
+        index, probe = index.union(rows.where("own").select("id", "key")), probe.union(rows.select("id", "key"))
+    every_hot = _small(every_hot, n_every)
+    last = written(last.join(every_hot, "key", "left_semi"))
+    return _met(index.join(every_hot, "key", "left_anti"), probe).union(exhausted(last, max_edits)).distinct()
+
+
+def _small(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """A written table, to be broadcast if its rows (a few numbers each) are counted to be few enough; ``rows``: their number, if it is known."""
+    return F.broadcast(table) if (table.count() if rows is None else rows) <= MAX_BROADCAST_ROWS else table
 
 
 def removed(documents: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, short: bool = False) -> DataFrame:

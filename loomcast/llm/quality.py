@@ -93,7 +93,9 @@ def train(sample: list[tuple[str, int]], counts: dict, seed: int = 7) -> Quality
 
 def fit(documents: DataFrame, labels: DataFrame, allowed: Column, label: str = "quality", per_label: int = SAMPLE_PER_LABEL, total_bytes: int = SAMPLE_BYTES) -> QualityModel:
     """Learns from at most ``per_label`` labelled rows of each class that meet ``allowed``, of ``total_bytes`` in all."""
-    return train(*labelled_sample(documents, labels, label, allowed, per_label, total_bytes))
+    model = train(*labelled_sample(documents, labels, label, allowed, per_label, total_bytes))
+    _text.give_back()  # the sample's: the driver goes on
+    return model
 
 
 def score(documents: DataFrame, model: QualityModel) -> DataFrame:

@@ -100,6 +100,17 @@ def test_line_dedup_hot_keys(spark, n):
     assert line_dedup.near_pairs(line_dedup.distinct_lines(parts, 1), parts, 1).count() < 2 * n
 
 
+def test_line_dedup_plan_does_not_grow_with_the_rounds(spark):
+    """Lines that share most of their characters are cut in more rounds the longer they are; their pairs meet in the same joins."""
+    def shuffles(size):
+        lines = line_dedup.lines_of(spark.createDataFrame([(i, f"{'a common beginning ' * size}{i:04d}") for i in range(40)], "doc_id long, text string"), 24)
+        found = line_dedup.near_pairs(line_dedup.distinct_lines(lines, 1), lines, 1)
+        return found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"), found.count()
+
+    (few, n), (many, m) = shuffles(2), shuffles(60)
+    assert n and m and few == many
+
+
 def test_line_dedup_hot_keys_lose_nothing(spark, monkeypatch):
     """Every key is hot: all levels down to single characters, against all pairs."""
     rng = random.Random(6)
